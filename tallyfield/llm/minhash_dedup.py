@@ -198,15 +198,16 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     buckets = slots.groupBy("band", "h").agg(F.min("rep").alias("pivot"), F.count("*").alias("n")).where("n > 1")
     members = stored(slots.join(buckets, ["band", "h"]).distinct(), "buckets")
     wanted = members.select(F.col("rep").alias("doc_id")).distinct()
-    texts = stored(base.join(wanted, "doc_id", "left_semi"), "candidates")
+    # merge hints: candidates grow with the input, so the plan is the shuffled one at every size
+    texts = stored(base.join(wanted.hint("merge"), "doc_id", "left_semi"), "candidates")
 
     size = members.select(F.col("rep").alias("pivot"), F.col("n_shingles").alias("n_pivot")).distinct()
     pairs = members.where("rep > pivot").select("rep", "pivot", "n_shingles").distinct().join(size, "pivot")
     ratio = 100 * F.least("n_shingles", "n_pivot") >= percent * F.greatest("n_shingles", "n_pivot")
     texted = (
         pairs.where(ratio)
-        .join(texts.select(F.col("doc_id").alias("rep"), F.col("text").alias("text_a")), "rep")
-        .join(texts.select(F.col("doc_id").alias("pivot"), F.col("text").alias("text_b")), "pivot")
+        .join(texts.select(F.col("doc_id").alias("rep"), F.col("text").alias("text_a")).hint("merge"), "rep")
+        .join(texts.select(F.col("doc_id").alias("pivot"), F.col("text").alias("text_b")).hint("merge"), "pivot")
         .select(F.col("rep").alias("a"), F.col("pivot").alias("b"), "text_a", "text_b")
     )
     several = of_class.groupBy("doc_id").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo < hi").select("doc_id")
