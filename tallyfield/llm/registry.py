@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyfield.llm import decontamination, language_id, license_scan, minhash_dedup, sentencepiece_codec, token_output
+from tallyfield.llm import decontamination, language_id, license_scan, minhash_dedup, sentencepiece_codec, substring_dedup, token_output
 from tallyfield.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -28,6 +28,11 @@ def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_codec.encode(table(spark, sf_dir, "documents"))
 
 
+@_query
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 @_query
 def op5_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.encode_and_read_back(table(spark, sf_dir, "documents"))
