@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyfield.llm import decontamination, language_id, license_scan, minhash_dedup, sentencepiece_codec, substring_dedup, token_output
+from tallyfield.llm import decontamination, language_id, license_scan, lm_scoring, minhash_dedup, sentencepiece_codec, substring_dedup, token_output
 from tallyfield.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -23,6 +23,14 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(table(spark, sf_dir, "documents"))
 
 
+@_query
+def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Docs whose crc32(doc_id) mod 7 is 2 are held out of the training counts."""
+    held_out = language_id.fold("doc_id", 7) == 2
+    scored = lm_scoring.score(table(spark, sf_dir, "documents"), held_out)
+    return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 @_query
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_codec.encode(table(spark, sf_dir, "documents"))
