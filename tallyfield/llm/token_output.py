@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import os
+import re
 import uuid
 import zlib
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +22,13 @@ from tallyfield.session import scratch, stored
 SHARD_IDS = 4_000_000
 CACHE_WORDS = 400_000
 
+# The pre-tokenizer's pattern on lower-case ASCII and Latin-1 letters, and the words that it is used for.
+_SIMPLE = re.compile("[!-~À-ÖØ-öø-ÿ]+")
+_PART = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[!-/:-@\\[-`{-~]+")
+# Byte-level models write bytes that are no printable Latin-1 character as 256 and up, in order.
+_HIDDEN = [b for b in range(256) if not (0x21 <= b <= 0x7E or 0xA1 <= b <= 0xAC or 0xAE <= b <= 0xFF)]
+_BYTE_CHARS = {b: 256 + i for i, b in enumerate(_HIDDEN)}
+
 _BREAKS = ("\n", "\t", "\r", "\x0b", "\x0c")
 
 
@@ -39,17 +48,34 @@ class WordEncoder:
 
     def _clear(self) -> None:
         self.place: dict[str, int] = {"": 0}
+        self.known: dict[str, list[int]] = {}
         self.parts: list[np.ndarray] = [np.zeros(0, dtype=np.uint32)]
         self.flat, self.starts, self.sizes = np.zeros(0, np.uint32), np.zeros(1, np.int64), np.zeros(1, np.int64)
 
+    def _plain(self, word: str) -> list[int] | None:
+        """Ids of a word of ASCII and Latin-1 letters: the tokenizer's normaliser only lowers it, its pre-tokenizer cuts it
+        by the pattern below, and its model is asked once for each distinct part. None: the whole tokenizer is needed."""
+        if "<|" in word or not _SIMPLE.fullmatch(word):
+            return None
+        out: list[int] = []
+        for part in _PART.findall(word.lower()):
+            ids = self.known.get(part)
+            if ids is None:
+                ids = self.known[part] = [t.id for t in self.tokenizer.model.tokenize(part.encode().decode("latin-1").translate(_BYTE_CHARS))]
+            out += ids
+        return out
+
     def _learn(self, new: list[str]) -> None:
-        ids = [np.array(e.ids, dtype=np.uint32) for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
+        ids = [self._plain(w) for w in new]
+        rest = [i for i, x in enumerate(ids) if x is None]
+        for i, e in zip(rest, self.tokenizer.encode_batch_fast([new[i] for i in rest], add_special_tokens=False)):
+            ids[i] = e.ids
         at = len(self.sizes)
         self.place.update(zip(new, range(at, at + len(new))))
-        sizes = np.array([len(x) for x in ids], dtype=np.int64)
+        sizes = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))
         self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(sizes) - sizes])
         self.sizes = np.concatenate([self.sizes, sizes])
-        self.flat = np.concatenate([self.flat, *ids])
+        self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(ids), dtype=np.uint32, count=int(sizes.sum()))])
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts one after another, ids in each)."""
@@ -154,7 +180,8 @@ def read_shards(manifest: DataFrame) -> DataFrame:
                 keys = pa.array(shard.doc_ids, mask=shard.doc_ids == -(1 << 63))
                 yield pa.RecordBatch.from_arrays([keys, pa.array(begin + ends - shard.lengths), pa.array(shard.lengths), pa.array(sums, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return placed.repartition("uri").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    # one task for each file: Spark would put these few rows into one
+    return placed.repartition(max(1, manifest.count()), "uri").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def word_bpe() -> str:

@@ -10,6 +10,7 @@ from __future__ import annotations
 import struct
 
 import numpy as np
+import pyarrow as pa
 import zstandard
 
 MAGIC = b"TFWMAT01"
@@ -28,15 +29,15 @@ def build(ids: np.ndarray, doc_ids: np.ndarray, lengths: np.ndarray) -> bytes:
     ones: list[np.ndarray] = []
     zeros = []
     for p in range(planes - 1, -1, -1):
-        bit = (ids >> p & 1).astype(bool)
-        packed = np.packbits(bit, bitorder="little").tobytes()
-        raw = [packed[i : i + BLOCK // 8] for i in range(0, len(packed), BLOCK // 8)]
-        per = np.add.reduceat(bit, np.arange(0, len(bit), BLOCK), dtype=np.uint64) if len(bit) else np.zeros(0, np.uint64)
+        bits = np.packbits((ids >> p & 1).astype(bool), bitorder="little")
+        raw = [bits[i : i + BLOCK // 8].tobytes() for i in range(0, len(bits), BLOCK // 8)]
+        per = np.add.reduceat(np.bitwise_count(bits), np.arange(0, len(bits), BLOCK // 8), dtype=np.uint64) if len(bits) else np.zeros(0, np.uint64)
         ones.append(np.concatenate([[0], np.cumsum(per)]).astype(np.uint64))
         blocks += [pack.compress(x) for x in raw]
-        zeros.append(len(bit) - int(ones[-1][-1]))
-        if p:
-            ids = np.concatenate([ids[~bit], ids[bit]])
+        zeros.append(len(ids) - int(ones[-1][-1]))
+        if p:  # Arrow filters by packed bits
+            halves = [pa.array(ids).filter(pa.Array.from_buffers(pa.bool_(), len(ids), [None, pa.py_buffer(x)])) for x in (~bits, bits)]
+            ids = np.concatenate([x.to_numpy() for x in halves])
     table = pack.compress(np.concatenate([doc_ids.astype("<i8"), lengths.astype("<i8")]).tobytes())
     ends = np.cumsum([len(x) for x in blocks], dtype=np.uint64) if blocks else np.zeros(0, np.uint64)
     head = _HEAD.pack(MAGIC, int(np.sum(lengths)), len(doc_ids), planes, len(table))
@@ -131,8 +132,7 @@ class WaveletMatrix:
         out = np.zeros(self.n, dtype=kind)
         for p in range(self.planes - 1, -1, -1):
             bit = np.concatenate([self._block(p, b) for b in range(self.per)] or [np.zeros(0, np.uint8)]).astype(bool)
-            zero = int(self.zeros[p])
             back = np.empty_like(out)
-            back[~bit], back[bit] = out[:zero], out[zero:]
+            back[np.concatenate([np.flatnonzero(~bit), np.flatnonzero(bit)])] = out
             out = back | bit.astype(kind) << kind(self.planes - 1 - p)
         return out
