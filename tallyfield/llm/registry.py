@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyfield.llm import decontamination, language_id, license_scan, lm_scoring, minhash_dedup, sentencepiece_codec, substring_dedup, token_output
+from tallyfield.llm import chat_format, decontamination, language_id, license_scan, lm_scoring, minhash_dedup, sentencepiece_codec, substring_dedup, token_output
 from tallyfield.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -46,6 +46,15 @@ def op5_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.encode_and_read_back(table(spark, sf_dir, "documents"))
 
 
+@_query
+def op6_chat_preference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations")
+    return chat_format.format_pairs(turns, chat_format.opening_pairs(turns))
+
+
+SQL["op6_chat_preference"] = chat_format.SQL
+
+
 @_query
 def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup.near_duplicates(table(spark, sf_dir, "documents"), k=3, percent=85)

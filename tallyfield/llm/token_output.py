@@ -44,6 +44,7 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         self._clear()
 
     def _clear(self) -> None:
@@ -61,7 +62,8 @@ class WordEncoder:
         for part in _PART.findall(word.lower()):
             ids = self.known.get(part)
             if ids is None:
-                ids = self.known[part] = [t.id for t in self.tokenizer.model.tokenize(part.encode().decode("latin-1").translate(_BYTE_CHARS))]
+                chars = part if part.isascii() else part.encode().decode("latin-1").translate(_BYTE_CHARS)
+                ids = self.known[part] = [t.id for t in self.model.tokenize(chars)]
             out += ids
         return out
 

@@ -7,3 +7,8 @@ from tests.oracle import compare
 @pytest.mark.parametrize("name", sorted(SQL))
 def test_equals_sql(spark, name):
     assert compare(spark, QUERIES[name], SQL[name], "/root/testdata/sf0.01") > 0
+
+
+def test_shared_openings_equal_sql(spark):
+    """Only in this table do conversations share their opening."""
+    assert compare(spark, QUERIES["op6_chat_preference"], SQL["op6_chat_preference"], "/root/testdata/check_h") > 2500
