@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyfield.llm import chat_format, decontamination, language_id, license_scan, lm_scoring, minhash_dedup, sentencepiece_codec, substring_dedup, token_output
+from tallyfield.llm import chat_format, decontamination, embedding_dedup, language_id, license_scan, lm_scoring, minhash_dedup, sentencepiece_codec, substring_dedup, token_output
 from tallyfield.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -55,6 +55,11 @@ def op6_chat_preference(spark: SparkSession, sf_dir: str) -> DataFrame:
 SQL["op6_chat_preference"] = chat_format.SQL
 
 
+@_query
+def op8_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 @_query
 def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup.near_duplicates(table(spark, sf_dir, "documents"), k=3, percent=85)
