@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -25,30 +26,49 @@ class SharedPrefixViterbi:
     """Segments words by the scores of ``pieces`` {piece: (id, score)}; ``unknown`` is the score of a character without."""
 
     def __init__(self, pieces: dict[str, tuple[int, float]], unknown: float, fallback: Callable[[str], list[int]]) -> None:
-        self.pieces, self.unknown, self.fallback = pieces, unknown, fallback
-        self.longest = max(map(len, pieces), default=1)
+        self.unknown, self.fallback = unknown, fallback
+        self.root: dict = {}
+        for piece, found in pieces.items():
+            node = self.root
+            for c in piece:
+                node = node.setdefault(c, {})
+            node[""] = found
 
     def segment(self, words: list[str]) -> list[list[int]]:
-        """Ids of each of the sorted distinct ``words``."""
-        score, back, out, before = [0.0], [(0, -1)], [], ""
-        pieces, unknown, longest = self.pieces, self.unknown, self.longest
+        """Ids of each of the sorted distinct ``words``.
+
+        For every character of the current path there are kept: the best score up to it, the last piece of the best
+        segmentation, and the pieces that are begun and not ended, as (start, node), the longest first.
+        """
+        unknown, root = self.unknown, self.root
+        score, back, begun, out, before = [0.0], [(0, -1)], [[]], [], ""
         for word in words:
             shared, most = 0, min(len(word), len(before))
             while shared < most and word[shared] == before[shared]:
                 shared += 1
-            del score[shared + 1 :], back[shared + 1 :]
-            for end in range(shared + 1, len(word) + 1):
-                best, how = -np.inf, (0, -1)
-                for start in range(max(0, end - longest), end):
-                    found = pieces.get(word[start:end])
-                    if found is not None:
-                        total = score[start] + found[1]
-                        if total > best:
-                            best, how = total, (start, found[0])
-                    elif start == end - 1 and score[start] + unknown > best:
-                        best, how = score[start] + unknown, (start, -1)
+            del score[shared + 1 :], back[shared + 1 :], begun[shared + 1 :]
+            live = begun[shared]
+            for end in range(shared, len(word)):
+                char, best, how, grown = word[end], -np.inf, (end, -1), []
+                for start, node in live:
+                    node = node.get(char)
+                    if node is not None:
+                        grown.append((start, node))
+                        found = node.get("")
+                        if found is not None and score[start] + found[1] > best:
+                            best, how = score[start] + found[1], (start, found[0])
+                node = root.get(char)
+                found = None
+                if node is not None:
+                    grown.append((end, node))
+                    found = node.get("")
+                total = score[end] + (unknown if found is None else found[1])
+                if total > best:
+                    best, how = total, (end, -1 if found is None else found[0])
+                live = grown
                 score.append(best)
                 back.append(how)
+                begun.append(live)
             ids: list[int] = []
             end = len(word)
             while end:
@@ -58,7 +78,8 @@ class SharedPrefixViterbi:
                 else:
                     ids.append(piece)
                 end = start
-            out.append(ids[::-1])
+            ids.reverse()
+            out.append(ids)
             before = word
         return out
 
@@ -79,6 +100,7 @@ class Codec:
         self.unk = model.unk_id()
         plain = [i for i in ids if not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i) or model.is_unused(i))]
         pieces = {model.id_to_piece(i): (i, model.get_score(i)) for i in plain}
+        self.pieces = pieces
         self.trie = SharedPrefixViterbi(pieces, min(s for _, s in pieces.values()) - 10, self._fallback)
         self.cut_lines = not any("\n" in p for p in pieces)
         self.raw = [b""] * len(ids)
@@ -94,9 +116,7 @@ class Codec:
         return [self.bytes.get(b, self.unk) for b in char.encode("utf-8", "replace")] if self.bytes else [self.unk]
 
     def _clear(self) -> None:
-        self.known: dict[str, np.ndarray] = {"": np.zeros(0, np.int32)}
-        if self.cut_lines:
-            self.known["\n"] = np.array(self.newline, dtype=np.int32)
+        self.known: dict[str, list[int]] = {"\n": self.newline} if self.cut_lines else {}
 
     def _words(self, text: str) -> list[str]:
         """The text cut at marks, and at line ends where no piece holds one."""
@@ -115,19 +135,18 @@ class Codec:
                 out += [MARK + w for w in rest]
         return out
 
-    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
+    def encode(self, texts: list[str | None]) -> list[list[int]]:
         """Ids of each whole text; null is empty."""
         split = [self._words(t or "") for t in texts]
         if len(self.known) > CACHE_WORDS:
             self._clear()
-        new = sorted({w for words in split for w in words if w not in self.known})
-        for word, ids in zip(new, self.trie.segment(new)):
-            self.known[word] = np.array(ids, dtype=np.int32)
+        new = sorted(set(chain.from_iterable(split)).difference(self.known))
+        self.known.update(zip(new, self.trie.segment(new)))
         get = self.known.__getitem__
-        return [np.concatenate(list(map(get, words))) if words else self.known[""] for words in split]
+        return [list(chain.from_iterable(map(get, words))) for words in split]
 
-    def decode(self, ids: np.ndarray) -> str:
-        text = b"".join(map(self.raw.__getitem__, ids.tolist())).decode("utf-8", "replace")
+    def decode(self, ids: list[int]) -> str:
+        text = b"".join(map(self.raw.__getitem__, ids)).decode("utf-8", "replace")
         return text[1:] if text[:1] == " " else text
 
 
@@ -161,7 +180,7 @@ def encode(docs: DataFrame, model: Callable[[], str] = piece_bpe, id_col: str =
                 texts = some.column(1).to_pylist()
                 ids = codec.encode(texts)
                 sizes = np.array([len(x) for x in ids], dtype=np.int32)
-                lists = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32), np.concatenate(ids) if ids else np.zeros(0, np.int32))
+                lists = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32), np.fromiter(chain.from_iterable(ids), dtype=np.int32, count=int(sizes.sum())))
                 same = [codec.decode(x) == (t or "") for x, t in zip(ids, texts)]
                 yield pa.RecordBatch.from_arrays([some.column(0), pa.array(sizes), lists, pa.array(same)], ["doc_id", "n_pieces", "ids", "round_trip"])
 
@@ -175,7 +194,7 @@ def decode(encoded: DataFrame, model: Callable[[], str] = piece_bpe, id_col: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(model())
         for batch in batches:
-            texts = [None if x is None else codec.decode(np.array(x, dtype=np.int64)) for x in batch.column(1).to_pylist()]
+            texts = [None if x is None else codec.decode(x) for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["doc_id", "text"])
 
     base = encoded.select(F.col(id_col).cast("long").alias("doc_id"), F.col(ids_col).cast("array<int>").alias("ids"))

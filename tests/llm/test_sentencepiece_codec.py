@@ -39,12 +39,12 @@ def test_equals_the_library_on_the_same_scores(spark):
     codec = sc.Codec(sc.piece_bpe())
     texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()] + ["Hello world", "don't stop 12.5%", "naïve 梦 x"]
     # line by line and without characters that have no piece: their score, near -1e9, costs the library's floats the rest
-    lines = [x for t in texts for x in t.split("\n") if x and "  " not in x and all(c == " " or c in codec.trie.pieces for c in x)]
+    lines = [x for t in texts for x in t.split("\n") if x and "  " not in x and all(c == " " or c in codec.pieces for c in x)]
     assert len(lines) > 300
     score = lambda x: sum(map(library.get_score, x))
     words = sorted({w for x in lines for w in x.split(" ") if w})
     theirs = [library.encode(w) for w in words]
-    ours = [x.tolist() for x in codec.encode(words)]
+    ours = codec.encode(words)
     assert all(score(a) >= score(b) for a, b in zip(ours, theirs))
     assert np.mean([a == b for a, b in zip(ours, theirs)]) > 0.95
 
@@ -64,4 +64,4 @@ def test_whole_tables(spark):
     assert back == {d: t or "" for d, t, _ in rows if d is not None}
     assert sc.encode(df.limit(0)).count() == 0
     codec = sc.Codec(sc.piece_bpe())
-    assert [len(x) for x in codec.encode([None])] == [0] and np.array_equal(codec.encode(["a"])[0], codec.encode(["a"])[0])
+    assert [len(x) for x in codec.encode([None])] == [0]
