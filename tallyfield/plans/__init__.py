@@ -1,0 +1,3 @@
+"""Importing this package registers all queries."""
+
+from tallyfield.plans import scoring  # noqa: F401
