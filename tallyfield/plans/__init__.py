@@ -1,3 +1,3 @@
 """Importing this package registers all queries."""
 
-from tallyfield.plans import scoring  # noqa: F401
+from tallyfield.plans import history, scoring, timeline  # noqa: F401
