@@ -20,10 +20,10 @@ ROWS = f"{SCORED_SQL}, hist as (select s.*, m.creation, m.local_id, m.queue from
 
 
 @query(f"""with {ROWS}, n as (select *, row_number() over (partition by puuid order by creation desc, game_id desc, participant_id desc) r from hist)
-select puuid, count(*) games, count(*) filter (win) wins, count(*) filter (r <= 20) recent_games, count(*) filter (r <= 20 and win) recent_wins, round(avg(total_score), 4) avg_score, min(cast(match_rank as integer)) best_rank, round(avg(match_rank), 4) avg_rank from n group by puuid""")
+select puuid, count(*) games, count(*) filter (win) wins, count(*) filter (r <= 20) recent_games, count(*) filter (r <= 20 and win) recent_wins, avg(cast(round(total_score * 1000) as bigint)) avg_score, min(cast(match_rank as integer)) best_rank, avg(match_rank) avg_rank from n group by puuid""")
 def a1_a3_player_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = history.player_summary(rows(spark, sf_dir))
-    return s.withColumns({"avg_score": F.round("avg_score", 4), "avg_rank": F.round("avg_rank", 4)})
+    """Scores in thousandths, so that means are exact."""
+    return history.player_summary(rows(spark, sf_dir).withColumn("total_score", F.round(F.col("total_score") * 1000).cast("long")))
 
 
 @query(f"with {PARTICIPANTS} select champion, count(*) games, count(*) filter (win) wins, round(count(*) filter (win) * 100.0 / count(*), 6) win_rate from participants group by champion")
