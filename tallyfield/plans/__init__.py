@@ -1,3 +1,3 @@
 """Importing this package registers all queries."""
 
-from tallyfield.plans import evaluation, history, scoring, timeline  # noqa: F401
+from tallyfield.plans import corpus, draft, evaluation, history, scoring, timeline  # noqa: F401
