@@ -61,16 +61,20 @@ class EliasFano:
         starts = self._starts()
         up = (values >> np.uint64(self.bits)).astype(np.int64)
         inside = np.flatnonzero(up < len(starts) - 1)
-        at, end = starts[up[inside]], starts[up[inside] + 1]
+        at, end = starts[up[inside]], starts[up[inside] + 1].copy()
         want = values[inside] & np.uint64((1 << self.bits) - 1)
-        while len(inside):
-            live = at < end
-            inside, at, end, want = inside[live], at[live], end[live], want[live]
-            low = self._lows(at)
-            hit = low == want
-            out[inside[hit]] = at[hit]
-            on = low < want
-            inside, at, end, want = inside[on], at[on] + 1, end[on], want[on]
+        limit = end.copy()
+        while True:  # binary search: a dense context can fill one bucket with very many values
+            live = np.flatnonzero(at < end)
+            if not len(live):
+                break
+            middle = (at[live] + end[live]) >> 1
+            below = self._lows(middle) < want[live]
+            at[live] = np.where(below, middle + 1, at[live])
+            end[live] = np.where(below, end[live], middle)
+        there = np.flatnonzero(at < limit)
+        hit = self._lows(at[there]) == want[there]
+        out[inside[there[hit]]] = at[there[hit]]
         return out
 
     def get(self, at: np.ndarray) -> np.ndarray:
