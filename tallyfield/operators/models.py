@@ -85,7 +85,7 @@ def spline_score(knots: dict[str, list[tuple[float, float]]]) -> Column:
         x, curve = F.col(f), F.lit(points[-1][1])
         for (x0, y0), (x1, y1) in reversed(list(zip(points, points[1:]))):
             curve = F.when(x < x1, y0 + (x - x0) * ((y1 - y0) / (x1 - x0))).otherwise(curve)
-        out = out + F.coalesce(F.when(x <= points[0][0], points[0][1]).otherwise(curve), F.lit(0.0))
+        out = out + F.when(x.isNull(), 0.0).when(x <= points[0][0], points[0][1]).otherwise(curve)
     return out
 
 
