@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyfield.catalog import query
-from tallyfield.operators import models
+from tallyfield.operators import models, shapes
 from tallyfield.sources import views
 from tallyfield.sources.view_sql import PARTICIPANTS
 
@@ -23,15 +23,33 @@ def m5_w4_score_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("game_id", "participant_id", F.round("score", 6).alias("score"), "model_rank", F.round("rank_confidence", 6).alias("rank_confidence"))
 
 
-@query()
-def m14_m18_fit_pairwise_linear(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Neighbouring participants of a match as pairs, the composite's damage decides. Checked by recovery in the tests."""
+def _training(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, dict[str, int]]:
     p = views.participants(spark, sf_dir).withColumn("item_ref", F.concat_ws(":", "game_id", "participant_id"))
     names = {"kills": 1, "assists": 1, "deaths": -1}
     left, right = p.where("participant_id <= 5"), p.where("participant_id > 5")
     pairs = left.select("game_id", "participant_id", F.col("item_ref").alias("left_ref"), F.col("damage_to_champions").alias("a")).join(right.select("game_id", (F.col("participant_id") - 5).alias("participant_id"), F.col("item_ref").alias("right_ref"), F.col("damage_to_champions").alias("b")), ["game_id", "participant_id"])
     labelled = pairs.select("left_ref", "right_ref", F.when(F.col("a") > F.col("b"), "left").when(F.col("a") < F.col("b"), "right").otherwise("tie").alias("choice"))
+    return p, labelled, names
+
+
+@query()
+def m14_m18_fit_pairwise_linear(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Neighbouring participants of a match as pairs, the composite's damage decides. Checked by recovery in the tests."""
+    p, labelled, names = _training(spark, sf_dir)
     fit = models.fit_pairwise_linear(models.pair_differences(labelled, models.normalize(p, list(names)), list(names)), names, iterations=25)
     scored = p.withColumn("raw", models.linear_score(fit.coefficients))
     offsets, scale = models.calibrate(scored)
     return models.score_model(p, models.linear_score(fit.coefficients), list(names), offsets, scale).select("game_id", "participant_id", "score", "model_rank")
+
+
+@query()
+def m15_fit_pairwise_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p, pairs, names = _training(spark, sf_dir)
+    fit = shapes.fit_pairwise_gam(pairs, p, names, iterations=10)
+    return p.select("game_id", "participant_id", models.spline_score(fit).alias("raw"))
+
+
+@query()
+def m16_fit_boosted_stumps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p, pairs, names = _training(spark, sf_dir)
+    return p.select("game_id", "participant_id", shapes.shape_score(shapes.fit_boosted_stumps(pairs, p, names, rounds=4)).alias("raw"))

@@ -4,7 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tallyfield.operators import composite, corpus, draft, evaluation, history, models
+from tallyfield.operators import composite, corpus, draft, evaluation, history, models, shapes
 from tallyfield.operators import timeline as tl
 from tallyfield.operators.components import connected_components
 
@@ -124,6 +124,31 @@ def test_linear_fit_recovers_signs_and_order(spark):
     assert sum((agree[a] > agree[b]) == (k == "left") for a, b, k, _ in pairs) > 108
 
 
+def test_isotonic():
+    r = random.Random(4)
+    assert shapes.isotonic([3.0, 1.0, 2.0]) == [2.0, 2.0, 2.0] and shapes.isotonic([1.0, 2.0], direction=-1) == [1.5, 1.5]
+    for _ in range(50):
+        v = [r.random() for _ in range(6)]
+        w = shapes.isotonic(v)
+        assert w == sorted(w) and abs(sum(w) - sum(v)) < 1e-9
+
+
+def test_shapes_learn_a_step(spark):
+    """Utility jumps at 7: stumps and splines must find it, and stay monotone."""
+    r = random.Random(5)
+    items = [(f"i{k}", float(r.randint(0, 14))) for k in range(150)]
+    worth = {i: (10 if x >= 7 else 0) + 0.1 * x for i, x in items}
+    pairs = [(a, b, "left" if worth[a] > worth[b] else "right" if worth[a] < worth[b] else "tie") for (a, _), (b, _) in zip(items, items[1:] + items[:1])]
+    rec, df = spark.createDataFrame(items, "item_ref string, kills double"), spark.createDataFrame(pairs, "left_ref string, right_ref string, choice string")
+    stumps = shapes.fit_boosted_stumps(df, rec, {"kills": 1}, rounds=3)
+    assert stumps and all(s.low <= s.high for s in stumps) and 5 < stumps[0].threshold < 9
+    curve = shapes.fit_pairwise_gam(df, rec, {"kills": 1}, iterations=15)["kills"]
+    ys = [y for _, y in curve]
+    assert ys == sorted(ys) and ys[-1] > ys[0] and len(curve) == 5
+    one = rec.select(*[w.alias(f"w{i}") for i, w in enumerate(shapes.hats(F.col("kills"), [x for x, _ in curve]))]).collect()
+    assert all(abs(sum(x) - 1) < 1e-9 for x in one)
+
+
 def test_spline_and_stumps(spark):
     df = spark.createDataFrame([(x,) for x in (-1.0, 0.0, 0.5, 1.0, 3.0)] + [(None,)], "x double")
     assert [r[0] for r in df.select(models.spline_score({"x": [(0.0, 0.0), (1.0, 10.0), (2.0, 12.0)]})).collect()] == [0.0, 0.0, 5.0, 10.0, 12.0, 0.0]
