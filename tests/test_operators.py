@@ -171,3 +171,14 @@ def test_plans_stay_native(spark, name):
     plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert not any(x in plan for x in ("Python", "Pandas", "ArrowEval", "CartesianProduct", "NestedLoop")), name
     assert math.isfinite(len(plan))
+
+
+def test_temporal_split_keeps_components_whole_and_in_order(spark):
+    from tallyfield.operators.review import temporal_split
+
+    e = spark.createDataFrame([(g, g // 2, f"2024-0{1 + g // 8}-0{1 + g % 8} 00:00:00") for g in range(40)], "game_id long, puuid long, at string").withColumn("at", F.col("at").cast("timestamp"))
+    s = temporal_split(e, "game_id", "puuid", "at")
+    rows = s.join(e, "game_id").collect()
+    assert len(rows) == 40 and all(len({r.split for r in rows if r.component == c}) == 1 for c in {r.component for r in rows})
+    last = {k: max(r.game_id for r in rows if r.split == k) for k in ("train", "validation", "test")}
+    assert last["train"] < last["validation"] < last["test"] and sum(r.split == "train" for r in rows) == 32
