@@ -32,6 +32,28 @@ _BYTE_CHARS = {b: 256 + i for i, b in enumerate(_HIDDEN)}
 _BREAKS = ("\n", "\t", "\r", "\x0b", "\x0c")
 
 
+class _Places(dict):
+    """Numbers words in the order in which they are first asked for, and keeps the new ones in ``fresh``."""
+
+    def __init__(self) -> None:
+        super().__init__({"": 0})
+        self.fresh: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        self[word] = n = len(self)
+        self.fresh.append(word)
+        return n
+
+
+def _grown(x: np.ndarray, used: int, more: int) -> np.ndarray:
+    """``x`` with room for ``more`` after ``used``; doubles, so that growing costs little on average."""
+    if used + more <= len(x):
+        return x
+    out = np.zeros(max(2 * len(x), used + more), dtype=x.dtype)
+    out[:used] = x[:used]
+    return out
+
+
 class WordEncoder:
     """Encodes whole texts through their distinct words.
 
@@ -48,18 +70,22 @@ class WordEncoder:
         self._clear()
 
     def _clear(self) -> None:
-        self.place: dict[str, int] = {"": 0}
+        self.place = _Places()
         self.known: dict[str, list[int]] = {}
-        self.parts: list[np.ndarray] = [np.zeros(0, dtype=np.uint32)]
-        self.flat, self.starts, self.sizes = np.zeros(0, np.uint32), np.zeros(1, np.int64), np.zeros(1, np.int64)
+        self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
+        self.starts, self.sizes, self.learnt = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64), 1
 
     def _plain(self, word: str) -> list[int] | None:
         """Ids of a word of ASCII and Latin-1 letters: the tokenizer's normaliser only lowers it, its pre-tokenizer cuts it
         by the pattern below, and its model is asked once for each distinct part. None: the whole tokenizer is needed."""
-        if "<|" in word or not _SIMPLE.fullmatch(word):
+        if word.isascii() and word.isalpha():
+            parts = [word.lower()]
+        elif "<|" in word or not _SIMPLE.fullmatch(word):
             return None
+        else:
+            parts = _PART.findall(word.lower())
         out: list[int] = []
-        for part in _PART.findall(word.lower()):
+        for part in parts:
             ids = self.known.get(part)
             if ids is None:
                 chars = part if part.isascii() else part.encode().decode("latin-1").translate(_BYTE_CHARS)
@@ -72,12 +98,14 @@ class WordEncoder:
         rest = [i for i, x in enumerate(ids) if x is None]
         for i, e in zip(rest, self.tokenizer.encode_batch_fast([new[i] for i in rest], add_special_tokens=False)):
             ids[i] = e.ids
-        at = len(self.sizes)
-        self.place.update(zip(new, range(at, at + len(new))))
         sizes = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))
-        self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(sizes) - sizes])
-        self.sizes = np.concatenate([self.sizes, sizes])
-        self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(ids), dtype=np.uint32, count=int(sizes.sum()))])
+        total, at = int(sizes.sum()), self.learnt
+        self.flat = _grown(self.flat, self.used, total)
+        self.flat[self.used : self.used + total] = np.fromiter(chain.from_iterable(ids), dtype=np.uint32, count=total)
+        self.starts, self.sizes = _grown(self.starts, at, len(new)), _grown(self.sizes, at, len(new))
+        self.starts[at : at + len(new)] = self.used + np.cumsum(sizes) - sizes
+        self.sizes[at : at + len(new)] = sizes
+        self.used, self.learnt = self.used + total, at + len(new)
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts one after another, ids in each)."""
@@ -90,16 +118,15 @@ class WordEncoder:
             split.append(text.split(" "))
         if len(self.place) > CACHE_WORDS:
             self._clear()
-        new = {w for words in split for w in words if w not in self.place}
-        if new:
-            self._learn(list(new))
-        get = self.place.__getitem__
-        which = np.fromiter((get(w) for words in split for w in words), dtype=np.int64)
+        counts = np.fromiter(map(len, split), dtype=np.int64, count=len(split))
+        which = np.fromiter(map(self.place.__getitem__, chain.from_iterable(split)), dtype=np.int64, count=int(counts.sum()))
+        if self.place.fresh:
+            self._learn(self.place.fresh)
+            self.place.fresh = []
         sizes = self.sizes[which]
         ends = np.cumsum(sizes)
         out = self.flat[np.repeat(self.starts[which] - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)]
-        words = np.cumsum([len(x) for x in split])
-        return out, np.diff(np.concatenate([[0], ends])[np.concatenate([[0], words])])
+        return out, np.diff(np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts)])])
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
