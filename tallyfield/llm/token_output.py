@@ -21,6 +21,7 @@ from tallyfield.session import scratch, stored
 
 SHARD_IDS = 4_000_000
 CACHE_WORDS = 400_000
+CACHE_PARTS = 600_000
 
 # The pre-tokenizer's pattern on lower-case ASCII and Latin-1 letters, and the words that it is used for.
 _SIMPLE = re.compile("[!-~À-ÖØ-öø-ÿ]+")
@@ -58,7 +59,8 @@ class WordEncoder:
     """Encodes whole texts through their distinct words.
 
     The tokenizer normalises, drops white space and cuts at it, so no token reaches over an ASCII blank: the ids of a text
-    are those of its words one after another. Words are remembered, up to ``CACHE_WORDS`` at a time.
+    are those of its words one after another. Words are remembered, up to ``CACHE_WORDS`` at a time, and the
+    parts that they are cut into, up to ``CACHE_PARTS``.
     """
 
     def __init__(self, path: str) -> None:
@@ -67,11 +69,11 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
+        self.known: dict[str, tuple[int, ...]] = {}
         self._clear()
 
     def _clear(self) -> None:
         self.place = _Places()
-        self.known: dict[str, list[int]] = {}
         self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
         self.starts, self.sizes, self.learnt = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64), 1
 
@@ -89,7 +91,7 @@ class WordEncoder:
             ids = self.known.get(part)
             if ids is None:
                 chars = part if part.isascii() else part.encode().decode("latin-1").translate(_BYTE_CHARS)
-                ids = self.known[part] = [t.id for t in self.model.tokenize(chars)]
+                ids = self.known[part] = tuple([t.id for t in self.model.tokenize(chars)])
             out += ids
         return out
 
@@ -118,6 +120,8 @@ class WordEncoder:
             split.append(text.split(" "))
         if len(self.place) > CACHE_WORDS:
             self._clear()
+        if len(self.known) > CACHE_PARTS:
+            self.known = {}
         counts = np.fromiter(map(len, split), dtype=np.int64, count=len(split))
         which = np.fromiter(map(self.place.__getitem__, chain.from_iterable(split)), dtype=np.int64, count=int(counts.sum()))
         if self.place.fresh:
