@@ -1,17 +1,17 @@
 """Embedding near-duplicates by collision counting on one-dimensional projections.
 
-Unit vectors are projected on many random directions. On each direction the vectors of a label are sorted; only the two
-tails, where few vectors lie and near vectors lie together, are kept, and a query's window in a tail is centred on its own
-projection. Two vectors that meet in a window are a candidate; their collisions are counted over ``COUNTED`` further
-directions with the same window, and a pair that passes the count is verified by its cosine in double precision.
-
-Calibration. For a pair at the threshold the projections differ by N(0, d), d^2 = 2 (1 - cosine). The window is ``WIDTH``
-standard deviations of that difference, which gives the chance of a collision per direction; the count demanded is the
-largest that such a pair passes with probability 1 - ``MISS``. The tails' fraction is set so that each vector is kept on
-about ``KEPT`` directions, which bounds the rows that are moved; the number of directions grows with the table, up to
-``MAX_DIRECTIONS``, so that a tail keeps about ``TAIL`` vectors. Thresholds of tails come from a bounded sample of each
-label (at most ``SAMPLE`` vectors); every vector is indexed. A tail that is larger than ``BLOCK`` is compared in pairs of
-blocks, so no task holds more, and nothing is capped.
+Unit vectors are projected on many random directions. On each direction only the two tails, beyond a fixed cut on either
+side, are kept, and a query's window in a tail is centred on its own projection. Two vectors of a label that meet in a window
+are a candidate; their collisions are counted over ``COUNTED`` further directions with the same window, and a pair that passes
+the count is verified by its cosine in double precision.
+
+Calibration. On a random direction the projections of a pair are jointly normal with the pair's cosine as correlation,
+whatever else the table holds. The cut is therefore a number and no quantile of the data, so the chance that a pair at the
+threshold lies in one tail within a window of ``WIDTH`` standard deviations of its difference is known. The number of
+directions makes the chance of no meeting at most ``MISS``, and the count demanded is the largest that such a pair passes with
+probability 1 - ``MISS``. A label's cut follows its size: of vectors that point everywhere a tail keeps about ``TAIL``, until
+``MAX_DIRECTIONS`` directions are needed. A dense group falls into a tail together, and a tail that holds more than ``BLOCK``
+vectors, by its own count, is compared in pairs of blocks, so no task holds more, and nothing is capped.
 
 Equal vectors of a label are one class: it enters once, and its size counts for the links of its partners.
 """
@@ -30,11 +30,9 @@ from pyspark.sql import functions as F
 from tallyfield.operators.components import connected_components
 from tallyfield.session import cut, stored
 
-KEPT = 40
 TAIL = 200
 BLOCK = 1024
 MAX_DIRECTIONS = 4096
-SAMPLE = 4000
 COUNTED = 64
 WIDTH = 2.5
 MISS = 1e-6
@@ -51,6 +49,32 @@ def demanded(width: float = WIDTH, counted: int = COUNTED, miss: float = MISS) -
     return counted
 
 
+def meeting(cut: float, cosine: float, window: float) -> float:
+    """Chance that a pair with this cosine lies beyond ``cut`` in one given tail, not farther apart than ``window``."""
+    x = np.linspace(cut, cut + 10, 4001)
+    spread = math.sqrt(2 * max(1e-12, 1 - cosine**2))
+    normal = np.vectorize(math.erf)
+    inside = normal((x + window - cosine * x) / spread) - normal((np.maximum(cut, x - window) - cosine * x) / spread)
+    return float(np.trapezoid(np.exp(-x * x / 2) / math.sqrt(2 * math.pi) * inside / 2, x))
+
+
+def tails_for(n: int, threshold: float, window: float) -> tuple[float, int]:
+    """(cut, directions) for a label of n vectors; a pair at the threshold meets with probability 1 - MISS."""
+    low, high = 0.0, 8.0
+
+    def needed(cut: float) -> float:
+        q = 2 * meeting(cut, threshold, window)
+        return math.log(MISS) / math.log1p(-min(q, 1 - 1e-9)) if q > 0 else math.inf
+
+    for _ in range(40):
+        cut = (low + high) / 2
+        if n * math.erfc(cut / math.sqrt(2)) / 2 >= TAIL and needed(cut) <= MAX_DIRECTIONS:
+            low = cut
+        else:
+            high = cut
+    return low, math.ceil(needed(low))
+
+
 def _directions(count: int, dim: int, seed: int) -> np.ndarray:
     return np.random.default_rng(seed).standard_normal((dim, count))
 
@@ -129,42 +153,46 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.93, id_col: str = "vec
 
     sizes = reps.groupBy("label").count()
     largest = sizes.agg(F.coalesce(F.max("count"), F.lit(0))).first()[0]
-    m = int(min(MAX_DIRECTIONS, max(64, KEPT * largest / (2 * TAIL))))
-    tail = min(0.5, KEPT / (2 * m))
-    axes = _directions(m, dim or 1, 1)
     window = WIDTH * math.sqrt(2 * (1 - threshold))
-
-    # each label's tail thresholds on every direction, from its sample
-    order = F.xxhash64("vec_id", F.lit(5))
-    share = reps.join(F.broadcast(sizes), "label").where(order.bitwiseAND(0xFFFFF) < F.least(F.lit(1 << 20), F.ceil(F.lit(SAMPLE * (1 << 20)) / F.col("count")))).select("label", "u")
-
-    def cuts(pdf: pd.DataFrame) -> pd.DataFrame:
-        p = np.stack(pdf["u"].to_numpy()) @ axes
-        low, high = np.quantile(p, [tail, 1 - tail], axis=0)
-        return pd.DataFrame({"label": [pdf["label"].iloc[0]], "low": [low], "high": [high]})
-
-    limits = stored(share.groupBy("label").applyInPandas(cuts, "label string, low array<double>, high array<double>"), "limits")
+    # level k holds the labels of up to 2^k vectors
+    plans = [tails_for(1 << k, threshold, window) for k in range(int(largest).bit_length() + 1)]
+    cuts, counts = np.array([c for c, _ in plans]), np.array([m for _, m in plans])
+    axes = _directions(int(counts.max()), dim or 1, 1)
+    level = F.ceil(F.log2(F.col("count").cast("double"))).cast("int")
+    placed = reps.join(F.broadcast(sizes.select("label", level.alias("level"))), "label").select("vec_id", "label", "u", "size", "level")
+
+    def beyond(some: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(row, tail, projection) of what lies beyond the cuts."""
+        levels = some.column(4).to_numpy()
+        p = _units(some.column(2), dim) @ axes[:, : counts[levels].max()]
+        used = np.arange(p.shape[1])[None, :] < counts[levels][:, None]
+        for sign, kept in ((0, p <= -cuts[levels][:, None]), (1, p >= cuts[levels][:, None])):
+            row, axis = np.nonzero(kept & used)
+            yield row, (2 * axis + sign).astype(np.int32), p[row, axis]
 
     def tails(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, len(batch), 512):
                 some = batch.slice(at, 512)
-                p = _units(some.column(2), dim) @ axes
-                low, high = (_units(some.column(c), m) for c in (4, 5))
-                for sign, kept in ((0, p <= low), (1, p >= high)):
-                    row, axis = np.nonzero(kept)
+                for row, tail, p in beyond(some):
                     cols = [some.column(i).take(pa.array(row)) for i in (0, 1, 2, 3)]
-                    yield pa.RecordBatch.from_arrays([*cols, pa.array((2 * axis + sign).astype(np.int32)), pa.array(p[row, axis])], ["vec_id", "label", "u", "size", "tail", "p"])
+                    yield pa.RecordBatch.from_arrays([*cols, pa.array(tail), pa.array(p)], ["vec_id", "label", "u", "size", "tail", "p"])
+
+    def fills(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, len(batch), 512):
+                some = batch.slice(at, 512)
+                for row, tail, _ in beyond(some):
+                    yield pa.RecordBatch.from_arrays([some.column(1).take(pa.array(row)), pa.array(tail)], ["label", "tail"])
 
-    # a label without sampled vectors is compared whole: its limits take everything
-    everything = F.array_repeat(F.lit(float("inf")), m)
-    limited = reps.join(limits, "label", "left").select("vec_id", "label", "u", "size", F.coalesce("low", everything).alias("low"), F.coalesce("high", F.array_repeat(F.lit(float("inf")), m)).alias("high"))
-    spread = limited.mapInArrow(tails, "vec_id long, label string, u array<double>, size long, tail int, p double")
-    parts = sizes.select("label", F.ceil(F.col("count") * tail * 1.5 / BLOCK).cast("int").alias("parts"))
+    spread = placed.mapInArrow(tails, "vec_id long, label string, u array<double>, size long, tail int, p double")
+    crowded = placed.mapInArrow(fills, "label string, tail int").groupBy("label", "tail").count().where(F.col("count") > BLOCK)
+    parts = stored(crowded.select("label", "tail", F.ceil(F.col("count") / BLOCK).cast("int").alias("parts")), "parts")
+    split = spread.join(parts, ["label", "tail"], "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
     own = F.pmod(F.xxhash64("vec_id", F.lit(3)), F.col("parts")).cast("int")
-    blocks = spread.join(F.broadcast(parts), "label").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    placed = blocks.select("vec_id", "label", "u", "size", "tail", "p", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-    met = placed.groupBy("label", "tail", "i", "j").applyInPandas(_links(threshold, dim or 1, window), "a long, b long, n_b long, n_a long")
+    blocks = split.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    tasks = blocks.select("vec_id", "label", "u", "size", "tail", "p", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    met = tasks.groupBy("label", "tail", "i", "j").applyInPandas(_links(threshold, dim or 1, window), "a long, b long, n_b long, n_a long")
     links = stored(met.distinct(), "vector-links")
 
     members = keyed.join(classes, ["label", "h"]).select("vec_id", "rep", "size")

@@ -63,3 +63,26 @@ def test_empty_and_repeated(spark):
     assert ed.near_vectors(df.limit(0)).count() == 0
     got = sorted(((r.vec_id, r.component_id, r.kept) for r in ed.near_vectors(df).collect()), key=str)
     assert got == [(1, 1, True), (1, 1, True), (4, 1, False), (None, None, True)]
+
+
+def links_of(label, u, threshold=0.93):
+    """{id: n_links} by all products, for many vectors."""
+    near = (u @ u.T >= threshold) & (label[:, None] == label[None, :])
+    return near.sum(axis=1) - 1
+
+
+def as_table(spark, label, u):
+    return spark.createDataFrame([(i, int(x), v.tolist()) for i, (x, v) in enumerate(zip(label, u))], "vec_id long, label int, embedding array<double>")
+
+
+def test_dense_group(spark):
+    """A third of a label lies around one vector, most of its pairs close to the threshold on either side."""
+    r = np.random.default_rng(3)
+    one = r.standard_normal(64)
+    u = np.concatenate([one + r.standard_normal((1000, 64)) * 0.27, r.standard_normal((2000, 64))])
+    u /= np.linalg.norm(u, axis=1)[:, None]
+    label = np.zeros(len(u), dtype=int)
+    want = links_of(label, u)
+    got = np.array([x.n_links for x in ed.near_vectors(as_table(spark, label, u)).orderBy("vec_id").collect()])
+    assert 200_000 < want.sum() < 950_000
+    assert (got <= want).all() and got.sum() >= 0.9999 * want.sum(), (got.sum(), want.sum())
