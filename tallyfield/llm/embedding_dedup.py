@@ -13,6 +13,9 @@ probability 1 - ``MISS``. A label's cut follows its size: of vectors that point
 ``MAX_DIRECTIONS`` directions are needed. A dense group falls into a tail together, and a tail that holds more than ``BLOCK``
 vectors, by its own count, is compared in pairs of blocks, so no task holds more, and nothing is capped.
 
+Labels of at most ``WHOLE`` different vectors are compared whole, in pairs of blocks, by all their cosines; nothing is missed
+there.
+
 Equal vectors of a label are one class: it enters once, and its size counts for the links of its partners.
 """
 
@@ -33,6 +36,7 @@ from tallyfield.session import cut, stored
 TAIL = 200
 BLOCK = 1024
 MAX_DIRECTIONS = 4096
+WHOLE = 16384
 COUNTED = 64
 WIDTH = 2.5
 MISS = 1e-6
@@ -97,7 +101,7 @@ def _valid(vectors: DataFrame, id_col: str, vec_col: str, label_col: str) -> Dat
 
 
 def _links(threshold: float, dim: int, window: float):
-    """Compares one tail, or two of its blocks; each linked pair once for each place where it meets."""
+    """Compares one tail or whole label (tail -1), or two of its blocks; each linked pair once for each place where it meets."""
     axes = _directions(COUNTED, dim, 99)
     need = demanded()
 
@@ -106,8 +110,31 @@ def _links(threshold: float, dim: int, window: float):
         u = np.stack(pdf["u"].to_numpy())
         p, ids, size, own = (pdf[c].to_numpy() for c in ("p", "vec_id", "size", "own"))
         first, second = pdf["i"].iloc[0], pdf["j"].iloc[0]
+        out: list[np.ndarray] = []
+
+        def link(a: np.ndarray, b: np.ndarray) -> None:
+            cosine = np.einsum("ij,ij->i", u[a], u[b])
+            a, b = a[cosine >= threshold], b[cosine >= threshold]
+            flip = ids[a] > ids[b]
+            a, b = np.where(flip, b, a), np.where(flip, a, b)
+            out.append(np.stack([ids[a], ids[b], size[b], size[a]], axis=1))
+
+        def table() -> pd.DataFrame:
+            # (a, b, vectors of b's class, vectors of a's class)
+            return pd.DataFrame(np.concatenate(out) if out else np.zeros((0, 4)), columns=["a", "b", "n_b", "n_a"], dtype="int64")
+
+        if pdf["tail"].iloc[0] < 0:
+            for at in range(0, len(u), 256):
+                near = u[at : at + 256] @ u[at:].T >= threshold - 1e-9
+                near &= np.arange(len(u) - at)[None, :] > np.arange(len(near))[:, None]
+                if first != second:
+                    near &= own[at : at + 256, None] != own[None, at:]
+                x, y = np.nonzero(near)
+                for k in range(0, len(x), 1 << 17):
+                    link(x[k : k + (1 << 17)] + at, y[k : k + (1 << 17)] + at)
+            return table()
+
         side = (u @ axes).astype(np.float32)
-        out: list[tuple] = []
         ends = np.searchsorted(p, p + window, "right")
         for at in range(0, len(p), 256):
             stop = min(at + 256, len(p))
@@ -124,12 +151,8 @@ def _links(threshold: float, dim: int, window: float):
                 live = hits + COUNTED - 16 >= need
                 a, b, hits = a[live], b[live], hits[live]
                 hits = hits + (np.abs(side[a, 16:] - side[b, 16:]) <= window).sum(axis=1)
-                a, b = a[hits >= need], b[hits >= need]
-                cosine = np.einsum("ij,ij->i", u[a], u[b])
-                a, b = a[cosine >= threshold], b[cosine >= threshold]
-                out += [(min(s, t), max(s, t), (m if s < t else n), (n if s < t else m)) for s, t, n, m in zip(ids[a], ids[b], size[a], size[b])]
-        # (a, b, vectors of b's class, vectors of a's class)
-        return pd.DataFrame(out, columns=["a", "b", "n_b", "n_a"], dtype="int64")
+                link(a[hits >= need], b[hits >= need])
+        return table()
 
     return run
 
@@ -159,7 +182,9 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.93, id_col: str = "vec
     cuts, counts = np.array([c for c, _ in plans]), np.array([m for _, m in plans])
     axes = _directions(int(counts.max()), dim or 1, 1)
     level = F.ceil(F.log2(F.col("count").cast("double"))).cast("int")
-    placed = reps.join(F.broadcast(sizes.select("label", level.alias("level"))), "label").select("vec_id", "label", "u", "size", "level")
+    sized = reps.join(F.broadcast(sizes.select("label", "count", level.alias("level"))), "label")
+    placed = sized.where(F.col("count") > WHOLE).select("vec_id", "label", "u", "size", "level")
+    whole = sized.where(F.col("count") <= WHOLE).select("vec_id", "label", "u", "size", F.lit(-1).alias("tail"), F.lit(0.0).alias("p"), F.ceil(F.col("count") / BLOCK).cast("int").alias("parts"))
 
     def beyond(some: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """(row, tail, projection) of what lies beyond the cuts."""
@@ -188,7 +213,7 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.93, id_col: str = "vec
     spread = placed.mapInArrow(tails, "vec_id long, label string, u array<double>, size long, tail int, p double")
     crowded = placed.mapInArrow(fills, "label string, tail int").groupBy("label", "tail").count().where(F.col("count") > BLOCK)
     parts = stored(crowded.select("label", "tail", F.ceil(F.col("count") / BLOCK).cast("int").alias("parts")), "parts")
-    split = spread.join(parts, ["label", "tail"], "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    split = spread.join(parts, ["label", "tail"], "left").select("vec_id", "label", "u", "size", "tail", "p", F.coalesce("parts", F.lit(1)).alias("parts")).union(whole)
     own = F.pmod(F.xxhash64("vec_id", F.lit(3)), F.col("parts")).cast("int")
     blocks = split.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     tasks = blocks.select("vec_id", "label", "u", "size", "tail", "p", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))

@@ -75,8 +75,10 @@ def as_table(spark, label, u):
     return spark.createDataFrame([(i, int(x), v.tolist()) for i, (x, v) in enumerate(zip(label, u))], "vec_id long, label int, embedding array<double>")
 
 
-def test_dense_group(spark):
+@pytest.mark.parametrize("whole", [0, 16384])
+def test_dense_group(spark, monkeypatch, whole):
     """A third of a label lies around one vector, most of its pairs close to the threshold on either side."""
+    monkeypatch.setattr(ed, "WHOLE", whole, raising=False)
     r = np.random.default_rng(3)
     one = r.standard_normal(64)
     u = np.concatenate([one + r.standard_normal((1000, 64)) * 0.27, r.standard_normal((2000, 64))])
@@ -86,3 +88,17 @@ def test_dense_group(spark):
     got = np.array([x.n_links for x in ed.near_vectors(as_table(spark, label, u)).orderBy("vec_id").collect()])
     assert 200_000 < want.sum() < 950_000
     assert (got <= want).all() and got.sum() >= 0.9999 * want.sum(), (got.sum(), want.sum())
+
+
+@pytest.mark.parametrize("whole", [300, 16384])
+def test_small_labels_beside_a_large_one(spark, monkeypatch, whole):
+    monkeypatch.setattr(ed, "WHOLE", whole, raising=False)
+    r = np.random.default_rng(4)
+    label = np.concatenate([np.zeros(5000, dtype=int), *[np.full(n, k + 1) for k, n in enumerate((1, 2, 3, 10, 100))]])
+    one = r.standard_normal((6, 64))
+    u = np.where((label == 0)[:, None], r.standard_normal((len(label), 64)), one[label] + r.standard_normal((len(label), 64)) * 0.2)
+    u /= np.linalg.norm(u, axis=1)[:, None]
+    want = links_of(label, u)
+    assert all(want[label == k].all() for k in (2, 3, 4, 5))
+    got = np.array([x.n_links for x in ed.near_vectors(as_table(spark, label, u)).orderBy("vec_id").collect()])
+    assert (got == want).all()
