@@ -77,3 +77,43 @@ def test_passages_of_over_50_words_go(spark):
     before = repeated_windows((r.doc_id, r.text) for r in docs.orderBy("doc_id").collect())
     after = repeated_windows((r.doc_id, r.text) for r in sd.remove_repeats(docs).orderBy("doc_id").collect())
     assert before > 1000 and after < 0.05 * before, (before, after)
+
+
+def words_of(r, n):
+    return [f"w{r.randint(0, 5000)}" for _ in range(n)]
+
+
+def test_long_passages_with_few_whole_sentences(spark):
+    """Passages of 60 words: two whole sentences, one sentence, and parts of sentences on either side."""
+    r = random.Random(6)
+    two, one, parts = words_of(r, 60), words_of(r, 60), words_of(r, 60)
+    two[29] += "."
+    two[59] += "."
+    one[59] += "."
+    parts[25] += "."
+    rows = []
+    for d in range(2):
+        own = [" ".join(words_of(r, 20)) for _ in range(4)]
+        rows += [(3 * d, f"{own[0]}. {' '.join(two)} {own[1]}."), (3 * d + 1, f"{own[2]}. {' '.join(one)} {own[3]}."), (3 * d + 2, f"{own[0]} {' '.join(parts)} {own[1]}.")]
+    rows[5] = (5, f"{' '.join(words_of(r, 20))} {' '.join(parts)} {' '.join(words_of(r, 20))}.")
+    got = {x.doc_id: x for x in sd.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[d].n_removed for d in range(6)] == [0, 0, 0, 2, 1, 2]
+    assert [got[d].text for d in range(3)] == [t for _, t in rows[:3]]
+    for d, passage in ((3, two), (4, one)):
+        assert not set(passage) & set(got[d].text.split()) - set(rows[d][1].split()[:20]) - set(rows[d][1].split()[-20:])
+    left, whole = got[5].text.split(), rows[5][1].split()
+    assert left[:20] == whole[:20] and left[-20:] == whole[-20:]
+    assert len(left) <= 40 + 2 * (sd.PASSAGE - sd.ANCHOR)
+    assert repeated_windows([(d, got[d].text) for d in sorted(got)]) == 0
+
+
+def test_every_repeated_window_is_touched(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("doc_id is not null").dropDuplicates(["doc_id"])
+    seen, texts = {}, {r.doc_id: r.text or "" for r in docs.collect()}
+    got = {r.doc_id: r for r in sd.remove_repeats(docs).collect()}
+    for d in sorted(texts):
+        w = texts[d].lower().split()
+        new = [tuple(w[i : i + 51]) for i in range(len(w) - 50)]
+        assert not any(x in seen for x in new) or got[d].n_removed > 0, d
+        seen.update(dict.fromkeys(new, d))
+    assert sum(r.n_removed > 0 for r in got.values()) > 100
