@@ -3,14 +3,20 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyfield.operators.evaluation import robust_center, shrunk_offsets
 
 
+#: So many different rows of differences are summed on the driver; more stay on the cluster.
+LOCAL = 200_000
+
+
 @dataclass(frozen=True)
 class LinearFit:
     """Coefficients by feature, with what the search reports."""
@@ -39,22 +45,51 @@ def normalize(records: DataFrame, features: list[str]) -> DataFrame:
     return records.withColumns({f: F.coalesce((F.col(f) - scale[f][0]) / scale[f][1], F.lit(0.0)) if f in scale else F.lit(0.0) for f in features})
 
 
+def logistic_sums(diffs: DataFrame, names: list[str]) -> Callable[[dict[str, float]], tuple[float, ...]]:
+    """From coefficients to the weighted loss and its gradient by name, as sums over all rows.
+
+    Equal rows count once with their number. Up to ``LOCAL`` different rows these go to the driver once; otherwise every
+    call is one aggregate over ``diffs``.
+    """
+    equal = diffs.groupBy("target", "weight", *names).agg(F.count("*").alias("__n")).persist()
+    try:
+        local = equal.toPandas() if equal.count() <= LOCAL else None
+    finally:
+        equal.unpersist()
+    if local is not None:
+        x = local[names].to_numpy(dtype=float)
+        target, weight = local["target"].to_numpy(dtype=float), local["weight"].to_numpy(dtype=float) * local["__n"].to_numpy(dtype=float)
+
+        def here(c: dict[str, float]) -> tuple[float, ...]:
+            p = 1 / (1 + np.exp(-np.clip(x @ np.array([c[f] for f in names]), -700, 700)))
+            safe = np.clip(p, 1e-9, 1 - 1e-9)
+            loss = -(weight * (target * np.log(safe) + (1 - target) * np.log(1 - safe))).sum()
+            return float(loss), *((p - target) * weight @ x).tolist()
+
+        return here
+
+    def there(c: dict[str, float]) -> tuple[float, ...]:
+        p = 1 / (1 + F.exp(-sum((F.lit(c[f]) * F.col(f) for f in names), F.lit(0.0))))
+        safe = F.least(F.lit(1 - 1e-9), F.greatest(F.lit(1e-9), p))
+        entropy = -(F.col("target") * F.log(safe) + (1 - F.col("target")) * F.log(1 - safe))
+        return tuple(diffs.agg(F.sum(F.col("weight") * entropy), *[F.sum((p - F.col("target")) * F.col("weight") * F.col(f)) for f in names]).first())
+
+    return there
+
+
 def fit_pairwise_linear(differences: DataFrame, directions: dict[str, int], l2: float = 0.01, rate: float = 0.1, iterations: int = 500, loss_tolerance: float = 1e-7, gradient_tolerance: float = 1e-6) -> LinearFit:
     """Weighted logistic loss on differences, gradient steps projected to the sign that each feature may have.
 
-    A step is one aggregate of a few sums over the persisted differences. Only those sums reach the driver.
+    A step takes a few sums over the persisted differences, see ``logistic_sums``.
     """
     names = list(directions)
     diffs = differences.persist()
     c = dict.fromkeys(names, 0.0)
     done, converged, before, loss, n = 0, False, None, None, diffs.count()
     try:
+        sums = logistic_sums(diffs, names) if n else None
         while n and done < iterations and not converged:
-            z = sum((F.lit(c[f]) * F.col(f) for f in names), F.lit(0.0))
-            p = 1 / (1 + F.exp(-z))
-            safe = F.least(F.lit(1 - 1e-9), F.greatest(F.lit(1e-9), p))
-            entropy = -(F.col("target") * F.log(safe) + (1 - F.col("target")) * F.log(1 - safe))
-            row = diffs.agg(F.sum(F.col("weight") * entropy), *[F.sum((p - F.col("target")) * F.col("weight") * F.col(f)) for f in names]).first()
+            row = sums(c)
             gradient = {f: g / n + l2 * c[f] for f, g in zip(names, row[1:])}
             for f in names:
                 moved = c[f] - rate * gradient[f]

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyfield.operators.models import pair_differences
+from tallyfield.operators.models import logistic_sums, pair_differences
 
 SHRINKAGE = 0.15
 BINS = 256
@@ -56,7 +56,7 @@ def hats(x: Column, at: list[float]) -> list[Column]:
     return out
 
 
-def fit_pairwise_gam(pairs: DataFrame, records: DataFrame, directions: dict[str, int], most_knots: int = 5, l2: float = 0.01, rate: float = 0.5, iterations: int = 200, tolerance: float = 1e-7) -> dict[str, list[tuple[float, float]]]:
+def fit_pairwise_gam(pairs: DataFrame, records: DataFrame, directions: dict[str, int], most_knots: int = 5, l2: float = 0.01, rate: float = 0.5, iterations: int = 500, tolerance: float = 1e-7) -> dict[str, list[tuple[float, float]]]:
     """(x, y) knots per feature of a sum of monotone piecewise linear curves; gradient steps as for the linear model.
 
     The hat weights of every item are columns computed once; a step is one aggregate, and its projection pools at most
@@ -70,11 +70,9 @@ def fit_pairwise_gam(pairs: DataFrame, records: DataFrame, directions: dict[str,
     y, before = dict.fromkeys(flat, 0.0), None
     try:
         n = diffs.count()
+        sums = logistic_sums(diffs, flat) if n else None
         for _ in range(iterations if n else 0):
-            p = 1 / (1 + F.exp(-sum((F.lit(y[k]) * F.col(k) for k in flat), F.lit(0.0))))
-            safe = F.least(F.lit(1 - 1e-9), F.greatest(F.lit(1e-9), p))
-            entropy = -(F.col("target") * F.log(safe) + (1 - F.col("target")) * F.log(1 - safe))
-            row = diffs.agg(F.sum(F.col("weight") * entropy), *[F.sum((p - F.col("target")) * F.col("weight") * F.col(k)) for k in flat]).first()
+            row = sums(y)
             for k, g in zip(flat, row[1:]):
                 y[k] -= rate * (g / n + l2 * y[k])
             for f, d in directions.items():

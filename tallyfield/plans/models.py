@@ -11,6 +11,8 @@ from tallyfield.sources import views
 from tallyfield.sources.view_sql import PARTICIPANTS
 
 _FEATURES = {"kills": 0.4, "assists": 0.3, "deaths": -0.5}
+#: The reference's constants; so many steps that the tolerances end the fit.
+_REFERENCE = {"l2": 0.05, "rate": 0.05, "iterations": 20_000}
 
 
 @query(f"""with {PARTICIPANTS}, a as (select *, kills * 0.4 + assists * 0.3 - deaths * 0.5 - case role when 'jungle' then 0.25 when 'support' then -0.25 else 0.0 end adj from participants),
@@ -36,7 +38,7 @@ def _training(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, d
 def m14_m18_fit_pairwise_linear(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Neighbouring participants of a match as pairs, the composite's damage decides. Checked by recovery in the tests."""
     p, labelled, names = _training(spark, sf_dir)
-    fit = models.fit_pairwise_linear(models.pair_differences(labelled, models.normalize(p, list(names)), list(names)), names, iterations=25)
+    fit = models.fit_pairwise_linear(models.pair_differences(labelled, models.normalize(p, list(names)), list(names)), names, **_REFERENCE)
     scored = p.withColumn("raw", models.linear_score(fit.coefficients))
     offsets, scale = models.calibrate(scored)
     return models.score_model(p, models.linear_score(fit.coefficients), list(names), offsets, scale).select("game_id", "participant_id", "score", "model_rank")
@@ -45,7 +47,7 @@ def m14_m18_fit_pairwise_linear(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def m15_fit_pairwise_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
     p, pairs, names = _training(spark, sf_dir)
-    fit = shapes.fit_pairwise_gam(pairs, p, names, iterations=10)
+    fit = shapes.fit_pairwise_gam(pairs, p, names, **_REFERENCE)
     return p.select("game_id", "participant_id", models.spline_score(fit).alias("raw"))
 
 

@@ -182,3 +182,32 @@ def test_temporal_split_keeps_components_whole_and_in_order(spark):
     assert len(rows) == 40 and all(len({r.split for r in rows if r.component == c}) == 1 for c in {r.component for r in rows})
     last = {k: max(r.game_id for r in rows if r.split == k) for k in ("train", "validation", "test")}
     assert last["train"] < last["validation"] < last["test"] and sum(r.split == "train" for r in rows) == 32
+
+
+def test_registered_fits_run_to_their_tolerances(spark, monkeypatch):
+    """The linear and spline queries equal a plain fit that runs until its gradient vanishes, on the driver and the cluster."""
+    import numpy as np
+
+    from tallyfield.plans import models as plans
+
+    p, pairs, names = plans._training(spark, "/root/testdata/sf0.001")
+    diffs = models.pair_differences(pairs, models.normalize(p, list(names)), list(names))
+    kept = {}
+    linear, gam = models.fit_pairwise_linear, shapes.fit_pairwise_gam
+    monkeypatch.setattr(models, "fit_pairwise_linear", lambda *a, **k: kept.setdefault("linear", linear(*a, **k)))
+    monkeypatch.setattr(shapes, "fit_pairwise_gam", lambda *a, **k: kept.setdefault("gam", gam(*a, **k)))
+    plans.m14_m18_fit_pairwise_linear(spark, "/root/testdata/sf0.001")
+    plans.m15_fit_pairwise_gam(spark, "/root/testdata/sf0.001")
+    rows = diffs.toPandas()
+    x, y, w = rows[list(names)].to_numpy(), rows["target"].to_numpy(), rows["weight"].to_numpy()
+    c, sign = np.zeros(len(names)), np.array(list(names.values()))
+    for _ in range(20_000):
+        c -= 0.05 * (((1 / (1 + np.exp(-x @ c)) - y) * w) @ x / len(x) + 0.05 * c)
+        c = np.where(c * sign > 0, c, 0.0)
+    assert kept["linear"].converged
+    assert np.allclose([kept["linear"].coefficients[f] for f in names], c, atol=0.02)
+    more = gam(pairs, p, names, l2=0.05, rate=0.05, iterations=40_000, tolerance=1e-13)
+    assert all(abs(a[1] - b[1]) < 0.03 for f in names for a, b in zip(kept["gam"][f], more[f]))
+    here = models.logistic_sums(diffs, list(names))(kept["linear"].coefficients)
+    monkeypatch.setattr(models, "LOCAL", 0)
+    assert np.allclose(here, models.logistic_sums(diffs, list(names))(kept["linear"].coefficients))
