@@ -132,7 +132,7 @@ class WaveletMatrix:
         out = np.zeros(self.n, dtype=kind)
         for p in range(self.planes - 1, -1, -1):
             bit = np.concatenate([self._block(p, b) for b in range(self.per)] or [np.zeros(0, np.uint8)]).astype(bool)
-            back = np.empty_like(out)
-            back[np.concatenate([np.flatnonzero(~bit), np.flatnonzero(bit)])] = out
+            back, zeros = np.empty_like(out), int(self.zeros[p])
+            back[~bit], back[bit] = out[:zeros], out[zeros:]
             out = back | bit.astype(kind) << kind(self.planes - 1 - p)
         return out
