@@ -1,20 +1,22 @@
 """Embedding near-duplicates by collision counting on one-dimensional projections.
 
-Unit vectors are projected on many random directions. On each direction only the two tails, beyond a fixed cut on either
-side, are kept, and a query's window in a tail is centred on its own projection. Two vectors of a label that meet in a window
-are a candidate; their collisions are counted over ``COUNTED`` further directions with the same window, and a pair that passes
-the count is verified by its cosine in double precision.
+Unit vectors are projected on many random directions. Two vectors of a label collide on a direction if both lie beyond a fixed
+cut on the same side, and in the window that is centred on either's projection there. Vectors are sorted by projection
+inside the tails, or inside the crossings of two or three tails, and pairs that collide there are candidates. Their collisions are
+counted over ``COUNTED`` further directions with the same window, and a pair that passes the count is verified by its cosine
+in double precision.
 
 Calibration. On a random direction the projections of a pair are jointly normal with the pair's cosine as correlation,
-whatever else the table holds. The cut is therefore a number and no quantile of the data, so the chance that a pair at the
-threshold lies in one tail within a window of ``WIDTH`` standard deviations of its difference is known. The number of
-directions makes the chance of no meeting at most ``MISS``, and the count demanded is the largest that such a pair passes with
-probability 1 - ``MISS``. A label's cut follows its size: of vectors that point everywhere a tail keeps about ``TAIL``, until
-``MAX_DIRECTIONS`` directions are needed. A dense group falls into a tail together, and a tail that holds more than ``BLOCK``
-vectors, by its own count, is compared in pairs of blocks, so no task holds more, and nothing is capped.
+whatever else the table holds: a vector near its label's mean is as likely beyond the cut as any other. The cut is a number and no
+quantile of the data, so the chance that a pair at the threshold collides on a direction is known. The number of directions makes
+the chance of fewer collisions than a crossing needs at most ``MISS``, and the count demanded is the largest that such a
+pair passes with probability 1 - ``MISS``. ``plan`` picks cut, directions and tails a crossing by the label's size, so that what
+vectors that point everywhere cost stays smallest: one tail for small labels, crossings for large ones.
 
-Labels of at most ``WHOLE`` different vectors are compared whole, in pairs of blocks, by all their cosines; nothing is missed
-there.
+A pair may collide in many tails. It is linked only where its first collisions are, which the two projections tell, so every
+task sums links and joins components of its own pairs and sends one row for each vector: pairs never leave a task. A dense group
+falls into a tail together, and a tail that holds more than ``BLOCK`` vectors, by its own count, is compared in pairs of
+blocks, so no task holds more, and nothing is capped.
 
 Equal vectors of a label are one class: it enters once, and its size counts for the links of its partners.
 """
@@ -23,9 +25,10 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import cache
+from itertools import combinations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -33,13 +36,12 @@ from pyspark.sql import functions as F
 from tallyfield.operators.components import connected_components
 from tallyfield.session import cut, stored
 
-TAIL = 200
 BLOCK = 1024
-MAX_DIRECTIONS = 4096
-WHOLE = 16384
+MAX_DIRECTIONS = 1024
 COUNTED = 64
 WIDTH = 2.5
 MISS = 1e-6
+COPY = 40  # comparisons that cost as much as sending a vector to one more tail
 
 
 def demanded(width: float = WIDTH, counted: int = COUNTED, miss: float = MISS) -> int:
@@ -62,30 +64,53 @@ def meeting(cut: float, cosine: float, window: float) -> float:
     return float(np.trapezoid(np.exp(-x * x / 2) / math.sqrt(2 * math.pi) * inside / 2, x))
 
 
-def tails_for(n: int, threshold: float, window: float) -> tuple[float, int]:
-    """(cut, directions) for a label of n vectors; a pair at the threshold meets with probability 1 - MISS."""
-    low, high = 0.0, 8.0
+def needed(chance: float, order: int) -> int:
+    """Directions with which a pair that collides on each with this chance has ``order`` collisions, but for ``MISS``."""
 
-    def needed(cut: float) -> float:
-        q = 2 * meeting(cut, threshold, window)
-        return math.log(MISS) / math.log1p(-min(q, 1 - 1e-9)) if q > 0 else math.inf
+    def short(m: int) -> float:
+        return sum(math.comb(m, k) * chance**k * (1 - chance) ** (m - k) for k in range(order))
 
-    for _ in range(40):
-        cut = (low + high) / 2
-        if n * math.erfc(cut / math.sqrt(2)) / 2 >= TAIL and needed(cut) <= MAX_DIRECTIONS:
-            low = cut
-        else:
-            high = cut
-    return low, math.ceil(needed(low))
+    low, high = order - 1, order
+    while short(high) > MISS:
+        if high > 4 * MAX_DIRECTIONS:
+            return high
+        low, high = high, 2 * high
+    while high - low > 1:
+        middle = (low + high) // 2
+        low, high = (low, middle) if short(middle) <= MISS else (middle, high)
+    return high
 
 
+@cache
+def _options(threshold: float, window: float) -> tuple[tuple[int, float, int], ...]:
+    """All (order, cut, directions) within ``MAX_DIRECTIONS``."""
+    out = []
+    for cut_at in np.arange(0, 4, 0.125):
+        chance = 2 * meeting(float(cut_at), threshold, window)
+        out += [(order, float(cut_at), m) for order in (1, 2, 3) if chance > 0 and (m := needed(min(chance, 1 - 1e-9), order)) <= MAX_DIRECTIONS]
+    return tuple(out)
+
+
+def plan(n: int, threshold: float, window: float) -> tuple[int, float, int]:
+    """(tails a crossing, cut, directions) with the least cost for a label of ``n`` vectors."""
+
+    def cost(option: tuple[int, float, int]) -> float:
+        order, cut_at, m = option
+        share = math.erfc(cut_at / math.sqrt(2)) / 2
+        return m / 4 + math.comb(m, order) * (2 * share) ** order * (COPY + n * share**order)
+
+    return min(_options(threshold, window), key=cost)
+
+
+@cache
 def _directions(count: int, dim: int, seed: int) -> np.ndarray:
     return np.random.default_rng(seed).standard_normal((dim, count))
 
 
-def _units(column: pa.Array, dim: int) -> np.ndarray:
+def _units(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    """Rows of vectors of one length."""
     flat = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    return np.asarray(flat.flatten(), dtype=np.float64).reshape(-1, dim)
+    return np.asarray(flat.flatten(), dtype=np.float64).reshape(len(flat), -1)
 
 
 def _valid(vectors: DataFrame, id_col: str, vec_col: str, label_col: str) -> DataFrame:
@@ -100,48 +125,52 @@ def _valid(vectors: DataFrame, id_col: str, vec_col: str, label_col: str) -> Dat
     return scaled.withColumn("norm", norm).select("vec_id", "label", F.transform("s", lambda x: x / F.col("norm")).alias("u"))
 
 
-def _links(threshold: float, dim: int, window: float):
-    """Compares one tail or whole label (tail -1), or two of its blocks; each linked pair once for each place where it meets."""
-    axes = _directions(COUNTED, dim, 99)
-    need = demanded()
+def _smallest(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    """The smallest number that each of n is joined to by the pairs (a, b)."""
+    to = np.arange(n)
+    while True:
+        least = np.minimum(to[a], to[b])
+        new = to.copy()
+        np.minimum.at(new, a, least)
+        np.minimum.at(new, b, least)
+        new = new[new]
+        if np.array_equal(new, to):
+            return to
+        to = new
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("p")
-        u = np.stack(pdf["u"].to_numpy())
-        p, ids, size, own = (pdf[c].to_numpy() for c in ("p", "vec_id", "size", "own"))
-        first, second = pdf["i"].iloc[0], pdf["j"].iloc[0]
-        out: list[np.ndarray] = []
+
+def _links(threshold: float, window: float, plans: list[tuple[int, float, int]]):
+    """Compares one crossing, or two of its blocks: (vec_id, links found here, smallest vec_id joined here)."""
+    need = demanded()
+    most = max(m for _, _, m in plans)
+
+    def run(group: pa.Table) -> pa.Table:
+        order, cut_at, m = plans[group["level"][0].as_py()]
+        axes = _crossed(group["tail"][0].as_py(), order)
+        group = group.take(np.argsort(group["p"].to_numpy(), kind="stable"))
+        u = _units(group["u"])
+        p, ids, size, own = (group[c].to_numpy() for c in ("p", "vec_id", "size", "own"))
+        mixed = group["i"][0] != group["j"][0]
+        along = u @ _directions(most, u.shape[1], 1)[:, : axes[-1] + 1]
+        side = (u @ _directions(COUNTED, u.shape[1], 99)).astype(np.float32)
+        found: list[np.ndarray] = []
 
         def link(a: np.ndarray, b: np.ndarray) -> None:
-            cosine = np.einsum("ij,ij->i", u[a], u[b])
-            a, b = a[cosine >= threshold], b[cosine >= threshold]
-            flip = ids[a] > ids[b]
-            a, b = np.where(flip, b, a), np.where(flip, a, b)
-            out.append(np.stack([ids[a], ids[b], size[b], size[a]], axis=1))
-
-        def table() -> pd.DataFrame:
-            # (a, b, vectors of b's class, vectors of a's class)
-            return pd.DataFrame(np.concatenate(out) if out else np.zeros((0, 4)), columns=["a", "b", "n_b", "n_a"], dtype="int64")
-
-        if pdf["tail"].iloc[0] < 0:
-            for at in range(0, len(u), 256):
-                near = u[at : at + 256] @ u[at:].T >= threshold - 1e-9
-                near &= np.arange(len(u) - at)[None, :] > np.arange(len(near))[:, None]
-                if first != second:
-                    near &= own[at : at + 256, None] != own[None, at:]
-                x, y = np.nonzero(near)
-                for k in range(0, len(x), 1 << 17):
-                    link(x[k : k + (1 << 17)] + at, y[k : k + (1 << 17)] + at)
-            return table()
-
-        side = (u @ axes).astype(np.float32)
+            near = np.einsum("ij,ij->i", u[a], u[b]) >= threshold
+            a, b = a[near], b[near]
+            for k in range(0, len(a), 4096):
+                x, y = along[a[k : k + 4096]], along[b[k : k + 4096]]
+                meet = (((x >= cut_at) & (y >= cut_at)) | ((x < -cut_at) & (y < -cut_at))) & (np.abs(x - y) <= window)
+                here = meet[:, axes].all(axis=1) & (meet.sum(axis=1) == order)  # and nowhere before
+                found.append(np.stack([a[k : k + 4096][here], b[k : k + 4096][here]]))
+
         ends = np.searchsorted(p, p + window, "right")
         for at in range(0, len(p), 256):
             stop = min(at + 256, len(p))
             reach = int(ends[at:stop].max())
             close = np.arange(at, reach)[None, :] < ends[at:stop, None]
             close &= np.arange(at, reach)[None, :] > np.arange(at, stop)[:, None]
-            if first != second:
+            if mixed:
                 close &= own[at:stop, None] != own[None, at:reach]
             x, y = np.nonzero(close)
             for k in range(0, len(x), 1 << 17):
@@ -152,77 +181,98 @@ def _links(threshold: float, dim: int, window: float):
                 a, b, hits = a[live], b[live], hits[live]
                 hits = hits + (np.abs(side[a, 16:] - side[b, 16:]) <= window).sum(axis=1)
                 link(a[hits >= need], b[hits >= need])
-        return table()
+        a, b = np.concatenate(found, axis=1) if found else np.zeros((2, 0), np.int64)
+        links = np.bincount(a, size[b], len(p)) + np.bincount(b, size[a], len(p))
+        by_id = np.argsort(ids, kind="stable")
+        rank = np.argsort(by_id)
+        joined = ids[by_id][_smallest(rank[a], rank[b], len(p))[rank]]
+        some = links > 0
+        return pa.table({"vec_id": ids[some], "n": links[some].astype(np.int64), "root": joined[some]})
 
     return run
 
 
+def _crossed(tail: int, order: int) -> list[int]:
+    """Axes of a crossing, ascending."""
+    out = []
+    for _ in range(order):
+        tail, one = divmod(tail, 2 * MAX_DIRECTIONS)
+        out.append(one // 2)
+    return out[::-1]
+
+
 def near_vectors(vectors: DataFrame, threshold: float = 0.93, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label") -> DataFrame:
     """(vec_id, n_links, component_id, kept) for every row.
 
-    Vectors of one label with a cosine of at least ``threshold`` are linked. Null, zero, empty and non-finite vectors,
-    vectors of another length than the longest, and rows without label are linked with nothing and kept. n_links counts
-    the other vectors linked directly; component_id is the smallest id reachable. Rows with a null id have no component
-    and are kept. Rows of one id are counted as that many vectors and share the id's component.
+    Vectors of one label and one length with a cosine of at least ``threshold`` are linked. Null, zero, empty and non-finite
+    vectors and rows without label are linked with nothing and kept. n_links counts the other vectors linked directly;
+    component_id is the smallest id reachable. Rows with a null id have no component and are kept. Rows of one id are
+    counted as that many vectors and share the id's component.
     """
-    valid = _valid(vectors, id_col, vec_col, label_col)
-    units = stored(valid, "units")
-    dim, n = units.agg(F.coalesce(F.max(F.size("u")), F.lit(0)), F.count("*")).first()
-    units = units.where(F.size("u") == dim)
-    key = F.xxhash64("u", "label")
-    keyed = units.withColumn("h", key)
-    classes = keyed.groupBy("label", "h").agg(F.min("vec_id").alias("rep"), F.count("*").alias("size"))
-    reps = stored(keyed.join(classes, ["label", "h"]).where("vec_id = rep").select("vec_id", "label", "u", "size").dropDuplicates(["vec_id", "label"]), "vectors")
-
-    sizes = reps.groupBy("label").count()
+    # vectors are compared inside a space, the label's vectors of one length
+    units = stored(_valid(vectors, id_col, vec_col, label_col).withColumn("space", F.concat_ws(":", F.size("u"), "label")).drop("label"), "units")
+    keyed = units.withColumn("h", F.xxhash64("u"))
+    classes = keyed.groupBy("space", "h").agg(F.min("vec_id").alias("rep"), F.count("*").alias("size"))
+    reps = stored(keyed.join(classes, ["space", "h"]).where("vec_id = rep").select("vec_id", "space", "u", "size").dropDuplicates(["vec_id", "space"]), "vectors")
+
+    sizes = reps.groupBy("space").count()
     largest = sizes.agg(F.coalesce(F.max("count"), F.lit(0))).first()[0]
     window = WIDTH * math.sqrt(2 * (1 - threshold))
-    # level k holds the labels of up to 2^k vectors
-    plans = [tails_for(1 << k, threshold, window) for k in range(int(largest).bit_length() + 1)]
-    cuts, counts = np.array([c for c, _ in plans]), np.array([m for _, m in plans])
-    axes = _directions(int(counts.max()), dim or 1, 1)
+    # level k holds the spaces of up to 2^k vectors
+    plans = [plan(1 << k, threshold, window) for k in range(int(largest).bit_length() + 1)]
+    most = max(m for _, _, m in plans)
     level = F.ceil(F.log2(F.col("count").cast("double"))).cast("int")
-    sized = reps.join(F.broadcast(sizes.select("label", "count", level.alias("level"))), "label")
-    placed = sized.where(F.col("count") > WHOLE).select("vec_id", "label", "u", "size", "level")
-    whole = sized.where(F.col("count") <= WHOLE).select("vec_id", "label", "u", "size", F.lit(-1).alias("tail"), F.lit(0.0).alias("p"), F.ceil(F.col("count") / BLOCK).cast("int").alias("parts"))
+    placed = reps.join(sizes.select("space", level.alias("level")), "space").select("vec_id", "space", "u", "size", "level")
 
     def beyond(some: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """(row, tail, projection) of what lies beyond the cuts."""
-        levels = some.column(4).to_numpy()
-        p = _units(some.column(2), dim) @ axes[:, : counts[levels].max()]
-        used = np.arange(p.shape[1])[None, :] < counts[levels][:, None]
-        for sign, kept in ((0, p <= -cuts[levels][:, None]), (1, p >= cuts[levels][:, None])):
-            row, axis = np.nonzero(kept & used)
-            yield row, (2 * axis + sign).astype(np.int32), p[row, axis]
+        """(row, crossing, projection on its first axis) of all crossings that the vectors lie in."""
+        lengths, levels = np.diff(some.column(2).offsets.to_numpy()), some.column(4).to_numpy()
+        for dim, k in {*zip(lengths.tolist(), levels.tolist())}:
+            order, cut_at, m = plans[k]
+            own = np.flatnonzero((lengths == dim) & (levels == k))
+            p = _units(some.column(2).take(pa.array(own))) @ _directions(most, dim, 1)[:, :m]
+            row, axis = np.nonzero((p >= cut_at) | (p < -cut_at))
+            tail = 2 * axis + (p[row, axis] >= cut_at)
+            if order > 1:
+                begin = np.searchsorted(row, np.arange(len(own) + 1))
+                crossed = [np.array([*combinations(range(a, b), order)], dtype=np.int64).reshape(-1, order) for a, b in zip(begin[:-1], begin[1:])]
+                at = np.concatenate(crossed)
+                key = np.zeros(len(at), dtype=np.int64)
+                for j in range(order):
+                    key = key * (2 * MAX_DIRECTIONS) + tail[at[:, j]]
+                row, axis, tail = row[at[:, 0]], axis[at[:, 0]], key
+            yield own[row], tail.astype(np.int64), p[row, axis]
 
     def tails(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, len(batch), 512):
                 some = batch.slice(at, 512)
                 for row, tail, p in beyond(some):
-                    cols = [some.column(i).take(pa.array(row)) for i in (0, 1, 2, 3)]
-                    yield pa.RecordBatch.from_arrays([*cols, pa.array(tail), pa.array(p)], ["vec_id", "label", "u", "size", "tail", "p"])
+                    for k in range(0, len(row), 1 << 15):
+                        part = slice(k, k + (1 << 15))
+                        cols = [some.column(i).take(pa.array(row[part])) for i in range(5)]
+                        yield pa.RecordBatch.from_arrays([*cols, pa.array(tail[part]), pa.array(p[part])], ["vec_id", "space", "u", "size", "level", "tail", "p"])
 
     def fills(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, len(batch), 512):
                 some = batch.slice(at, 512)
                 for row, tail, _ in beyond(some):
-                    yield pa.RecordBatch.from_arrays([some.column(1).take(pa.array(row)), pa.array(tail)], ["label", "tail"])
+                    yield pa.RecordBatch.from_arrays([some.column(1).take(pa.array(row)), pa.array(tail)], ["space", "tail"])
 
-    spread = placed.mapInArrow(tails, "vec_id long, label string, u array<double>, size long, tail int, p double")
-    crowded = placed.mapInArrow(fills, "label string, tail int").groupBy("label", "tail").count().where(F.col("count") > BLOCK)
-    parts = stored(crowded.select("label", "tail", F.ceil(F.col("count") / BLOCK).cast("int").alias("parts")), "parts")
-    split = spread.join(parts, ["label", "tail"], "left").select("vec_id", "label", "u", "size", "tail", "p", F.coalesce("parts", F.lit(1)).alias("parts")).union(whole)
+    spread = placed.mapInArrow(tails, "vec_id long, space string, u array<double>, size long, level int, tail long, p double")
+    crowded = placed.mapInArrow(fills, "space string, tail long").groupBy("space", "tail").count().where(F.col("count") > BLOCK)
+    parts = stored(crowded.select("space", "tail", F.ceil(F.col("count") / BLOCK).cast("int").alias("parts")), "parts")
+    split = spread.join(parts, ["space", "tail"], "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
     own = F.pmod(F.xxhash64("vec_id", F.lit(3)), F.col("parts")).cast("int")
     blocks = split.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    tasks = blocks.select("vec_id", "label", "u", "size", "tail", "p", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-    met = tasks.groupBy("label", "tail", "i", "j").applyInPandas(_links(threshold, dim or 1, window), "a long, b long, n_b long, n_a long")
-    links = stored(met.distinct(), "vector-links")
+    tasks = blocks.select("vec_id", "space", "u", "size", "level", "tail", "p", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    met = stored(tasks.groupBy("space", "tail", "i", "j").applyInArrow(_links(threshold, window, plans), "vec_id long, n long, root long"), "vector-links")
 
-    members = keyed.join(classes, ["label", "h"]).select("vec_id", "rep", "size")
-    comp = cut(connected_components(links, "a", "b"))
-    more = links.select(F.col("a").alias("rep"), F.col("n_b").alias("c")).union(links.select(F.col("b").alias("rep"), F.col("n_a").alias("c"))).groupBy("rep").agg(F.sum("c").alias("c"))
+    members = keyed.join(classes, ["space", "h"]).select("vec_id", "rep", "size")
+    edges = met.where("vec_id > root").select(F.col("root").alias("a"), F.col("vec_id").alias("b")).distinct()
+    comp = cut(connected_components(edges, "a", "b"))
+    more = met.groupBy(F.col("vec_id").alias("rep")).agg(F.sum("n").alias("c"))
     found = (
         members.join(more, "rep", "left")
         .join(comp.withColumnRenamed("node", "rep"), "rep", "left")

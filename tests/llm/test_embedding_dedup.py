@@ -1,3 +1,5 @@
+import math
+
 import numpy as np
 import pytest
 
@@ -75,24 +77,24 @@ def as_table(spark, label, u):
     return spark.createDataFrame([(i, int(x), v.tolist()) for i, (x, v) in enumerate(zip(label, u))], "vec_id long, label int, embedding array<double>")
 
 
-@pytest.mark.parametrize("whole", [0, 16384])
-def test_dense_group(spark, monkeypatch, whole):
+@pytest.mark.parametrize("order", [0, 2, 3])
+def test_dense_group(spark, monkeypatch, order):
     """A third of a label lies around one vector, most of its pairs close to the threshold on either side."""
-    monkeypatch.setattr(ed, "WHOLE", whole, raising=False)
+    if order:  # crossings of two and three tails, which large labels get
+        monkeypatch.setattr(ed, "plan", lambda n, threshold, window: (order, 1.0, ed.needed(2 * ed.meeting(1.0, threshold, window), order)))
     r = np.random.default_rng(3)
     one = r.standard_normal(64)
-    u = np.concatenate([one + r.standard_normal((1000, 64)) * 0.27, r.standard_normal((2000, 64))])
+    n = 100 if order == 3 else 1000
+    u = np.concatenate([one + r.standard_normal((n, 64)) * 0.27, r.standard_normal((2 * n, 64))])
     u /= np.linalg.norm(u, axis=1)[:, None]
     label = np.zeros(len(u), dtype=int)
     want = links_of(label, u)
     got = np.array([x.n_links for x in ed.near_vectors(as_table(spark, label, u)).orderBy("vec_id").collect()])
-    assert 200_000 < want.sum() < 950_000
+    assert 0.2 * n * n < want.sum() < 0.95 * n * n
     assert (got <= want).all() and got.sum() >= 0.9999 * want.sum(), (got.sum(), want.sum())
 
 
-@pytest.mark.parametrize("whole", [300, 16384])
-def test_small_labels_beside_a_large_one(spark, monkeypatch, whole):
-    monkeypatch.setattr(ed, "WHOLE", whole, raising=False)
+def test_small_labels_beside_a_large_one(spark):
     r = np.random.default_rng(4)
     label = np.concatenate([np.zeros(5000, dtype=int), *[np.full(n, k + 1) for k, n in enumerate((1, 2, 3, 10, 100))]])
     one = r.standard_normal((6, 64))
@@ -102,3 +104,25 @@ def test_small_labels_beside_a_large_one(spark, monkeypatch, whole):
     assert all(want[label == k].all() for k in (2, 3, 4, 5))
     got = np.array([x.n_links for x in ed.near_vectors(as_table(spark, label, u)).orderBy("vec_id").collect()])
     assert (got == want).all()
+
+
+@pytest.mark.parametrize("cosine", [0.6, 0.9])
+def test_labels_that_point_one_way(spark, cosine):
+    """All vectors of a label lie around its mean, and near pairs around the mean itself."""
+    r = np.random.default_rng(5)
+    mean = r.standard_normal(64) / 8
+    spread = math.sqrt((1 - cosine) / cosine)
+    u = np.concatenate([mean + r.standard_normal((3000, 64)) / 8 * spread, mean + r.standard_normal((60, 64)) / 8 * 0.27])
+    u /= np.linalg.norm(u, axis=1)[:, None]
+    label = np.zeros(len(u), dtype=int)
+    want = links_of(label, u)
+    assert want[3000:].all() and abs((u[:500] @ u[500:1000].T).mean() - cosine) < 0.05
+    got = np.array([x.n_links for x in ed.near_vectors(as_table(spark, label, u)).orderBy("vec_id").collect()])
+    assert (got <= want).all() and got.sum() >= 0.9999 * want.sum(), (got.sum(), want.sum())
+
+
+def test_vectors_of_several_lengths(spark):
+    rows = [(i, 1, [1.0, 2.0 + i / 100]) for i in range(5)] + [(9, 1, [1.0, 2.0, 3.0]), (10, 1, [1.0, 2.0, 3.01]), (11, 2, [1.0, 2.0, 3.0])]
+    df = spark.createDataFrame(rows, "vec_id long, label int, embedding array<double>")
+    got = {x.vec_id: (x.n_links, x.component_id) for x in ed.near_vectors(df).collect()}
+    assert got == {**{i: (4, 0) for i in range(5)}, 9: (1, 9), 10: (1, 9), 11: (0, 11)}
