@@ -1,13 +1,14 @@
 """Benchmark decontamination: size-partitioned MinHash containment search, verified exactly, in DataFrame functions only.
 
 A short test item inside a long document has a tiny Jaccard similarity but a large containment, so the two sides are
-treated differently. Items are partitioned by size (powers of two of their shingle count); an item of n shingles is
-sketched by its k smallest shingle hashes (bottom-k MinHash) with k = n - ceil(threshold * n) + 1. A document that holds
-at least the threshold's share of an item misses at most k - 1 of its shingles, so it holds one of the sketch for certain:
-the search loses nothing, whatever the document's length. Candidates are then verified on the full shingle sets.
-
-Documents are streamed once against the sketches and only candidates are read again. Nothing is gathered per item or per
-shingle, so an item that sits in a third of all documents is an ordinary join.
+treated differently. Items are partitioned by size, powers of two of their shingle count. Every item of a class is sketched by
+its k smallest shingle hashes (bottom-k MinHash), k being what the class's largest size m needs: m - ceil(threshold * m) + 1.
+A document that holds at least the threshold's share of an item misses fewer than k of its shingles, so it holds one of the
+sketch for certain: the search loses nothing, whatever the document's length. A document is matched only with the classes whose
+smallest items it is long enough to hold. Candidates are then verified on the full shingle sets.
+
+Documents are shingled once against the sketches, the candidates are written down, and only their documents are read
+again. Nothing is gathered per item or per shingle, so an item that sits in a third of all documents is an ordinary join.
 """
 
 from __future__ import annotations
@@ -15,6 +16,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyfield.session import stored
+
 MAX_BROADCAST = 2_000_000
 NOT_WORD = r"[^\p{L}\p{N}]+"
 
@@ -43,12 +46,17 @@ def _shingled(df: DataFrame, id_col: str, text_col: str, name: str, k: int) -> D
 
 
 def sketches(items: DataFrame, percent: int) -> DataFrame:
-    """(item_id, n, size_class, h): the bottom-k of each item's distinct shingles ``s``."""
+    """(item_id, size_class, least, h): the bottom-k of each item's distinct shingles ``s``, k set by its size class.
+
+    Class c holds the items of 2^c to 2^(c+1) - 1 shingles; a document with fewer than ``least`` holds none of them.
+    """
     n = F.size("s")
-    size = items.select("item_id", "s", n.alias("n"), F.floor(F.log2(n)).cast("int").alias("size_class")).where("n > 0")
-    k = F.col("n") - F.ceil(F.col("n") * percent / 100).cast("int") + 1
+    sized = items.where(n > 0).select("item_id", "s", F.floor(F.log2(n)).cast("int").alias("size_class"))
+    low, high = F.expr("shiftleft(1, size_class)"), F.expr("shiftleft(2, size_class) - 1")
+    share = lambda m: F.ceil(m * percent / 100).cast("int")
     order = F.transform(F.col("s"), lambda x: F.struct(F.xxhash64(x, F.lit(17)).alias("r"), x.alias("h")))
-    return size.select("item_id", "n", "size_class", F.explode_outer(F.slice(F.array_sort(order), 1, k)).alias("e")).select("item_id", "n", "size_class", "e.h")
+    taken = F.slice(F.array_sort(order), 1, high - share(high) + 1)
+    return sized.select("item_id", "size_class", share(low).alias("least"), F.explode_outer(taken).alias("e")).select("item_id", "size_class", "least", "e.h")
 
 
 def contained_items(docs: DataFrame, items: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
@@ -60,12 +68,13 @@ def contained_items(docs: DataFrame, items: DataFrame, k: int = 5, percent: int
     ``MAX_BROADCAST`` rows; beyond that the join is shuffled.
     """
     item_sets = _shingled(items, item_col, item_text, "item_id", k).select("item_id", F.array_distinct("s").alias("s"))
-    sketch = sketches(item_sets, percent).select("h", "item_id").distinct()
+    sketch = sketches(item_sets, percent).select("h", "item_id", "least").distinct()
     small = sketch.limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST
-    seen = _shingled(docs, id_col, text_col, "doc_id", k).select("doc_id", F.explode_outer("s").alias("h"))
-    candidates = seen.join(F.broadcast(sketch) if small else sketch, "h").select("doc_id", "item_id").distinct()
+    seen = _shingled(docs, id_col, text_col, "doc_id", k).select("doc_id", F.size("s").alias("runs"), F.explode_outer("s").alias("h"))
+    met = seen.join(F.broadcast(sketch) if small else sketch, "h").where("runs >= least").select("doc_id", "item_id").distinct()
+    candidates = stored(met, "contained")
 
-    ids = candidates.select(F.col("doc_id").alias(id_col)).distinct()
+    ids = _bounded(candidates.select(F.col("doc_id").alias(id_col)).distinct())
     again = _shingled(docs.join(ids, id_col, "left_semi"), id_col, text_col, "doc_id", k).select("doc_id", F.array_distinct("s").alias("d"))
     items_ = F.broadcast(item_sets) if small else item_sets
     shared = F.size(F.array_intersect("s", "d"))
@@ -73,10 +82,15 @@ def contained_items(docs: DataFrame, items: DataFrame, k: int = 5, percent: int
     return pairs.groupBy("doc_id", "item_id", "n_shingles").agg(F.max("n_shared").alias("n_shared")).where(F.col("n_shared") * 100 >= F.col("n_shingles") * percent).select("doc_id", "item_id", "n_shingles", "n_shared")
 
 
+def _bounded(ids: DataFrame) -> DataFrame:
+    """``ids`` to be broadcast if there are at most ``MAX_BROADCAST``, else as they are."""
+    return F.broadcast(ids) if ids.limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST else ids
+
+
 def drop_contaminated(docs: DataFrame, items: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id") -> DataFrame:
     """``docs`` without the documents that hold an item. Rows with a null id stay."""
-    found = contained_items(docs, items, k, percent, id_col).select(F.col("doc_id").alias(id_col)).distinct()
-    return docs.join(found, id_col, "left_anti").select(*docs.columns)
+    found = stored(contained_items(docs, items, k, percent, id_col).select(F.col("doc_id").alias(id_col)).distinct(), "contaminated")
+    return docs.join(_bounded(found), id_col, "left_anti").select(*docs.columns)
 
 
 def sql(k: int = 5, percent: int = 80) -> str:
