@@ -1,7 +1,9 @@
 """Licence scans by canonical digest lookup, in DataFrame functions only.
 
-An entire text is brought to a canonical form: lower case, copyright lines dropped, everything but letters and digits one
-blank, equivalent spellings replaced. Its SHA-256 is looked up among the digests of known licences by a hash join. The
+An entire text is brought to a canonical form: lower case, copyright notices dropped, everything but letters and digits one
+blank, equivalent spellings replaced. A notice is a line that begins with "copyright" before (c), a year, a placeholder or a
+colon, with (c) before "copyright", a year or a placeholder, or with the sign; and a line "all rights reserved". Lines that
+merely begin with the word are text, and so is a notice without a year. Its SHA-256 is looked up among the digests of known licences by a hash join. The
 units looked up are each document as a whole and each of its lines as a whole (a licence notice is one line).
 """
 
@@ -10,26 +12,32 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyfield.llm.license_texts import NOTICES, SPELLINGS, TEXTS
+from tallyfield.llm.license_texts import HEADERS, NOTICES, SPDX, SPELLINGS, TEXTS
 
 MAX_BROADCAST = 50_000
 
-COPYRIGHT_LINE = r"(?m)^[ \t]*(copyright|\(c\)|©).*$"
+COPYRIGHT_LINE = r"(?m)^[ \t]*(copyright[ \t]*(:|\(c\)|©|[0-9<\[{]).*|\(c\)[ \t]*(copyright|[0-9<\[{]).*|©.*|all rights reserved\.?[ \t]*)$"
 NOT_WORD = r"[^\p{L}\p{N}]+"
 
 
 def canonical(text: Column) -> Column:
     out = F.regexp_replace(F.lower(text), COPYRIGHT_LINE, "")
-    out = F.concat(F.lit(" "), F.regexp_replace(out, NOT_WORD, " "), F.lit(" "))
-    out = F.replace(out, F.lit("  "), F.lit(" "))
+    # two blanks between words, so that each has its own and equal spellings may follow each other
+    out = F.concat(F.lit(" "), F.regexp_replace(out, NOT_WORD, "  "), F.lit(" "))
     for old, new in SPELLINGS:
-        out = F.replace(out, F.lit(f" {old} "), F.lit(f" {new} "))
-    return F.trim(out)
+        out = F.replace(out, F.lit(f" {old} ".replace(" ", "  ")[1:-1]), F.lit(f" {new} ".replace(" ", "  ")[1:-1]))
+    return F.trim(F.replace(out, F.lit("  "), F.lit(" ")))
 
 
 def known_licenses(spark: SparkSession) -> DataFrame:
     """(license_id, text) of the fixed texts."""
-    return spark.createDataFrame([*NOTICES, *TEXTS], "license_id string, text string")
+    return spark.createDataFrame(fixed_texts(), "license_id string, text string")
+
+
+def fixed_texts() -> list[tuple[str, str]]:
+    """Notices, SPDX lines, and whole licences with and without their title line."""
+    lines = [(i, f"SPDX-License-Identifier: {i}") for i in sorted({*SPDX, *[i for i, *_ in TEXTS]})]
+    return [*NOTICES, *lines, *HEADERS, *[(i, f"{title}\n\n{body}") for i, title, body in TEXTS if title], *[(i, body) for i, _, body in TEXTS]]
 
 
 def digests(known: DataFrame) -> DataFrame:
@@ -67,12 +75,12 @@ def sql() -> str:
 
     def form(column: str) -> str:
         out = f"' ' || regexp_replace(regexp_replace(lower({column}), {quote(COPYRIGHT_LINE)}, '', 'g'), {quote(NOT_WORD)}, ' ', 'g') || ' '"
-        out = f"replace({out}, '  ', ' ')"
+        out = f"replace({out}, ' ', '  ')"
         for old, new in SPELLINGS:
-            out = f"replace({out}, ' {old} ', ' {new} ')"
-        return f"trim({out})"
+            out = f"replace({out}, {quote(' ' + old.replace(' ', '  ') + ' ')}, {quote(' ' + new.replace(' ', '  ') + ' ')})"
+        return f"trim(replace(replace({out}, '   ', ' '), '  ', ' '))"
 
-    rows = ", ".join(f"({quote(i)}, {quote(t)})" for i, t in [*NOTICES, *TEXTS])
+    rows = ", ".join(f"({quote(i)}, {quote(t)})" for i, t in fixed_texts())
     return f"""
 with known as (select sha256({form("t")}) as digest, min(i) as license_id from (values {rows}) v(i, t) group by 1),
 units as (select doc_id, true as whole, text as unit from documents
