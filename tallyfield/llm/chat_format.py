@@ -22,8 +22,9 @@ def opening_pairs(turns: DataFrame) -> DataFrame:
     """(pair_id, chosen_id, rejected_id): all conversations two by two, those with the same opening turn first.
 
     Conversations of one opening are numbered by (md5 of the id, id) and 1 goes with 2, 3 with 4, and so on. Those that
-    stay alone in their opening, one at most for each, are paired in the order of their opening's md5. Chosen is the one that ends with the assistant, then the one with more turns, then the smaller id.
-    pair_id is the smaller id. Numbers are dealt per slice of an opening and offset by the slices before, so that an
+    stay alone in their opening, one at most for each, are paired in the order of their opening's md5. Of an odd number of
+    conversations the last in that order has no partner and so no pair. Chosen is the one that ends with the assistant, then
+    the one with more turns, then the smaller id. pair_id is the smaller id. Numbers are dealt per slice of an opening and offset by the slices before, so that an
     opening that a third of all conversations share is never in one task.
     """
     valid = turns.where("conv_id is not null and turn is not null")
