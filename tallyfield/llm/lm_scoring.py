@@ -1,7 +1,8 @@
 """Language-model scoring with a sharded Elias-Fano bigram trie.
 
-Model: P(w | v) = a(v, w) + b(v) * P1(w), absolute discounting. a = (c(v, w) - D) / c(v) and b = D * T(v) / c(v) are kept
-as 8-bit codes on a log scale, P1(w) = (c(w) + 1) / (N + V + 1) is exact. T counts the successors of v. A document's first
+Model: P(w | v) = a(v, w) + b(v) * P1(w), absolute discounting. a = (c(v, w) - D) / c(v) is kept as an 8-bit code on a log
+scale, rounded down; b(v) is what the coded a leave of 1, coded alike; so no context's probabilities sum to more than 1.
+P1(w) = (c(w) + 1) / (N + V + 1) is exact. A document's first
 context and last token are the end mark. Nothing is pruned or capped, so vocabulary and trie grow with the corpus.
 
 Neither vocabulary nor trie is ever whole in one place. Documents are packed once into chunks (local word numbers and the
@@ -37,8 +38,8 @@ _STEP = -_FLOOR / 254
 
 
 def coded(x: np.ndarray) -> np.ndarray:
-    """Codes 1..255 of values in (0, 1]; 0 is kept for what is not there."""
-    return (255 - np.clip(np.rint(np.log10(x) / -_STEP), 0, 254)).astype(np.uint8)
+    """Codes 1..255 of values in (0, 1], rounded down; 0 is kept for what is not there."""
+    return (255 - np.clip(np.ceil(np.log10(x) / -_STEP - 1e-9), 0, 254)).astype(np.uint8)
 
 
 CODES = np.concatenate([[0.0], 10.0 ** (-_STEP * (255 - np.arange(1, 256)))])
@@ -205,10 +206,10 @@ def _trie_shard(path: str):
         c = np.add.reduceat(all_c, at) if len(at) else all_c
         contexts, begin, successors = np.unique(all_v[at], return_index=True, return_counts=True)
         total = np.add.reduceat(c, begin) if len(begin) else c
-        a = (c - DISCOUNT) / np.repeat(total, successors)
-        b = DISCOUNT * successors / total
+        a = coded((c - DISCOUNT) / np.repeat(total, successors))
+        b = 1 - np.add.reduceat(CODES[a], begin) if len(begin) else np.zeros(0)
         uri = f"{path}/trie-{shard}"
-        _put(uri, BigramTrie.pack(contexts, successors, all_w[at], coded(b), coded(a)).tobytes())
+        _put(uri, BigramTrie.pack(contexts, successors, all_w[at], coded(b), a).tobytes())
         trie = BigramTrie(_get(uri))
         codes, backoffs = [], []
         squeeze = zstandard.ZstdCompressor(level=1).compress
@@ -237,7 +238,7 @@ def _scores(path: str, shards: int, n: int, v: int):
         weight = np.where(backoff > 0, CODES[backoff], 1.0)
         begin = np.cumsum(sizes) - sizes
         total = lambda x: np.add.reduceat(x, begin)
-        score = total(np.log10(np.minimum(CODES[code][pair] + weight[pair] * single, 1.0)))
+        score = total(np.log10(CODES[code][pair] + weight[pair] * single))
         return pa.table({"doc_id": pa.array(ids, mask=ids == _NULL), "n_tokens": sizes, "n_known": total((counts > 0).astype(np.int64)), "train_tokens": np.full(len(ids), n), "base_score": total(np.log10(single)), "score": score})
 
     return run

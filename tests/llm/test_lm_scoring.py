@@ -37,23 +37,25 @@ def test_trie():
 
 def brute(rows):
     tokens = {d: [*re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")), None] for d, t, _ in rows}
-    one, two, ctx, succ = Counter(), Counter(), Counter(), Counter()
+    one, two, ctx, kept = Counter(), Counter(), Counter(), Counter()
     for d, _, held in rows:
         if not held:
             one.update(tokens[d])
             two.update(zip([None, *tokens[d]], tokens[d]))
     for (a, _), c in two.items():
         ctx[a] += c
-        succ[a] += 1
     n, v, out = sum(one.values()), len(one), {}
     code = lambda x: lm.CODES[lm.coded(np.array([x]))[0]]
+    for (a, _), c in two.items():
+        kept[a] += code((c - lm.DISCOUNT) / ctx[a])
+    assert all(kept[a] + code(1 - kept[a]) <= 1 + 1e-9 for a in ctx)  # what a context's probabilities sum to at most
     for d, _, held in rows:
         base = score = 0.0
         for a, b in zip([None, *tokens[d]], tokens[d]):
             p1 = (one[b] + 1) / (n + v + 1)
             base += math.log10(p1)
             p = code((two[a, b] - lm.DISCOUNT) / ctx[a]) if two[a, b] else 0.0
-            score += math.log10(min(1.0, p + (code(lm.DISCOUNT * succ[a] / ctx[a]) if ctx[a] else 1.0) * p1))
+            score += math.log10(p + (code(1 - kept[a]) if ctx[a] else 1.0) * p1)
         out[d] = (bool(held), len(tokens[d]), sum(one[x] > 0 for x in tokens[d]), n, round(base, 6), round(score, 6))
     return out
 
