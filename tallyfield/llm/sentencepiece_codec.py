@@ -19,7 +19,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MARK = "▁"
-CACHE_WORDS = 400_000
+CACHE_BYTES = 160 << 20
+PREFIX = 256  # characters of a word whose begun pieces are kept for the next one
 
 
 class SharedPrefixViterbi:
@@ -43,7 +44,7 @@ class SharedPrefixViterbi:
         unknown, root = self.unknown, self.root
         score, back, begun, out, before = [0.0], [(0, -1)], [[]], [], ""
         for word in words:
-            shared, most = 0, min(len(word), len(before))
+            shared, most = 0, min(len(word), len(before), PREFIX)
             while shared < most and word[shared] == before[shared]:
                 shared += 1
             del score[shared + 1 :], back[shared + 1 :], begun[shared + 1 :]
@@ -68,7 +69,8 @@ class SharedPrefixViterbi:
                 live = grown
                 score.append(best)
                 back.append(how)
-                begun.append(live)
+                if end < PREFIX:
+                    begun.append(live)
             ids: list[int] = []
             end = len(word)
             while end:
@@ -117,6 +119,7 @@ class Codec:
 
     def _clear(self) -> None:
         self.known: dict[str, list[int]] = {"\n": self.newline} if self.cut_lines else {}
+        self.held = 0
 
     def _words(self, text: str) -> list[str]:
         """The text cut at marks, and at line ends where no piece holds one."""
@@ -138,10 +141,12 @@ class Codec:
     def encode(self, texts: list[str | None]) -> list[list[int]]:
         """Ids of each whole text; null is empty."""
         split = [self._words(t or "") for t in texts]
-        if len(self.known) > CACHE_WORDS:
+        if self.held > CACHE_BYTES:
             self._clear()
         new = sorted(set(chain.from_iterable(split)).difference(self.known))
-        self.known.update(zip(new, self.trie.segment(new)))
+        ids = self.trie.segment(new)
+        self.known.update(zip(new, ids))
+        self.held += sum(map(len, new)) + 8 * sum(map(len, ids)) + 220 * len(new)  # about what words, lists and places take
         get = self.known.__getitem__
         return [list(chain.from_iterable(map(get, words))) for words in split]
 
