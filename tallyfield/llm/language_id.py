@@ -24,6 +24,7 @@ from tallyfield.llm import textarrays as ta
 DIM = 1024
 SEED = 7
 MAX_LANGUAGES = 1000
+SEGMENT = 1 << 21
 
 _LETTERS: list[np.ndarray] = []
 _VECTORS: dict[int, np.ndarray] = {}
@@ -44,32 +45,63 @@ def _letters() -> np.ndarray:
 
 def _vector(letter: int) -> np.ndarray:
     if letter not in _VECTORS:
-        _VECTORS[letter] = (np.random.default_rng([SEED, letter]).integers(0, 2, DIM) * 2 - 1).astype(np.float32)
+        _VECTORS[letter] = (np.random.default_rng([SEED, letter]).integers(0, 2, DIM) * 2 - 1).astype(np.int8)
     return _VECTORS[letter]
 
 
-def trigrams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(counts: documents x trigrams, vectors: trigrams x DIM) of a chunk of texts."""
-    n = len(offsets) - 1
-    chars = np.frombuffer(data.tobytes().decode("utf-8", "replace").encode("utf-32-le"), dtype=np.uint32)
-    first = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])[offsets]
-    letters = _letters()[chars]
-    alphabet, ids = np.unique(np.append(letters, 0), return_inverse=True)
-    ids = ids[:-1].astype(np.int64)
-    size = len(alphabet)
-    before, after = np.zeros_like(ids), np.zeros_like(ids)
-    before[1:], after[:-1] = ids[:-1], ids[1:]
-    inner = first[first < len(ids)]
-    before[inner] = 0
-    after[inner[inner > 0] - 1] = 0
-    at = np.flatnonzero(ids)
-    code = (before[at] * size + ids[at]) * size + after[at]
-    kinds, which = np.unique(code, return_inverse=True) if size**3 > 1 << 24 else _dense(code, size**3)
-    doc = np.searchsorted(first, at, "right") - 1
-    counts = np.bincount(doc * len(kinds) + which, minlength=n * len(kinds)).reshape(n, len(kinds)).astype(np.float32)
-    table = np.stack([_vector(int(c)) for c in alphabet])
-    vectors = np.roll(table, 2, axis=1)[kinds // size**2] * np.roll(table, 1, axis=1)[kinds // size % size] * table[kinds % size]
-    return counts, vectors
+def _segments(data: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Byte ranges of about ``SEGMENT`` that begin with a character."""
+    at = 0
+    while at < len(data):
+        end = min(len(data), at + SEGMENT)
+        while end < len(data) and data[end] & 0xC0 == 0x80:
+            end += 1
+        yield at, end
+        at = end
+
+
+def bundles(data: np.ndarray, offsets: np.ndarray, group: np.ndarray, groups: int) -> tuple[np.ndarray, np.ndarray]:
+    """(sum of the trigram vectors of each group of documents, trigrams in each).
+
+    Memory is bounded whatever the texts: segments cut long documents, with a character of context on either side, and
+    vectors are made for one block of trigram kinds at a time.
+    """
+    out, total = np.zeros((groups, DIM)), np.zeros(groups, dtype=np.int64)
+    for a, b in _segments(data):
+        low, high = max(a - 1, 0), b
+        while low and data[low] & 0xC0 == 0x80:
+            low -= 1
+        high += high < len(data)
+        while high < len(data) and data[high] & 0xC0 == 0x80:
+            high += 1
+        part = data[low:high]
+        chars = np.frombuffer(part.tobytes().decode("utf-8", "replace").encode("utf-32-le"), dtype=np.uint32)
+        place = np.flatnonzero((part & 0xC0) != 0x80) + low
+        doc = np.searchsorted(offsets, place, "right") - 1
+        alphabet, ids = np.unique(np.append(_letters()[chars], 0), return_inverse=True)
+        ids = ids[:-1].astype(np.int64)
+        size = len(alphabet)
+        same = doc[1:] == doc[:-1]
+        before, after = np.zeros_like(ids), np.zeros_like(ids)
+        before[1:], after[:-1] = ids[:-1] * same, ids[1:] * same
+        at = np.flatnonzero((ids > 0) & (place >= a) & (place < b))
+        if not len(at):
+            continue
+        code = (before[at] * size + ids[at]) * size + after[at]
+        kinds, which = np.unique(code, return_inverse=True) if size**3 > 1 << 24 else _dense(code, size**3)
+        own = group[doc[at]]
+        total += np.bincount(own, minlength=groups)
+        tables = [np.roll(np.stack([_vector(int(c)) for c in alphabet]), k, axis=1) for k in (2, 1, 0)]
+        width = max(64, min(8192, (1 << 22) // groups))
+        order = np.argsort(which, kind="stable") if len(kinds) > width else slice(None)
+        own, which = own[order], which[order]
+        edges = np.searchsorted(which, np.arange(0, len(kinds) + width, width)) if len(kinds) > width else [0, len(which)]
+        for n, (x, y) in enumerate(zip(edges[:-1], edges[1:])):
+            k = kinds[n * width : (n + 1) * width]
+            vectors = (tables[0][k // size**2] * tables[1][k // size % size] * tables[2][k % size]).astype(np.float32)
+            counts = np.bincount(own[x:y] * len(k) + which[x:y] - n * width, minlength=groups * len(k)).reshape(groups, len(k))
+            out += counts.astype(np.float32) @ vectors  # whole numbers below 2^24, so exact in any order
+    return out, total
 
 
 def _dense(code: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -94,12 +126,12 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Pr
         sums: dict[str, np.ndarray] = {}
         for batch in batches:
             data, offsets = ta.flat(batch.column(0))
-            langs = np.array(batch.column(1).to_pylist(), dtype=object)
+            langs = pa.array(batch.column(1)).dictionary_encode()
+            names, group = langs.dictionary.to_pylist(), langs.indices.to_numpy()
             for a, b in ta.chunks(offsets):
-                counts, vectors = trigrams(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-                for lang in set(langs[a:b]):
-                    own = counts[langs[a:b] == lang].sum(axis=0, dtype=np.float64) @ vectors.astype(np.float64)
-                    sums[lang] = sums.get(lang, 0) + own
+                found, _ = bundles(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], group[a:b], len(names))
+                for name, bundle in zip(names, found):
+                    sums[name] = sums.get(name, 0) + bundle
         if sums:
             yield pa.RecordBatch.from_arrays([pa.array(list(sums)), pa.array([v.astype(np.int64) for v in sums.values()])], ["lang", "bundle"])
 
@@ -130,13 +162,12 @@ def predict(docs: DataFrame, profiles: Profiles, keep: list[str], text_col: str
         for batch in batches:
             data, offsets = ta.flat(batch.column(len(keep)))
             best, score = np.full(len(batch), len(names) - 1), np.zeros(len(batch))
-            for a, b in ta.chunks(offsets) if len(names) > 1 else ():
-                counts, vectors = trigrams(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-                bundles = (counts @ vectors).astype(np.float64)
-                length = np.linalg.norm(bundles, axis=1)
-                cosines = bundles @ unit / np.where(length > 0, length, 1)[:, None]
+            for a, b in _slices(offsets) if len(names) > 1 else ():
+                found, total = bundles(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], np.arange(b - a), b - a)
+                length = np.linalg.norm(found, axis=1)
+                cosines = found @ unit / np.where(length > 0, length, 1)[:, None]
                 top = cosines.argmax(axis=1)
-                has = counts.any(axis=1)
+                has = total > 0
                 best[a:b] = np.where(has, top, len(names) - 1)
                 score[a:b] = np.where(has, np.clip(cosines[np.arange(b - a), top], 0, 1), 0)
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(names[best], pa.string()), pa.array(score)], [*out])
@@ -146,6 +177,12 @@ def predict(docs: DataFrame, profiles: Profiles, keep: list[str], text_col: str
     return docs.select(*keep, F.col(text_col).cast("string").alias("__text")).mapInArrow(run, schema)
 
 
+def _slices(offsets: np.ndarray) -> Iterator[tuple[int, int]]:
+    for a, b in ta.chunks(offsets):
+        for c in range(a, b, 1024):
+            yield c, min(b, c + 1024)
+
+
 def fold(id_col: str, parts: int) -> Column:
     """crc32 of the id as text modulo ``parts``; a null id is in no fold (-1)."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % parts, F.lit(-1))
