@@ -30,8 +30,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_repeated_spans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Removes sentences of repeated passages, and documents of which nothing is left; n_chars follows the text."""
-    kept = substring_dedup.remove_repeats(docs, keep=docs.columns, passages=False).where("n_removed = 0 or n_removed < n_sentences")
+    """Removes repeated passages, and documents of which no word is left; n_chars follows the text."""
+    kept = substring_dedup.remove_repeats(docs, keep=docs.columns).where(F.expr(r"n_removed = 0 or text rlike '[^ \\t\\n\\x0B\\f\\r]'"))
     return kept.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 
 
