@@ -1,3 +1,3 @@
 """Importing this package registers all queries."""
 
-from tallyfield.plans import corpus, draft, evaluation, history, live, models, review, scoring, timeline  # noqa: F401
+from tallyfield.plans import corpus, draft, evaluation, features, history, live, models, review, scoring, timeline  # noqa: F401

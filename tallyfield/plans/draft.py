@@ -35,11 +35,11 @@ def w14_primary_role(spark: SparkSession, sf_dir: str) -> DataFrame:
     return draft.primary_role(draft.role_distribution(views.participants(spark, sf_dir))).withColumn("pct", F.round("pct", 9))
 
 
-_CURATED = "curated as (select distinct cast(c_custkey % 25 as integer) champion, ['top', 'jungle', 'mid', 'bot', 'support'][c_nationkey % 5 + 1] as role, cast(c_custkey % 24 as integer) counter from customer where c_custkey % 7 = 0)"
+_CURATED = "curated as (select distinct cast(c_custkey % 25 as integer) champion, ['top', 'jungle', 'mid', 'bot', 'support'][c_nationkey % 5 + 1] as role, cast(c_custkey % 24 as integer) counter from customer)"
 
 
 def curated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = views.table(spark, sf_dir, "customer").where("c_custkey % 7 = 0")
+    c = views.table(spark, sf_dir, "customer")
     return c.select((F.col("c_custkey") % 25).cast("int").alias("champion"), views.role_of(F.col("c_nationkey") + 1).alias("role"), (F.col("c_custkey") % 24).cast("int").alias("counter")).distinct().withColumn("rate", F.lit(60.5))
 
 
@@ -51,12 +51,12 @@ def j23_u1_k3_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""with {_MATCH}, q as (select champion, opponent, role from (select distinct cast(c_custkey % 25 as integer) champion, cast(c_custkey % 23 as integer) opponent, ['top', 'jungle', 'mid', 'bot', 'support'][c_nationkey % 5 + 1] as role from customer)),
-half as (select * from rates where games % 2 = 0), l as (select q.*, coalesce(a.win_rate, 100 - b.win_rate) w from q left join half a on a.champion = q.champion and a.role = q.role and a.opponent = q.opponent left join half b on b.champion = q.opponent and b.role = q.role and b.opponent = q.champion)
+l as (select q.*, coalesce(a.win_rate, 100 - b.win_rate) w from q left join rates a on a.champion = q.champion and a.role = q.role and a.opponent = q.opponent left join rates b on b.champion = q.opponent and b.role = q.role and b.opponent = q.champion)
 select champion, opponent, role, case when w between 25 and 75 then round(w, 9) end win_rate from l""")
 def j24_p33_matchup_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = views.table(spark, sf_dir, "customer")
     asked = c.select((F.col("c_custkey") % 25).cast("int").alias("champion"), (F.col("c_custkey") % 23).cast("int").alias("opponent"), views.role_of(F.col("c_nationkey") + 1).alias("role")).distinct()
-    table = draft.matchups(views.participants(spark, sf_dir)).where("games % 2 = 0")
+    table = draft.matchups(views.participants(spark, sf_dir))
     return draft.matchup_lookup(asked, table).withColumn("win_rate", F.round("win_rate", 9))
 
 

@@ -24,8 +24,11 @@ EVENTS = """raw_events as (select date_diff('day', date '2024-01-01', cast(ts as
   (date_part('hour', ts) * 3600000 + date_part('minute', ts) * 60000 + cast(floor((epoch_us(ts) % 60000000) / 1000) as bigint)) // 40 t_ms,
   case event_type when 'purchase' then 'champion_kill' when 'error' then 'elite_monster_kill' when 'signup' then 'building_kill' when 'click' then 'ward_placed' when 'view' then 'ward_kill' end kind,
   user_id % 10 + 1 killer, cast(json_extract_string(props, '$.k') as bigint) % 10 + 1 victim, (cast(json_extract_string(props, '$.k') as bigint) + user_id) % 10 + 1 a,
-  event_id * 7919 % 15000 x, event_id * 104729 % 15000 y, value from events),
-timeline as (select game_id, event_id, t_ms, kind, killer, victim, case when a <> killer and a <> victim then a end assist, x, y, value from raw_events where killer <> victim and kind is not null)"""
+  event_id * 7919 % 15000 x, event_id * 104729 % 15000 y, value,
+  case when event_type = 'error' then ['HORDE', 'DRAGON', 'RIFTHERALD', 'BARON_NASHOR', 'ATAKHAN'][event_id % 5 + 1] end monster_type,
+  case when event_type = 'signup' then ['TOWER_BUILDING', 'TOWER_BUILDING', 'INHIBITOR_BUILDING', 'TOWER_BUILDING'][event_id % 4 + 1] end building_type,
+  case when event_type = 'signup' then ['TOP_LANE', 'MID_LANE', 'BOT_LANE'][event_id % 3 + 1] end lane from events),
+timeline as (select game_id, event_id, t_ms, kind, killer, victim, case when a <> killer and a <> victim then a end assist, x, y, value, monster_type, building_type, lane from raw_events where killer <> victim and kind is not null)"""
 
 FRAMES = """spine as (select g.game_id, p.participant_id, m.minute from (select distinct game_id from timeline) g, range(1, 11) p(participant_id), range(1, 37) m(minute)),
 done as (select game_id, killer participant_id, least(36, t_ms // 60000 + 1) as minute, sum(cast(round(value * 100) as bigint)) g, arg_max(x, event_id + t_ms * 100000000) lx, arg_max(y, event_id + t_ms * 100000000) ly from timeline group by 1, 2, 3),

@@ -62,11 +62,22 @@ def timeline_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = F.create_map(*[F.lit(x) for p in KINDS.items() for x in p])
     actor, target = (F.col("user_id") % 10 + 1).cast("int"), (F.col("k") % 10 + 1).cast("int")
     helper = ((F.col("k") + F.col("user_id")) % 10 + 1).cast("int")
-    out = e.select(day.alias("game_id"), "event_id", F.floor(clock / 40).cast("long").alias("t_ms"), kind[F.col("event_type")].alias("kind"), actor.alias("killer"), target.alias("victim"), helper.alias("assist"), (F.col("event_id") * 7919 % 15000).cast("int").alias("x"), (F.col("event_id") * 104729 % 15000).cast("int").alias("y"), "value")
+    out = e.select(day.alias("game_id"), "event_id", F.floor(clock / 40).cast("long").alias("t_ms"), kind[F.col("event_type")].alias("kind"), actor.alias("killer"), target.alias("victim"), helper.alias("assist"), *_details(), (F.col("event_id") * 7919 % 15000).cast("int").alias("x"), (F.col("event_id") * 104729 % 15000).cast("int").alias("y"), "value")
     own = (F.col("assist") == F.col("killer")) | (F.col("assist") == F.col("victim"))
     return out.where("killer != victim and kind is not null").withColumn("assist", F.when(~own, F.col("assist")))
 
 
+def _details() -> list[Column]:
+    """Monster, building and lane of an event, each for its kind only."""
+    of = lambda names: F.element_at(F.array(*[F.lit(n) for n in names]), (F.col("event_id") % len(names) + 1).cast("int"))
+    building = F.col("event_type") == "signup"
+    return [F.when(F.col("event_type") == "error", of(MONSTERS)).alias("monster_type"), F.when(building, of(BUILDINGS)).alias("building_type"), F.when(building, of(LANES)).alias("lane")]
+
+
+MONSTERS = ("HORDE", "DRAGON", "RIFTHERALD", "BARON_NASHOR", "ATAKHAN")
+BUILDINGS = ("TOWER_BUILDING", "TOWER_BUILDING", "INHIBITOR_BUILDING", "TOWER_BUILDING")
+LANES = ("TOP_LANE", "MID_LANE", "BOT_LANE")
+
 # Which event stands for what.
 KINDS = {"purchase": "champion_kill", "error": "elite_monster_kill", "signup": "building_kill", "click": "ward_placed", "view": "ward_kill"}
 
@@ -94,4 +105,5 @@ def label_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def player_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "orders").where("o_orderkey % 50 < 2").select(F.floor(F.col("o_orderkey") / 10).cast("long").alias("game_id"), F.col("o_custkey").alias("puuid"))
+    """Games and the players in them, every order one edge."""
+    return table(spark, sf_dir, "orders").select(F.floor(F.col("o_orderkey") / 10).cast("long").alias("game_id"), F.col("o_custkey").alias("puuid"))
