@@ -38,11 +38,16 @@ def pair_differences(pairs: DataFrame, records: DataFrame, features: list[str],
     return both.select(target.alias("target"), weight.alias("weight"), *[(F.col(f"left_{f}") - F.col(f"right_{f}")).alias(f) for f in features])
 
 
-def normalize(records: DataFrame, features: list[str]) -> DataFrame:
-    """Features centred by their median and scaled by 1.4826 x MAD; nulls become 0."""
+def robust_scales(records: DataFrame, features: list[str]) -> dict[str, tuple[float, float]]:
+    """(median, 1.4826 x MAD) of each feature that has a value."""
     long = records.select(F.explode(F.create_map(*[x for f in features for x in (F.lit(f), F.col(f).cast("double"))])).alias("f", "v"))
-    scale = {r["f"]: (r["center"], r["scale"]) for r in robust_center(long, "v", "f").collect()}  # a row for each feature
-    return records.withColumns({f: F.coalesce((F.col(f) - scale[f][0]) / scale[f][1], F.lit(0.0)) if f in scale else F.lit(0.0) for f in features})
+    return {r["f"]: (r["center"], r["scale"]) for r in robust_center(long, "v", "f").collect()}  # a row for each feature
+
+
+def normalize(records: DataFrame, features: list[str], scales: dict[str, tuple[float, float]] | None = None) -> DataFrame:
+    """Features centred by their median and scaled by 1.4826 x MAD, of these records unless given; nulls become 0."""
+    scales = robust_scales(records, features) if scales is None else scales
+    return records.withColumns({f: F.coalesce((F.col(f) - scales[f][0]) / scales[f][1], F.lit(0.0)) if f in scales else F.lit(0.0) for f in features})
 
 
 def logistic_sums(diffs: DataFrame, names: list[str]) -> Callable[[dict[str, float]], tuple[float, ...]]:

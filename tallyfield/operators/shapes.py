@@ -1,13 +1,17 @@
-"""Non-linear pairwise models: monotone splines and boosted stumps from histograms."""
+"""Non-linear pairwise models: monotone splines, and boosted stumps and trees from histograms."""
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyfield.operators.models import logistic_sums, pair_differences
+from tallyfield.operators.components import connected_components
+from tallyfield.operators.corpus import unit
+from tallyfield.operators.models import LOCAL, logistic_sums, pair_differences
 
 SHRINKAGE = 0.15
 BINS = 256
@@ -109,77 +113,250 @@ def thresholds(records: DataFrame, feature: str, bins: int = BINS) -> list[float
     return [(a + b) / 2 for a, b in zip(few, few[1:])]
 
 
-def best_stump(histogram: list, cuts: dict[str, list[float]], directions: dict[str, int], min_leaf: int) -> tuple[float, Stump] | None:
-    """The split with the largest gain from rows (feature, bin, n, sum of targets); ties by name, then threshold."""
+def bin_column(f: str, cuts: list[float]) -> Column:
+    """How many cuts lie below a value: its bin; null for a missing value."""
+    x = F.col(f).cast("double")
+    below = F.filter(F.array(*[F.lit(c) for c in cuts]).cast("array<double>"), lambda c: c < x)
+    return F.when(x.isNotNull(), F.size(below) if cuts else F.lit(0))
+
+
+def best_stump(histogram: dict[str, dict[int, tuple[float, float]]], cuts: dict[str, list[float]], directions: dict[str, int], min_leaf: int) -> tuple[float, Stump] | None:
+    """The split with the largest gain from (items, sum of targets) by feature and bin; ties by name, then threshold."""
     found = None
-    by: dict[str, dict[int, tuple[int, float]]] = {}
-    for f, b, n, s in histogram:
-        by.setdefault(f, {})[b] = (n, s)
-    for f, bins in by.items():
+    for f, bins in histogram.items():
         total_n, total_s = sum(n for n, _ in bins.values()), sum(s for _, s in bins.values())
         n = s = 0
         for b, cut in enumerate(cuts[f]):
             n, s = n + bins.get(b, (0, 0.0))[0], s + bins.get(b, (0, 0.0))[1]
             if n < min_leaf or total_n - n < min_leaf:
                 continue
-            means = [s / n, (total_s - s) / (total_n - n)]
-            low, high = isotonic(means, [1.0, 1.0], directions[f])
+            low, high = isotonic([s / n, (total_s - s) / (total_n - n)], [1.0, 1.0], directions[f])
             gain = 2 * (low * s + high * (total_s - s)) - (low * low * n + high * high * (total_n - n))
             if found is None or (gain, f, cut) > (found[0], found[1].feature, found[1].threshold):
                 found = (gain, Stump(f, cut, low, high))
     return found
 
 
-def fit_boosted_stumps(pairs: DataFrame, records: DataFrame, directions: dict[str, int], rounds: int = 50, min_leaf: int = 5, min_gain: float = 1e-6, tolerance: float = 1e-7, tie_weight: float = 0.5) -> list[Stump]:
+def stop_groups(pairs: DataFrame, records: DataFrame, group: str, share: float = 0.2, at_least: int = 4, seed: str = "0") -> DataFrame:
+    """(item_ref, stop): items whose games are set aside. Games that a pair connects are set aside together, by hash."""
+    games = records.select("item_ref", F.col(group).alias("g"))
+    side = lambda name: games.select(F.col("item_ref").alias(f"{name}_ref"), F.col("g").alias(f"{name}_g"))
+    across = pairs.join(side("left"), "left_ref").join(side("right"), "right_ref").where("left_g != right_g").select("left_g", "right_g").distinct()
+    comp = connected_components(across, "left_g", "right_g").withColumnRenamed("node", "g")
+    keyed = games.join(comp, "g", "left").select("item_ref", F.coalesce("component", "g").alias("k"))
+    few = keyed.select("k").distinct().limit(at_least).count() < at_least
+    return keyed.select("item_ref", (F.lit(not few) & (unit(F.concat_ws(":", F.lit(seed), F.col("k").cast("string"))) < share)).alias("stop"))
+
+
+class _Rounds:
+    """Sums over pairs of binned items, equal pairs once with their number; on the driver up to ``LOCAL`` different ones."""
+
+    def __init__(self, binned: DataFrame, features: list[str]) -> None:
+        self.features = features
+        names = [f"{side}_{f}" for side in ("left", "right") for f in features]
+        self.table = binned.groupBy("target", "weight", "stop", *names).agg(F.count("*").alias("n")).persist()
+        self.local = self.table.toPandas() if self.table.count() <= LOCAL else None
+        if self.local is not None:
+            self.bins = {n: self.local[n].fillna(-1).to_numpy(dtype=int) for n in names}
+            self.target, self.weight, self.n = (self.local[c].to_numpy(dtype=float) for c in ("target", "weight", "n"))
+            self.stop = self.local["stop"].to_numpy(dtype=bool)
+
+    def __call__(self, curves: dict[str, list[float]]) -> tuple[dict[bool, tuple[float, float]], dict[str, dict[int, float]]]:
+        """((loss, pairs) by stop, pull by feature and bin) of the scores that ``curves`` give each bin."""
+        if self.local is None:
+            return self._cluster(curves)
+        score = lambda side: sum(np.append(curves[f], 0.0)[self.bins[f"{side}_{f}"]] for f in self.features)
+        p = 1 / (1 + np.exp(np.clip(score("right") - score("left"), -700, 700)))
+        safe = np.clip(p, 1e-9, 1 - 1e-9)
+        loss = -self.weight * self.n * (self.target * np.log(safe) + (1 - self.target) * np.log(1 - safe))
+        losses = {k: (float(loss[self.stop == k].sum()), float(self.n[self.stop == k].sum())) for k in (False, True)}
+        e = np.where(self.stop, 0.0, (p - self.target) * self.weight * self.n)
+        pull: dict[str, dict[int, float]] = {}
+        for f in self.features:
+            size = len(curves[f]) + 1
+            both = np.bincount(self.bins[f"right_{f}"] + 1, e, size) - np.bincount(self.bins[f"left_{f}"] + 1, e, size)
+            pull[f] = {b: float(x) for b, x in enumerate(both[1:])}
+        return losses, pull
+
+    def _cluster(self, curves: dict[str, list[float]]) -> tuple[dict[bool, tuple[float, float]], dict[str, dict[int, float]]]:
+        one = lambda side, f: F.coalesce(F.get(F.array(*[F.lit(float(y)) for y in curves[f]]), F.col(f"{side}_{f}")), F.lit(0.0))
+        score = lambda side: sum((one(side, f) for f in self.features), F.lit(0.0))
+        rated = self.table.withColumn("p", 1 / (1 + F.exp(score("right") - score("left")))).withColumn("safe", F.least(F.lit(1 - 1e-9), F.greatest(F.lit(1e-9), F.col("p"))))
+        entropy = -(F.col("target") * F.log("safe") + (1 - F.col("target")) * F.log(1 - F.col("safe")))
+        losses = {False: (0.0, 0.0), True: (0.0, 0.0)} | {r["stop"]: (r["loss"], float(r["pairs"])) for r in rated.groupBy("stop").agg(F.sum(entropy * F.col("weight") * F.col("n")).alias("loss"), F.sum("n").alias("pairs")).collect()}
+        e = (F.col("p") - F.col("target")) * F.col("weight") * F.col("n")
+        ends = F.array(*[F.struct(F.lit(f).alias("f"), F.col(f"{side}_{f}").alias("b"), (e * sign).alias("x")) for f in self.features for side, sign in (("left", -1), ("right", 1))])
+        pull: dict[str, dict[int, float]] = {f: {} for f in self.features}
+        for r in rated.where("not stop").select(F.explode(ends).alias("e")).where("e.b is not null").groupBy("e.f", "e.b").agg(F.sum("e.x").alias("x")).collect():
+            pull[r["f"]][r["b"]] = r["x"]
+        return losses, pull
+
+
+def _binned_pairs(pairs: DataFrame, bins: DataFrame, features: list[str], tie_weight: float, stops: DataFrame | None) -> DataFrame:
+    for side in ("left", "right"):
+        pairs = pairs.join(bins.select(F.col("item_ref").alias(f"{side}_ref"), *[F.col(f).alias(f"{side}_{f}") for f in features]), f"{side}_ref")
+    if stops is not None:  # both ends are in one group
+        pairs = pairs.join(stops.withColumnRenamed("item_ref", "left_ref"), "left_ref")
+    target = F.when(F.col("choice") == "left", 1.0).when(F.col("choice") == "right", 0.0).when(F.col("choice") == "tie", 0.5)
+    weight = F.when(F.col("choice") == "tie", tie_weight).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("confidence"))) if "confidence" in pairs.columns else 1.0)
+    return pairs.withColumns({"target": target, "weight": weight, "stop": F.col("stop") if stops is not None else F.lit(False)}).where("target is not null")
+
+
+def fit_boosted_stumps(pairs: DataFrame, records: DataFrame, directions: dict[str, int], rounds: int = 100, min_leaf: int = 3, min_gain: float = 1e-9, tolerance: float = 1e-7, tie_weight: float = 0.5, group: str | None = None, patience: int = 5) -> list[Stump]:
     """Monotone stumps added one by one to the negative pairwise gradient of every item.
 
-    A round is one job: gradients are summed per item, joined to the items' bins and summed per (feature, bin). Only that
-    histogram, at most ``BINS`` rows a feature, reaches the driver.
+    A score depends on an item's bins alone, so the fit needs only how many pairs there are of each two sets of bins; these
+    are counted once. A round sums them per (feature, bin). With ``group``, the items' game, a fifth of the connected games is
+    set aside; the fit ends after ``patience`` rounds in which their loss does not fall, and goes back to where it was lowest.
     """
     features = list(directions)
     cuts = {f: thresholds(records, f) for f in features}
-    r = records.select("item_ref", *[F.col(f).cast("double").alias(f) for f in features])
-    for side in ("left", "right"):
-        pairs = pairs.join(r.select(F.col("item_ref").alias(f"{side}_ref"), *[F.col(f).alias(f"{side}_{f}") for f in features]), f"{side}_ref")
-    target = F.when(F.col("choice") == "left", 1.0).when(F.col("choice") == "right", 0.0).when(F.col("choice") == "tie", 0.5)
-    weight = F.when(F.col("choice") == "tie", tie_weight).otherwise(1.0)
-    both = pairs.withColumns({"target": target, "weight": weight}).where("target is not null").persist()
-    def bin_of(f: str) -> Column:
-        below = F.filter(F.array(*[F.lit(c) for c in cuts[f]]).cast("array<double>"), lambda c: c < F.col(f))
-        return F.when(F.col(f).isNotNull(), F.size(below))
-
-    binned = r.select("item_ref", F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), bin_of(f).alias("bin")) for f in features])).alias("b")).select("item_ref", "b.*").where("bin is not null").persist()
+    bins = records.select("item_ref", *[bin_column(f, cuts[f]).alias(f) for f in features])
+    stops = stop_groups(pairs, records, group) if group else None
+    used = bins if stops is None else bins.join(stops.where("not stop"), "item_ref", "left_semi")
+    counts: dict[str, dict[int, int]] = {f: {} for f in features}
+    for r in used.select(F.explode(F.array(*[F.struct(F.lit(f).alias("f"), F.col(f).alias("b")) for f in features])).alias("x")).where("x.b is not null").groupBy("x.f", "x.b").count().collect():
+        counts[r["f"]][r["b"]] = r["count"]  # a row for each feature and bin
+    sums = _Rounds(_binned_pairs(pairs, bins, features, tie_weight, stops), features)
+    curves = {f: [0.0] * (len(cuts[f]) + 1) for f in features}
     stumps: list[Stump] = []
-    before = None
+    before, lowest, kept = None, None, 0
     try:
-        n = both.count()
-        for _ in range(rounds if n else 0):
-            score = lambda side: sum((s.column(f"{side}_") for s in stumps), F.lit(0.0))
-            p = 1 / (1 + F.exp(score("right") - score("left")))
-            rated = both.withColumns({"e": (p - F.col("target")) * F.col("weight"), "safe": F.least(F.lit(1 - 1e-9), F.greatest(F.lit(1e-9), p))})
-            entropy = -(F.col("target") * F.log("safe") + (1 - F.col("target")) * F.log(1 - F.col("safe")))
-            loss = rated.agg(F.sum(F.col("weight") * entropy)).first()[0] / n
-            ends = F.array(F.struct(F.col("left_ref").alias("item_ref"), (-F.col("e")).alias("t")), F.struct(F.col("right_ref").alias("item_ref"), F.col("e").alias("t")))
-            pull = rated.select(F.explode(ends).alias("x")).groupBy("x.item_ref").agg(F.sum("x.t").alias("t"))
-            rows = binned.join(pull, "item_ref", "left").groupBy("feature", "bin").agg(F.count("*"), F.sum(F.coalesce("t", F.lit(0.0)))).collect()
-            found = best_stump([tuple(x) for x in rows], cuts, directions, min_leaf)
+        losses, pull = sums(curves)
+        if not losses[False][1]:
+            return []
+        apart = group is not None and losses[True][1] > 0
+        lowest = losses[True][0]
+        for _ in range(rounds):
+            found = best_stump({f: {b: (n, pull[f].get(b, 0.0)) for b, n in counts[f].items()} for f in features}, cuts, directions, min_leaf)
             if found is None or found[0] <= min_gain:
                 break
             s = found[1]
-            stumps.append(Stump(s.feature, s.threshold, s.low * SHRINKAGE, s.high * SHRINKAGE))
+            s = Stump(s.feature, s.threshold, s.low * SHRINKAGE, s.high * SHRINKAGE)
+            stumps.append(s)
+            at = cuts[s.feature].index(s.threshold)
+            curves[s.feature] = [y + (s.low if b <= at else s.high) for b, y in enumerate(curves[s.feature])]
+            loss = losses[False][0] / losses[False][1]
+            losses, pull = sums(curves)
+            if apart and losses[True][0] < lowest:
+                lowest, kept = losses[True][0], len(stumps)
+            elif apart and len(stumps) - kept >= patience:
+                break
             if before is not None and abs(before - loss) < tolerance:
                 break
             before = loss
     finally:
-        both.unpersist()
-        binned.unpersist()
-    return stumps
+        sums.table.unpersist()
+    return stumps[:kept] if apart else stumps
+
+
+@dataclass(frozen=True)
+class Node:
+    """A leaf's value, or a split: at most the threshold goes low, above it high, a missing feature ends in 0."""
+
+    value: float
+    feature: str | None = None
+    threshold: float = 0.0
+    low: Node | None = None
+    high: Node | None = None
+
+    def column(self) -> Column:
+        if self.feature is None:
+            return F.lit(self.value)
+        x = F.col(self.feature)
+        return F.when(x <= self.threshold, self.low.column()).when(x > self.threshold, self.high.column()).otherwise(0.0)
+
+    def size(self) -> int:
+        return 1 if self.feature is None else 1 + self.low.size() + self.high.size()
+
+
+def _clip(x: float, low: float, high: float) -> float:
+    return max(low, min(high, x))
+
+
+def best_split(histogram: dict[str, dict[int, tuple[float, float, float]]], whole: tuple[float, float, float], cuts: dict[str, list[float]], directions: dict[str, int], min_leaf: int, bounds: tuple[float, float]):
+    """(gain, feature, cut, bounds below, bounds above) of the best bounded split of a node, from (items, sum, squares) a bin."""
+    low, high = bounds
+    n, s, q = whole
+    value = _clip(s / n, low, high)
+    parent, found = q - 2 * value * s + n * value * value, None
+    for f, bins in histogram.items():
+        total = [sum(x[i] for x in bins.values()) for i in range(3)]
+        below = [0.0, 0.0]
+        for b, cut in enumerate(cuts[f]):
+            below = [below[i] + bins.get(b, (0, 0.0, 0.0))[i] for i in range(2)]
+            above = [total[i] - below[i] for i in range(2)]
+            if below[0] < min_leaf or above[0] < min_leaf:
+                continue
+            means = [below[1] / below[0], above[1] / above[0]]
+            middle = _clip(sum(means) / 2, low, high)
+            sides = ((low, middle), (middle, high)) if directions[f] > 0 else ((middle, high), (low, middle)) if directions[f] < 0 else ((low, high), (low, high))
+            a, c = (_clip(m, *side) for m, side in zip(means, sides))
+            gain = parent - (total[2] - 2 * a * below[1] + below[0] * a * a - 2 * c * above[1] + above[0] * c * c)
+            if found is None or (gain, f, cut) > found[:3]:
+                found = (gain, f, cut, *sides)
+    return found
+
+
+def fit_monotone_tree(pairs: DataFrame, records: DataFrame, directions: dict[str, int], max_depth: int = 3, min_leaf: int = 4, min_gain: float = 1e-9, tie_weight: float = 0.5) -> Node:
+    """A tree on every item's pairwise gradient at score 0; children's values stay inside intervals that keep it monotone.
+
+    A level is one job: items are grouped by (node, feature, bin) to (items, sum, squares). Only these histograms, at most
+    ``BINS`` rows for each feature and node, reach the driver.
+    """
+    features = list(directions)
+    cuts = {f: thresholds(records, f) for f in features}
+    target = F.when(F.col("choice") == "left", 0.5).when(F.col("choice") == "right", -0.5).when(F.col("choice") == "tie", 0.0)
+    weight = F.when(F.col("choice") == "tie", tie_weight).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("confidence"))) if "confidence" in pairs.columns else 1.0)
+    known = records.select("item_ref")
+    usable = pairs.withColumn("t", target * weight).where("t is not null").join(known.withColumnRenamed("item_ref", "left_ref"), "left_ref", "left_semi").join(known.withColumnRenamed("item_ref", "right_ref"), "right_ref", "left_semi")
+    ends = F.array(F.struct(F.col("left_ref").alias("item_ref"), F.col("t")), F.struct(F.col("right_ref").alias("item_ref"), (-F.col("t")).alias("t")))
+    pull = usable.select(F.explode(ends).alias("e")).groupBy("e.item_ref").agg(F.sum("e.t").alias("t"))
+    if pull.limit(1).count() == 0:
+        return Node(0.0)
+    items = records.join(pull, "item_ref", "left").select(*[bin_column(f, cuts[f]).alias(f) for f in features], F.coalesce("t", F.lit(0.0)).alias("t")).persist()
+    # places of open nodes: bits of the way down, and how to get there
+    open_: dict[int, tuple[tuple[float, float], Column]] = {1: ((-math.inf, math.inf), F.lit(True))}
+    made: dict[int, tuple] = {}
+    try:
+        for depth in range(max_depth + 1):
+            if not open_:
+                break
+            place = F.coalesce(*[F.when(where, F.lit(k)) for k, (_, where) in open_.items()])
+            each = F.array(F.struct(F.lit("").alias("f"), F.lit(0).alias("b")), *[F.struct(F.lit(f).alias("f"), F.col(f).alias("b")) for f in features])
+            rows = items.select(place.alias("k"), "t", F.explode(each).alias("x")).where("k is not null and x.b is not null").groupBy("k", "x.f", "x.b").agg(F.count("*"), F.sum("t"), F.sum(F.col("t") * F.col("t"))).collect()
+            by: dict[int, dict[str, dict[int, tuple]]] = {}
+            for k, f, b, *sums in rows:
+                by.setdefault(k, {}).setdefault(f, {})[b] = tuple(sums)
+            now, open_ = open_, {}
+            for k, (bounds, where) in now.items():
+                whole = by[k].pop("")[0]
+                value = _clip(whole[1] / whole[0], *bounds)
+                found = best_split(by[k], whole, cuts, directions, min_leaf, bounds) if depth < max_depth and whole[0] >= 2 * min_leaf else None
+                if found is None or found[0] <= min_gain:
+                    made[k] = (value, None, 0.0)
+                    continue
+                _, f, cut, below, above = found
+                made[k] = (value, f, cut)
+                at = cuts[f].index(cut)
+                open_[2 * k] = (below, where & (F.col(f) <= at))
+                open_[2 * k + 1] = (above, where & (F.col(f) > at))
+    finally:
+        items.unpersist()
+
+    def node(k: int) -> Node:
+        value, f, cut = made[k]
+        return Node(value) if f is None else Node(value, f, cut, node(2 * k), node(2 * k + 1))
+
+    return node(1)
 
 
 def shape_score(stumps: list[Stump]) -> Column:
     return sum((s.column() for s in stumps), F.lit(0.0))
 
 
-def parameters(model: dict | list) -> int:
-    """Numbers that a model has: knots, or three for each stump."""
+def parameters(model: dict | list | Node) -> int:
+    """Numbers that a model has: knots, three for each stump, or the nodes of a tree."""
+    if isinstance(model, Node):
+        return model.size()
     return sum(len(k) for k in model.values()) if isinstance(model, dict) else 3 * len(model)

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyfield.catalog import query
-from tallyfield.operators import models, shapes
+from tallyfield.operators import comparison, models, shapes
+from tallyfield.session import scratch
 from tallyfield.sources import views
-from tallyfield.sources.view_sql import PARTICIPANTS
+from tallyfield.sources.view_sql import MATCHES, PARTICIPANTS
 
 _FEATURES = {"kills": 0.4, "assists": 0.3, "deaths": -0.5}
 #: The reference's constants; so many steps that the tolerances end the fit.
@@ -30,7 +31,7 @@ def _training(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, d
     names = {"kills": 1, "assists": 1, "deaths": -1}
     left, right = p.where("participant_id <= 5"), p.where("participant_id > 5")
     pairs = left.select("game_id", "participant_id", F.col("item_ref").alias("left_ref"), F.col("damage_to_champions").alias("a")).join(right.select("game_id", (F.col("participant_id") - 5).alias("participant_id"), F.col("item_ref").alias("right_ref"), F.col("damage_to_champions").alias("b")), ["game_id", "participant_id"])
-    labelled = pairs.select("left_ref", "right_ref", F.when(F.col("a") > F.col("b"), "left").when(F.col("a") < F.col("b"), "right").otherwise("tie").alias("choice"))
+    labelled = pairs.select("game_id", "left_ref", "right_ref", F.when(F.col("a") > F.col("b"), "left").when(F.col("a") < F.col("b"), "right").otherwise("tie").alias("choice"))
     return p, labelled, names
 
 
@@ -53,5 +54,98 @@ def m15_fit_pairwise_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def m16_fit_boosted_stumps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Up to 100 rounds; a fifth of the games ends the fit. Checked against plain rounds in the tests."""
     p, pairs, names = _training(spark, sf_dir)
-    return p.select("game_id", "participant_id", shapes.shape_score(shapes.fit_boosted_stumps(pairs, p, names, rounds=4)).alias("raw"))
+    return p.select("game_id", "participant_id", shapes.shape_score(shapes.fit_boosted_stumps(pairs, p, names, group="game_id")).alias("raw"))
+
+
+@query()
+def m17_fit_monotone_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Checked against plain recursion in the tests."""
+    p, pairs, names = _training(spark, sf_dir)
+    return p.select("game_id", "participant_id", shapes.fit_monotone_tree(pairs, p, names).column().alias("raw"))
+
+
+_BUCKET = "cast('0x' || substr(sha256(cast(game_id as varchar)), 1, 2) as integer)"
+_SPLIT = f"case when {_BUCKET} < 26 then 'test' when {_BUCKET} < 52 then 'validation' else 'train' end"
+
+
+def split_of(game: str) -> Column:
+    """A game's split by two digits of its hash."""
+    bucket = F.conv(F.substring(F.sha2(F.col(game).cast("string"), 256), 1, 2), 16, 10).cast("int")
+    return F.when(bucket < 26, "test").when(bucket < 52, "validation").otherwise("train")
+
+
+def _split_training(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, dict[str, int]]:
+    p, pairs, names = _training(spark, sf_dir)
+    return p, pairs.withColumn("split", split_of("game_id")).drop("game_id"), names
+
+
+@query()
+def m19_compare_families(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p, pairs, names = _split_training(spark, sf_dir)
+    return comparison.compare_families(p, pairs, names)[0]
+
+
+@query()
+def m20_evaluate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The report on a fixed linear score; its parts have SQL of their own (A20 to A28, W11)."""
+    p, pairs, _ = _training(spark, sf_dir)
+    scored = comparison.scored_pairs(pairs, p, models.linear_score(_FEATURES))
+    roles = p.select("item_ref", "role")
+    both = scored.join(roles.select(F.col("item_ref").alias("left_ref"), F.col("role").alias("left_role")), "left_ref").join(roles.select(F.col("item_ref").alias("right_ref"), F.col("role").alias("right_role")), "right_ref")
+    return comparison.report(both.withColumn("confidence", F.abs(F.col("p") - 0.5) * 2), {"role": "role"}, confidence="confidence")
+
+
+_VERSIONS = f"""{PARTICIPANTS}, sets as (select p.*, s.source, v.version, date '2024-01-01' + cast((p.game_id * v.version) % 5 as integer) created_at from participants p cross join (select unnest(['match_v5', 'aggregate']) source) s cross join (select unnest([1, 2]) as version) v where s.source = 'aggregate' or p.game_id % 3 > 0),
+newest as (select game_id, source, max((created_at, version)) v from sets group by 1, 2),
+records as (select s.game_id, s.participant_id, s.source, s.version, s.kills, s.deaths, s.assists, s.role, {_SPLIT.replace("game_id", "s.game_id")} split, s.game_id || ':' || s.participant_id base_ref, s.game_id || ':' || s.participant_id || ':' || s.source item_ref from sets s join newest n on n.game_id = s.game_id and n.source = s.source and n.v = (s.created_at, s.version) where s.game_id % 7 > 0)"""
+
+
+def feature_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two versions of two sources of the participants' counts."""
+    p = views.participants(spark, sf_dir)
+    rows = p.withColumn("source", F.explode(F.array(F.lit("match_v5"), F.lit("aggregate")))).withColumn("version", F.explode(F.array(F.lit(1), F.lit(2))))
+    return rows.where("source = 'aggregate' or game_id % 3 > 0").withColumn("created_at", F.date_add(F.lit("2024-01-01").cast("date"), (F.col("game_id") * F.col("version") % 5).cast("int")))
+
+
+def _set(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    sets = feature_sets(spark, sf_dir)
+    manifest = sets.where("game_id % 7 > 0").select("game_id", "source").distinct()
+    records = comparison.training_records(manifest, sets, manifest.select("game_id", split_of("game_id").alias("split")).distinct())
+    labels = _training(spark, sf_dir)[1].drop("game_id")
+    return records, comparison.training_pairs(labels, records)
+
+
+@query(f"with {_VERSIONS} select game_id, participant_id, source, version, split, base_ref, item_ref from records")
+def m13_s4_training_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Written as a training set, read again with its counts checked."""
+    path = scratch(spark, "training-set")
+    comparison.write_training_set(*_set(spark, sf_dir), path)
+    return comparison.read_training_set(spark, path)[0].select("game_id", "participant_id", "source", "version", "split", "base_ref", "item_ref")
+
+
+@query(f"""with {_VERSIONS}, ends as (select game_id, participant_id, damage_to_champions d from participants),
+pairs as (select a.game_id || ':' || a.participant_id left_ref, b.game_id || ':' || b.participant_id right_ref, case when a.d > b.d then 'left' when a.d < b.d then 'right' else 'tie' end choice from ends a join ends b on a.game_id = b.game_id and b.participant_id = a.participant_id + 5),
+t as (select base_ref, count(*) filter (source = 'match_v5') m, count(*) filter (source = 'aggregate') a from records group by 1)
+select p.left_ref, p.right_ref, p.choice, coalesce(x.m, 0) + coalesce(y.m, 0) = 2 match_v5, coalesce(x.a, 0) + coalesce(y.a, 0) = 2 "aggregate" from pairs p left join t x on x.base_ref = p.left_ref left join t y on y.base_ref = p.right_ref""")
+def j20_tiers_side_by_side(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return comparison.side_by_side(_training(spark, sf_dir)[1].drop("game_id"), _set(spark, sf_dir)[0], ["match_v5", "aggregate"])
+
+
+@query()
+def m33_train_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The third tier has no records, so its model is neutral."""
+    records, pairs = _set(spark, sf_dir)
+    wanted = {"kills": 1, "assists": 1, "deaths": -1}
+    return comparison.train_tiers(records, pairs.where("split = 'train'").drop("split"), {"match_v5": wanted, "aggregate": {"kills": 1, "deaths": -1}, "live_client": {"kills": 1}})
+
+
+@query(f"""with {PARTICIPANTS}, {MATCHES}, l as (select m.game_id, p.team_id, p.win from matches m join participants p on p.game_id = m.game_id and p.participant_id = m.local_id)
+select distinct p.game_id, p.team_id, case when p.team_id = l.team_id then cast(l.win as integer) else 1 - cast(l.win as integer) end::double outcome from participants p join l using (game_id)""")
+def p37_s7_team_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p, path = views.participants(spark, sf_dir), scratch(spark, "outcomes")
+    m = views.matches(spark, sf_dir)
+    won = p.select("game_id", F.col("participant_id").alias("local_id"), F.col("win").alias("local_win"))
+    comparison.write_outcomes(comparison.team_outcomes(m.join(won, ["game_id", "local_id"]), p), path)
+    return spark.read.parquet(path)

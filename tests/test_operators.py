@@ -211,3 +211,187 @@ def test_registered_fits_run_to_their_tolerances(spark, monkeypatch):
     here = models.logistic_sums(diffs, list(names))(kept["linear"].coefficients)
     monkeypatch.setattr(models, "LOCAL", 0)
     assert np.allclose(here, models.logistic_sums(diffs, list(names))(kept["linear"].coefficients))
+
+
+def plain_stumps(items, pairs, directions, rounds, min_leaf):
+    """Rounds over all items, without bins or groups: [(feature, threshold, low, high)]."""
+    score, out, before = dict.fromkeys(items, 0.0), [], None
+    for _ in range(rounds):
+        pull, loss = dict.fromkeys(items, 0.0), 0.0
+        for a, b, choice in pairs:
+            p, t, w = 1 / (1 + math.exp(score[b] - score[a])), {"left": 1.0, "right": 0.0, "tie": 0.5}[choice], 0.5 if choice == "tie" else 1.0
+            loss -= w * (t * math.log(p) + (1 - t) * math.log(1 - p)) / len(pairs)
+            pull[a] -= (p - t) * w
+            pull[b] += (p - t) * w
+        best = None
+        for f, d in directions.items():
+            values = sorted({v[f] for v in items.values() if v[f] is not None})
+            for cut in [(x + y) / 2 for x, y in zip(values, values[1:])]:
+                low, high = ([pull[i] for i, v in items.items() if v[f] is not None and (v[f] <= cut) == side] for side in (True, False))
+                if min(len(low), len(high)) < min_leaf:
+                    continue
+                a, b = shapes.isotonic([sum(low) / len(low), sum(high) / len(high)], [1.0, 1.0], d)
+                gain = sum(x * x for x in low + high) - sum((x - a) ** 2 for x in low) - sum((x - b) ** 2 for x in high)
+                if best is None or gain > best[0] + 1e-12:
+                    best = (gain, f, cut, a, b)
+        if best is None or best[0] <= 1e-9:
+            break
+        _, f, cut, a, b = best
+        out.append((f, cut, a * shapes.SHRINKAGE, b * shapes.SHRINKAGE))
+        for i, v in items.items():
+            score[i] += 0.0 if v[f] is None else out[-1][2] if v[f] <= cut else out[-1][3]
+        if before is not None and abs(before - loss) < 1e-7:
+            break
+        before = loss
+    return out
+
+
+def plain_tree(items, pull, directions, depth, min_leaf, low, high):
+    n = len(items)
+    clip = lambda x, a, b: max(a, min(b, x))
+    value = clip(sum(pull[i] for i in items) / n, low, high)
+    best = None
+    for f, d in directions.items() if depth and n >= 2 * min_leaf else ():
+        values = sorted({v[f] for v in items.values() if v[f] is not None})
+        for cut in [(x + y) / 2 for x, y in zip(values, values[1:])]:
+            below, above = ({i: v for i, v in items.items() if v[f] is not None and (v[f] <= cut) == side} for side in (True, False))
+            if min(len(below), len(above)) < min_leaf:
+                continue
+            a, b = (sum(pull[i] for i in x) / len(x) for x in (below, above))
+            mid = clip((a + b) / 2, low, high)
+            sides = [(low, mid), (mid, high)][:: 1 if d > 0 else -1] if d else [(low, high)] * 2
+            a, b = clip(a, *sides[0]), clip(b, *sides[1])
+            gain = sum((pull[i] - value) ** 2 for i in items) - sum((pull[i] - a) ** 2 for i in below) - sum((pull[i] - b) ** 2 for i in above)
+            if best is None or gain > best[0] + 1e-12:
+                best = (gain, f, cut, below, above, sides)
+    if best is None or best[0] <= 1e-9:
+        return value
+    _, f, cut, below, above, sides = best
+    return (f, cut, plain_tree(below, pull, directions, depth - 1, min_leaf, *sides[0]), plain_tree(above, pull, directions, depth - 1, min_leaf, *sides[1]))
+
+
+def walk(tree, v):
+    while isinstance(tree, tuple):
+        f, cut, low, high = tree
+        if v[f] is None:
+            return 0.0
+        tree = low if v[f] <= cut else high
+    return tree
+
+
+def noisy_pairs(spark):
+    import random
+
+    r = random.Random(4)
+    items = {f"i{k}": {"x": r.choice([None, *[round(r.gauss(0, 1), 2) for _ in range(9)]]), "y": float(r.randint(0, 12)), "z": r.random()} for k in range(150)}
+    names, pairs = sorted(items), []
+    for _ in range(400):
+        a, b = r.sample(names, 2)
+        gap = (items[a]["y"] > 6) * 2 - (items[b]["y"] > 6) * 2 - (items[a]["x"] or 0) + (items[b]["x"] or 0) + r.gauss(0, 0.7)
+        pairs.append((a, b, "tie" if abs(gap) < 0.2 else "left" if gap > 0 else "right"))
+    records = spark.createDataFrame([(i, int(i[1:]) % 40, *v.values()) for i, v in items.items()], "item_ref string, game_id long, x double, y double, z double")
+    return items, pairs, records, spark.createDataFrame([*pairs, ("i1", "none", "left"), ("i1", "i2", "unclear")], "left_ref string, right_ref string, choice string")
+
+
+def test_stumps_equal_plain_rounds(spark, monkeypatch):
+    items, pairs, records, df = noisy_pairs(spark)
+    directions = {"x": -1, "y": 1, "z": 0}
+    want = plain_stumps(items, pairs, directions, 12, 3)
+    for _ in range(2):  # on the driver, then on the cluster
+        got = shapes.fit_boosted_stumps(df, records, directions, rounds=12)
+        assert [(s.feature, s.threshold) for s in got] == [x[:2] for x in want]
+        assert all(abs(s.low - x[2]) < 1e-9 and abs(s.high - x[3]) < 1e-9 for s, x in zip(got, want))
+        monkeypatch.setattr(shapes, "LOCAL", 0)
+
+
+def test_stumps_stop_on_games_set_aside(spark):
+    _, _, records, df = noisy_pairs(spark)
+    inside = df.join(records.select(F.col("item_ref").alias("left_ref"), F.col("game_id").alias("a")), "left_ref").join(records.select(F.col("item_ref").alias("right_ref"), F.col("game_id").alias("b")), "right_ref")
+    stops = shapes.stop_groups(inside.where("a % 8 = b % 8"), records, "game_id")
+    marked = {r.item_ref: r.stop for r in stops.collect()}
+    linked = inside.where("a % 8 = b % 8").collect()
+    assert linked and all(marked[r.left_ref] == marked[r.right_ref] for r in linked)
+    assert not shapes.stop_groups(df, records.withColumn("game_id", F.col("game_id") % 3), "game_id").where("stop").count()  # too few groups
+    fit = shapes.fit_boosted_stumps(inside.where("a % 8 = b % 8"), records, {"z": 0}, group="game_id", patience=2)
+    assert len(fit) < 100
+
+
+def test_tree_equals_plain_recursion(spark):
+    items, pairs, records, df = noisy_pairs(spark)
+    pull = dict.fromkeys(items, 0.0)
+    for a, b, choice in pairs:
+        t = {"left": 0.5, "right": -0.5, "tie": 0.0}[choice]
+        pull[a] += t
+        pull[b] -= t
+    for directions in ({"x": -1, "y": 1, "z": 0}, {"x": 0, "y": -1}):
+        want = plain_tree(items, pull, directions, 3, 4, -math.inf, math.inf)
+        got = shapes.fit_monotone_tree(df, records, directions)
+        for r in records.select("item_ref", got.column().alias("s")).collect():
+            assert abs(r.s - walk(want, items[r.item_ref])) < 1e-9
+    assert shapes.fit_monotone_tree(df.limit(0), records, {"x": 1}) == shapes.Node(0.0)
+
+
+def test_families_compared_on_a_step(spark):
+    """Utility jumps at 7: a family that bends must win over the line, and the tree may not win without two levels."""
+    import random
+
+    from tallyfield.operators import comparison
+
+    r = random.Random(9)
+    rows, pairs = [], []
+    for g in range(240):
+        kills = [r.randint(0, 15), r.randint(0, 15)]
+        rows += [(f"{g}:{k}", g, float(x), None if k else 1.0) for k, x in enumerate(kills)]
+        worth = [0.1 * x + (10 if x >= 7 else 0) for x in kills]
+        pairs.append((f"{g}:0", f"{g}:1", "left" if worth[0] > worth[1] else "right" if worth[0] < worth[1] else "tie", "train" if g < 160 else "validation" if g < 200 else "test"))
+    records = spark.createDataFrame(rows, "item_ref string, game_id long, kills double, other double")
+    df = spark.createDataFrame(pairs, "left_ref string, right_ref string, choice string, split string")
+    table, best = comparison.compare_families(records, df, {"kills": 1})
+    got = {x.family: x for x in table.collect()}
+    assert set(got) == set(comparison.FAMILIES) and all(x.validation_accuracy > 0.5 for x in got.values())
+    assert [x.selected for x in got.values()].count(True) == 1 and got[best.family].test_accuracy > 0.8
+    assert all(x.test_accuracy is None for x in got.values() if not x.selected)
+    few, none = comparison.compare_families(records, df.where("split != 'train' or left_ref < '102'").where("left_ref != '0:0'").limit(12), {"kills": 1})
+    assert none is None and {x.reason for x in few.collect()} == {"too_few_pairs"}
+
+
+def test_report_has_every_measure(spark):
+    from tallyfield.operators import comparison
+
+    rows = [(g, f"{g}a", f"{g}b", "left" if g % 3 else "right", 1.0, 0.5, 0.6 + (g % 4) / 10, "top", "top" if g % 2 else "mid") for g in range(40)] + [(99, "x", "y", "tie", 1.0, 1.0, 0.5, None, None)]
+    df = spark.createDataFrame(rows, "game_id long, left_ref string, right_ref string, choice string, left_score double, right_score double, p double, left_role string, right_role string").withColumn("confidence", F.col("p") / 2)
+    got = {(r.metric, r.slice): r.value for r in comparison.report(df, {"role": "role"}, confidence="confidence").collect()}
+    assert abs(got["accuracy", ""] - 26 / 40) < 1e-12 and (got["ties", ""], got["scored", ""]) == (1, 40)
+    assert {k[1] for k in got if k[0] == "accuracy_by_role"} == {"top", "mixed", "unknown"}
+    want = sum((0.6 + (g % 4) / 10 - (1.0 if g % 3 else 0.0)) ** 2 for g in range(40)) / 41
+    assert abs(got["brier", ""] - want) < 1e-9 and got["resampled_low", ""] <= got["resampled_mean", ""] <= got["resampled_high", ""]
+    assert sum(k[0] == "risk_at" for k in got) == 10
+
+
+def test_rank_metrics_leave_incomplete_rows_out(spark):
+    rows = [(1, float(i), 2.0 * i) for i in range(10)] + [(1, 11.0, None), (1, None, 3.0), (2, 1.0, None)]
+    df = spark.createDataFrame(rows, "g int, x double, y double")
+    assert [(r.n, round(r.pearson, 9)) for r in evaluation.pearson(df, "x", "y", "g").collect()] == [(10, 1.0)]
+    assert [round(r.spearman, 9) for r in evaluation.spearman(df, "x", "y", "g").collect()] == [1.0]
+    assert [r.tau_b for r in evaluation.kendall_tau_b(df, "x", "y", "g").collect()] == [1.0]
+
+
+def test_inversions():
+    import numpy as np
+
+    r = np.random.default_rng(1)
+    for n in (0, 1, 2, 3, 7, 64, 100, 333):
+        v = r.integers(0, 20, n)
+        assert evaluation.inversions(v) == sum(v[i] > v[j] for i in range(n) for j in range(i + 1, n))
+
+
+def test_training_set_counts_are_checked(spark, tmp_path):
+    from tallyfield.operators import comparison
+
+    one = spark.createDataFrame([(1,), (2,)], "a int")
+    path = f"file://{tmp_path}/set"
+    comparison.write_training_set(one, one.limit(1), path)
+    assert [x.count() for x in comparison.read_training_set(spark, path)] == [2, 1]
+    one.write.mode("append").parquet(f"{path}/pairs")
+    with pytest.raises(ValueError, match="pairs"):
+        comparison.read_training_set(spark, path)
