@@ -63,6 +63,14 @@ def raw_rates(players: DataFrame, duration: str = "duration") -> DataFrame:
     })
 
 
+def midrank_among(metric: str, rows: Column, inverted: bool = False) -> Column:
+    """The same percentile from the group's rows at hand: 100 (below + (equal - 1) / 2) / (n - 1), 50 for one row."""
+    below = F.size(F.filter(rows, lambda r: r[metric] < F.col(metric)))
+    equal = F.size(F.filter(rows, lambda r: r[metric] == F.col(metric)))
+    share = F.when(F.size(rows) > 1, 100 * (below + (equal - 1) / 2) / (F.size(rows) - 1)).otherwise(50.0)
+    return 100 - share if inverted else share
+
+
 def role_bucket(role: Column) -> Column:
     return F.when(role == "jungle", "jungle").when(role == "support", "support").when(role.isin("top", "mid", "bot"), "lane").otherwise("unknown")
 
@@ -70,12 +78,14 @@ def role_bucket(role: Column) -> Column:
 def score_composite(players: DataFrame, group: str = "game_id", size: int = 10) -> DataFrame:
     """Adds five components, total_score and match_rank. Groups that do not have exactly ``size`` rows are left out.
 
-    One shuffle by ``group``: the windows over (group), (group, team) and (group, metric) all reuse it.
+    One shuffle by ``group``: the windows over (group) and (group, team) reuse it, and percentiles are taken inside each row
+    over the ``size`` rows of its group, so no metric needs a sort.
     """
     full = players.withColumn("__n", F.count(F.lit(1)).over(Window.partitionBy(group))).where(F.col("__n") == size).drop("__n")
     rated = raw_rates(team_totals(full, group))
     metrics = sorted({m for ms in COMPONENTS.values() for m in ms})
-    ranked = rated.withColumns({f"__{m}": midrank(m, [group], m in LOWER_IS_BETTER) for m in metrics})
+    others = rated.withColumn("__all", F.collect_list(F.struct(*metrics)).over(Window.partitionBy(group)))
+    ranked = others.withColumns({f"__{m}": midrank_among(m, F.col("__all"), m in LOWER_IS_BETTER) for m in metrics}).drop("__all")
     parts = ranked.withColumns({name: sum((F.col(f"__{m}") for m in ms), F.lit(0.0)) / len(ms) for name, ms in COMPONENTS.items()})
     bucket = role_bucket(F.col("role"))
     weighted = F.lit(0.0)

@@ -80,15 +80,21 @@ def active_runs(runs: DataFrame, key: str = "game_id") -> DataFrame:
 def lookback(rows: DataFrame, k: int = 5, keys: tuple[str, ...] = ("puuid", "role"), time: str = "creation", eligible: Column | None = None, value: str = "total_score") -> DataFrame:
     """Adds ``previous``: the last ``k`` values of eligible rows strictly before the row's time, newest first.
 
-    The frame ends one microsecond before the row, so rows of the same instant do not see each other. Inside the frame
-    only k structs are kept by the slice; a key's history is its own window, as in any per-player lookback.
+    Rows of the same instant do not see each other, and rows with a null key or time see nothing. Each instant with eligible rows carries the
+    newest k values up to it, from a frame of k instants; every instant takes those of the last one before it. So a
+    row costs the same however long its key's history is.
     """
-    w = Window.partitionBy(*keys).orderBy("__t").rangeBetween(Window.unboundedPreceding, -1)
     stamped = rows.withColumn("__t", F.unix_micros(F.col(time).cast("timestamp")))
     kept = F.struct(F.col("__t").alias("t"), F.col("game_id"), F.col(value).alias("v"))
     kept = kept if eligible is None else F.when(eligible, kept)
-    seen = F.slice(F.sort_array(F.collect_list(kept).over(w), asc=False), 1, k)
-    return stamped.withColumn("previous", F.transform(seen, lambda s: s["v"])).drop("__t")
+    newest = lambda x: F.slice(F.sort_array(x, asc=False), 1, k)
+    instants = stamped.groupBy(*keys, "__t").agg(newest(F.collect_list(kept)).alias("__own")).withColumn("__has", F.size("__own") > 0)
+    recent = newest(F.flatten(F.collect_list("__own").over(Window.partitionBy(*keys, "__has").orderBy("__t").rowsBetween(1 - k, 0))))
+    before = F.last(F.when(F.col("__has"), F.col("__recent")), True).over(Window.partitionBy(*keys).orderBy("__t").rowsBetween(Window.unboundedPreceding, -1))
+    seen = instants.withColumn("__recent", recent).withColumn("__before", before).select(*keys, "__t", "__before")
+    out = stamped.join(seen, [*keys, "__t"], "left").select(*[F.col(c) for c in stamped.columns], "__before")
+    past = F.transform("__before", lambda s: s["v"])
+    return out.withColumn("previous", F.coalesce(past, F.array().cast(out.select(past.alias("p")).schema[0].dataType))).drop("__t", "__before")
 
 
 def retry_state(attempts: DataFrame, key: str = "game_id") -> DataFrame:
