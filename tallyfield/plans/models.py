@@ -97,21 +97,21 @@ def m20_evaluate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return comparison.report(both.withColumn("confidence", F.abs(F.col("p") - 0.5) * 2), {"role": "role"}, confidence="confidence")
 
 
-_VERSIONS = f"""{PARTICIPANTS}, sets as (select p.*, s.source, v.version, date '2024-01-01' + cast((p.game_id * v.version) % 5 as integer) created_at from participants p cross join (select unnest(['match_v5', 'aggregate']) source) s cross join (select unnest([1, 2]) as version) v where s.source = 'aggregate' or p.game_id % 3 > 0),
+_VERSIONS = f"""{PARTICIPANTS}, {MATCHES}, sets as (select p.*, s.source, v.version, date '2024-01-01' + cast((p.game_id * v.version) % 5 as integer) created_at from participants p join matches m using (game_id) cross join (select unnest(['match_v5', 'aggregate']) source) s cross join (select unnest([1, 2]) as version) v where s.source = 'aggregate' or m.duration >= 900),
 newest as (select game_id, source, max((created_at, version)) v from sets group by 1, 2),
-records as (select s.game_id, s.participant_id, s.source, s.version, s.kills, s.deaths, s.assists, s.role, {_SPLIT.replace("game_id", "s.game_id")} split, s.game_id || ':' || s.participant_id base_ref, s.game_id || ':' || s.participant_id || ':' || s.source item_ref from sets s join newest n on n.game_id = s.game_id and n.source = s.source and n.v = (s.created_at, s.version) where s.game_id % 7 > 0)"""
+records as (select s.game_id, s.participant_id, s.source, s.version, s.kills, s.deaths, s.assists, s.role, {_SPLIT.replace("game_id", "s.game_id")} split, s.game_id || ':' || s.participant_id base_ref, s.game_id || ':' || s.participant_id || ':' || s.source item_ref from sets s join newest n on n.game_id = s.game_id and n.source = s.source and n.v = (s.created_at, s.version) join matches m on m.game_id = s.game_id and m.queue < 5)"""
 
 
 def feature_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two versions of two sources of the participants' counts."""
-    p = views.participants(spark, sf_dir)
+    """Two versions of two sources of the participants' counts; short games have only the weaker source."""
+    p = views.participants(spark, sf_dir).join(views.matches(spark, sf_dir).select("game_id", "duration", "queue"), "game_id")
     rows = p.withColumn("source", F.explode(F.array(F.lit("match_v5"), F.lit("aggregate")))).withColumn("version", F.explode(F.array(F.lit(1), F.lit(2))))
-    return rows.where("source = 'aggregate' or game_id % 3 > 0").withColumn("created_at", F.date_add(F.lit("2024-01-01").cast("date"), (F.col("game_id") * F.col("version") % 5).cast("int")))
+    return rows.where("source = 'aggregate' or duration >= 900").withColumn("created_at", F.date_add(F.lit("2024-01-01").cast("date"), (F.col("game_id") * F.col("version") % 5).cast("int")))
 
 
 def _set(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     sets = feature_sets(spark, sf_dir)
-    manifest = sets.where("game_id % 7 > 0").select("game_id", "source").distinct()
+    manifest = sets.where("queue < 5").select("game_id", "source").distinct()
     records = comparison.training_records(manifest, sets, manifest.select("game_id", split_of("game_id").alias("split")).distinct())
     labels = _training(spark, sf_dir)[1].drop("game_id")
     return records, comparison.training_pairs(labels, records)
