@@ -36,22 +36,22 @@ def _games(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.select("game_id", F.unix_millis(F.col("creation").cast("timestamp")).alias("creation"), "duration", F.when(k % 5 == 0, 1700).otherwise(420).alias("queue_id"), F.when(k % 7 == 0, 12).otherwise(11).alias("map_id"))
 
 
-def client_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+def client_path(spark: SparkSession, sf_dir: str) -> str:
     c = F.col
-    stats = F.struct("kills", "deaths", "assists", c("gold_earned").alias("goldEarned"), c("damage_to_champions").alias("totalDamageDealtToChampions"), c("vision_score").alias("visionScore"), c("wards_placed").alias("wardsPlaced"), c("wards_killed").alias("wardsKilled"), c("cs").alias("totalMinionsKilled"), (c("cs") % 3).alias("neutralMinionsKilled"), (c("puuid") % 4).alias("item0"), (c("puuid") % 9).alias("item6"), "win")
+    stats = F.struct("kills", "deaths", "assists", c("gold_earned").alias("goldEarned"), c("damage_to_champions").alias("totalDamageDealtToChampions"), c("damage_to_objectives").alias("damageDealtToObjectives"), c("damage_to_turrets").alias("damageDealtToTurrets"), c("damage_mitigated").alias("damageSelfMitigated"), c("healing").alias("totalHeal"), c("vision_score").alias("visionScore"), c("wards_placed").alias("wardsPlaced"), c("wards_killed").alias("wardsKilled"), (c("cs") - c("cs") % 3).alias("totalMinionsKilled"), (c("cs") % 3).alias("neutralMinionsKilled"), (c("puuid") % 4).alias("item0"), (c("puuid") % 9).alias("item6"), "win")
     player = F.struct(c("participant_id").alias("participantId"), c("champion").alias("championId"), c("team_id").alias("teamId"), F.struct(_by_role(_LANES).alias("lane"), _by_role(_SHARES).alias("role")).alias("timeline"), stats.alias("stats"))
     who = F.struct(c("participant_id").alias("participantId"), F.struct(F.concat(F.lit("u"), "puuid").alias("puuid"), F.when(c("puuid") % 3 > 0, F.concat(F.lit("n"), "puuid")).alias("gameName"), F.when(c("puuid") % 3 > 1, F.lit("EU")).alias("tagLine")).alias("player"))
     lists = views.participants(spark, sf_dir).groupBy("game_id").agg(F.array_sort(F.collect_list(player)).alias("participants"), F.array_sort(F.collect_list(who)).alias("participantIdentities"))
     d = lists.join(_games(spark, sf_dir), "game_id")
     doc = F.struct(c("game_id").alias("gameId"), c("queue_id").alias("queueId"), c("map_id").alias("mapId"), c("duration").alias("gameDuration"), c("creation").alias("gameCreation"), "participants", "participantIdentities")
-    return ingest.read_documents(spark, _written(d, doc, "client"), dc.CLIENT)
+    return _written(d, doc, "client")
 
 
 @query(f"""with {_ROSTER_SQL} select p.game_id, p.participant_id, 'u' || p.puuid puuid, case p.puuid % 3 when 0 then 'Player ' || p.participant_id when 1 then 'n' || p.puuid else 'n' || p.puuid || '#EU' end "name",
-p.champion champion_id, p.team_id, p.role, p.win, p.kills, p.deaths, p.gold_earned, p.damage_to_champions, p.vision_score, p.cs + p.cs % 3 cs, case when p.puuid % 4 > 0 then 1 else 0 end + case when p.puuid % 9 > 0 then 1 else 0 end n_items, g.creation, g.duration
+p.champion champion_id, p.team_id, p.role, p.win, p.kills, p.deaths, p.gold_earned, p.damage_to_champions, p.vision_score, p.cs, case when p.puuid % 4 > 0 then 1 else 0 end + case when p.puuid % 9 > 0 then 1 else 0 end n_items, g.creation, g.duration
 from participants p join games g using (game_id) where g.queue_id = 420 and g.map_id = 11 and g.game_id > 0 and (select count(*) from participants q where q.game_id = p.game_id) = 10""")
 def p1_p6_client_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = dc.normalise_client(client_documents(spark, sf_dir))
+    rows = dc.normalise_client(ingest.read_documents(spark, client_path(spark, sf_dir), dc.CLIENT))
     return rows.select("game_id", "participant_id", "puuid", "name", "champion_id", "team_id", "role", "win", "kills", "deaths", "gold_earned", "damage_to_champions", "vision_score", "cs", F.size("items").alias("n_items"), F.col("creation").cast("timestamp_ntz").alias("creation"), "duration")
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 
 from tallyfield.sources.ingest import QUEUES, display_name, epoch
 
-_STATS = {"kills": "kills", "deaths": "deaths", "assists": "assists", "gold_earned": "goldEarned", "champion_level": "champLevel", "damage_to_champions": "totalDamageDealtToChampions", "vision_score": "visionScore", "wards_placed": "wardsPlaced", "wards_killed": "wardsKilled"}
+_STATS = {"kills": "kills", "deaths": "deaths", "assists": "assists", "gold_earned": "goldEarned", "champion_level": "champLevel", "assists": "assists", "damage_to_champions": "totalDamageDealtToChampions", "damage_to_objectives": "damageDealtToObjectives", "damage_to_turrets": "damageDealtToTurrets", "damage_taken": "totalDamageTaken", "damage_mitigated": "damageSelfMitigated", "healing": "totalHeal", "vision_score": "visionScore", "wards_placed": "wardsPlaced", "wards_killed": "wardsKilled"}
 _LONG, _TEXT = T.LongType(), T.StringType()
 CLIENT = T.StructType([
     *[T.StructField(n, _LONG) for n in ("gameId", "queueId", "mapId", "gameDuration", "gameCreation")],

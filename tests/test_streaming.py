@@ -37,9 +37,9 @@ def test_windows_progress_and_sessions_on_a_table(spark):
 
 
 def test_timers_and_reconciliation(spark):
-    timers = spark.createDataFrame([("dragon", 300, 300, None), ("grubs", 360, 240, 800), ("baron", 1200, 360, None)], "objective string, spawn int, respawn int, gone_after int")
+    timers = (("dragon", 300, 300, None), ("grubs", 360, 240, 800), ("baron", 1200, 360, None))
     kills = spark.createDataFrame([(1, "dragon", 500), (1, "grubs", 700)], "session_id int, objective string, t int")
-    got = {r.objective: (r.due, r.state) for r in live.objective_timers(kills, timers, F.lit(600)).collect()}
+    got = {r.objective: (r.due, r.state) for r in live.objective_timers(kills, F.lit(600), timers).collect()}
     assert got == {"dragon": (800, "respawning"), "grubs": (940, "gone"), "baron": (1200, "pending")}
     s = spark.createDataFrame([(1, None), (2, 5), (3, 6), (4, 7)], "session_id int, game_id int")
     g = spark.createDataFrame([(1, 4), (2, 5), (3, 9)], "session_id int, game_id int")
