@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MARK = "▁"
-CACHE_BYTES = 160 << 20
+CACHE_BYTES = 56 << 20
 PREFIX = 256  # characters of a word whose begun pieces are kept for the next one
 
 
