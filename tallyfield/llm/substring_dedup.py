@@ -10,8 +10,8 @@ by winnowing: of the anchors that begin in a window of PASSAGE words, the one wi
 equal anchors, so a repeated passage of PASSAGE words holds one at least, whatever its sentences. An anchor of an earlier
 document that touches no removed sentence is cut word by word, with what adjoins it in the sentence kept.
 
-Each document sends one row per distinct span. Counts are summed before the shuffle and only spans of several documents
-are joined back, so a passage in a third of all documents is an aggregate and a join that Spark can split.
+Each document sends one row per run. Owners are found by an aggregate that combines before the shuffle; only runs that
+repeat are joined back, and a run with a large part of all rows is dealt over several tasks.
 """
 
 from __future__ import annotations
@@ -24,6 +24,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyfield.llm import textarrays as ta
+from tallyfield.llm.skew import join_counted
+from tallyfield.session import stored
 
 SPAN = 3
 MIN_WORDS = 10
@@ -133,8 +135,9 @@ def repeated_spans(docs: DataFrame, span: int = SPAN, min_words: int = MIN_WORDS
         raise ValueError("span must be from 1 to 63")
     base = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     rows = base.mapInArrow(_emit(span, min_words, passages), "doc_id long, place long, h long, again boolean")
-    owners = rows.groupBy("h").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("other"), F.max("again").alias("twice")).where("owner < other or twice")
-    return rows.join(owners.select("h", "owner").hint("merge"), "h").where("doc_id > owner or again").select("doc_id", "place")
+    owners = rows.groupBy("h").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("other"), F.max("again").alias("twice"), F.count("*").alias("n")).where("owner < other or twice")
+    owners = stored(owners.select("h", "owner", "n"), "span-owners")
+    return join_counted(rows, owners, ["h"], "doc_id").where("doc_id > owner or again").select("doc_id", "place")
 
 
 def _cut(span: int, keep: int):
