@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyfield.llm import textarrays as ta
+from tallyfield.llm.skew import join_counted
 from tallyfield.operators.components import connected_components
 from tallyfield.session import cut, stored
 
@@ -191,12 +192,12 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     schema = "doc_id long, n_shingles long, d1 long, d2 long, bands array<long>"
     sig = stored(base.mapInArrow(_signatures(k, bands, rows), schema), "signatures")
     full = sig.where("n_shingles > 0 and doc_id is not null")
-    classes = full.groupBy("n_shingles", "d1", "d2").agg(F.min("doc_id").alias("rep"))
-    of_class = full.select("doc_id", "n_shingles", "d1", "d2").join(classes, ["n_shingles", "d1", "d2"]).select("doc_id", "rep")
-    reps = classes.join(full.withColumnRenamed("doc_id", "rep"), ["n_shingles", "d1", "d2", "rep"]).select("rep", "n_shingles", F.posexplode("bands").alias("band", "h"))
+    classes = stored(full.groupBy("n_shingles", "d1", "d2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")), "classes")
+    of_class = join_counted(full.select("doc_id", "n_shingles", "d1", "d2"), classes, ["n_shingles", "d1", "d2"], "doc_id").select("doc_id", "rep")
+    reps = classes.drop("n").join(full.withColumnRenamed("doc_id", "rep"), ["n_shingles", "d1", "d2", "rep"]).select("rep", "n_shingles", F.posexplode("bands").alias("band", "h"))
     slots = reps.select("band", "h", "rep", "n_shingles")
-    buckets = slots.groupBy("band", "h").agg(F.min("rep").alias("pivot"), F.count("*").alias("n")).where("n > 1")
-    members = stored(slots.join(buckets, ["band", "h"]).distinct(), "buckets")
+    buckets = stored(slots.groupBy("band", "h").agg(F.min("rep").alias("pivot"), F.count("*").alias("n")).where("n > 1"), "bucket-counts")
+    members = stored(join_counted(slots, buckets, ["band", "h"], "rep").distinct(), "buckets")
     wanted = members.select(F.col("rep").alias("doc_id")).distinct()
     # merge hints: candidates grow with the input, so the plan is the shuffled one at every size
     texts = stored(base.join(wanted.hint("merge"), "doc_id", "left_semi"), "candidates")
@@ -216,8 +217,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     comp = cut(connected_components(links, "a", "b"))
 
     labelled = members.join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("band", "h", "rep", "n", F.coalesce("component", "rep").alias("comp"))
-    mixed = labelled.groupBy("band", "h").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2"), F.count("*").alias("m")).where("c1 < c2 and m > 2")
-    unsettled = labelled.join(mixed.select("band", "h"), ["band", "h"], "left_semi")
+    mixed = stored(labelled.groupBy("band", "h").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2"), F.count("*").alias("m")).where("c1 < c2 and m > 2").select("band", "h", "m"), "mixed")
+    unsettled = join_counted(labelled, mixed, ["band", "h"], "rep", "m").drop("m")
     parts = F.ceil(F.col("n") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("rep"), parts).cast("int")
     blocks = unsettled.select("band", "h", "rep", "comp", own.alias("own"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("other")).select("band", "h", "rep", "comp", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
