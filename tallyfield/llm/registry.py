@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyfield.llm import chat_format, decontamination, embedding_dedup, language_id, license_scan, lm_scoring, minhash_dedup, secret_scan, sentencepiece_codec, substring_dedup, token_output
+from tallyfield.llm import chat_format, conversation_repair, decontamination, embedding_dedup, language_id, license_scan, lm_scoring, minhash_dedup, secret_scan, sentencepiece_codec, substring_dedup, token_output
 from tallyfield.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -84,3 +84,9 @@ SQL["op10_license_scan"] = license_scan.sql()
 @_query
 def op12_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan(table(spark, sf_dir, "documents"))
+
+
+@_query
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    damaged = conversation_repair.damage(table(spark, sf_dir, "conversations"))
+    return conversation_repair.digest(conversation_repair.repair(damaged))
