@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tallyfield.llm import chat_format, conversation_repair, decontamination, embedding_dedup, language_id, license_scan, lm_scoring, minhash_dedup, secret_scan, sentencepiece_codec, substring_dedup, token_output
+from tallyfield.llm import chat_format, conversation_repair, decontamination, embedding_dedup, hard_negatives, language_id, license_scan, lm_scoring, minhash_dedup, secret_scan, sentencepiece_codec, substring_dedup, token_output
 from tallyfield.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -90,3 +91,12 @@ def op12_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     damaged = conversation_repair.damage(table(spark, sf_dir, "conversations"))
     return conversation_repair.digest(conversation_repair.repair(damaged))
+
+
+@_query
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = hard_negatives.relabelled(hard_negatives.quantised(table(spark, sf_dir, "embeddings")))
+    return hard_negatives.mine(rows, F.col("vec_id") % 50 == 0)
+
+
+SQL["op11_hard_negatives"] = hard_negatives.SQL
