@@ -13,7 +13,7 @@ from tallyfield.session import scratch
 from tallyfield.sources import documents as dc
 from tallyfield.sources import views
 from tallyfield.sources.view_sql import EVENTS, PARTICIPANTS
-from tallyfield.streaming import live
+from tallyfield.streaming import capture, live
 
 
 def stream(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -183,3 +183,29 @@ def t12_post_game(spark: SparkSession, sf_dir: str) -> DataFrame:
 def t8_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = views.table(spark, sf_dir, "events").select(F.col("user_id").alias("session_id"), "event_id", F.col("ts").cast("timestamp").alias("ts"))
     return live.progress(e).select("session_id", "last_event_id", "events")
+
+
+def capture_polls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as polls: errors are misses, sign-ups could not be stored, views brought nothing, every seventh is asked to stop."""
+    e = _polls(spark, sf_dir)
+    kind = F.col("kind")
+    return e.select("session_id", "ts", (kind != "error").alias("reachable"), (kind != "signup").alias("stored"), kind.isin("click", "purchase").cast("int").alias("events"), (kind == "purchase").alias("snapshot"), (F.col("event_id") % 7 == 0).alias("stop"))
+
+
+_MISSES, _SILENCE = 2, 43_200
+
+
+@query(f"""with p as (select user_id session_id, epoch_us(ts) t, event_type kind, event_id % 7 = 0 stop from events),
+a as (select *, case when lag(stop) over w or t - lag(t) over w > {_SILENCE * 1_000_000} or lag(t) over w is null then 1 else 0 end new from p window w as (partition by session_id order by t)),
+b as (select *, sum(new) over (partition by session_id order by t rows unbounded preceding) seg from a),
+c as (select *, sum((kind <> 'error')::int) over (partition by session_id, seg order by t rows unbounded preceding) grp from b),
+d as (select *, case when kind = 'error' then row_number() over (partition by session_id, seg, grp, kind = 'error' order by t) else 0 end k from c),
+f as (select *, kind = 'error' and k % {_MISSES} = 0 lost from d),
+g as (select *, coalesce(sum(lost::int) over (partition by session_id, seg order by t rows between unbounded preceding and 1 preceding), 0) run from f),
+h as (select session_id, min(t) started, max(t) ended, count(*) polls, count(*) filter (kind in ('click', 'purchase')) events, count(*) filter (kind = 'purchase') snapshots, count(*) filter (kind = 'signup') store_errors, arg_max(stop, t) stopped, arg_max(lost, t) lost from g group by session_id, seg, run)
+select session_id, started, ended, case when not stopped and not lost then 'partial_process_restart' when events + snapshots = 0 then case when store_errors > 0 then 'partial_storage_errors' else 'partial_no_data' end
+  when lost then 'partial_endpoint_lost' when store_errors > 0 then 'partial_storage_errors' else 'completed' end status, polls, events, snapshots, store_errors from h""")
+def t5_t6_capture_lifecycle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One state machine with timers, the table landing in order of time."""
+    landed = _landed(spark, capture_polls(spark, sf_dir), 3)
+    return capture.run_lifecycle(landed, max_misses=_MISSES, silence=_SILENCE)
