@@ -1,3 +1,3 @@
 """Importing this package registers all queries."""
 
-from tallyfield.plans import corpus, documents, draft, evaluation, features, history, live, models, refresh, review, scoring, timeline  # noqa: F401
+from tallyfield.plans import corpus, documents, draft, evaluation, features, history, live, models, panel, refresh, review, scoring, timeline  # noqa: F401
