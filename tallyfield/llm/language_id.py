@@ -24,7 +24,7 @@ from tallyfield.llm import textarrays as ta
 DIM = 1024
 SEED = 7
 MAX_LANGUAGES = 1000
-SEGMENT = 1 << 21
+SEGMENT = 1 << 19
 
 _LETTERS: list[np.ndarray] = []
 _VECTORS: dict[int, np.ndarray] = {}
@@ -92,7 +92,7 @@ def bundles(data: np.ndarray, offsets: np.ndarray, group: np.ndarray, groups: in
         own = group[doc[at]]
         total += np.bincount(own, minlength=groups)
         tables = [np.roll(np.stack([_vector(int(c)) for c in alphabet]), k, axis=1) for k in (2, 1, 0)]
-        width = max(64, min(8192, (1 << 22) // groups))
+        width = max(64, min(8192, (1 << 21) // groups))
         order = np.argsort(which, kind="stable") if len(kinds) > width else slice(None)
         own, which = own[order], which[order]
         edges = np.searchsorted(which, np.arange(0, len(kinds) + width, width)) if len(kinds) > width else [0, len(which)]
