@@ -10,9 +10,12 @@ from tallyfield.operators.components import connected_components
 
 SPLITS = (("test", 0.1), ("train", 0.8), ("validation", 0.1))
 
-# Words that give an outcome away, and phrases of two words that do.
-OUTCOME_WORDS = ("win", "won", "winner", "winning", "loss", "lost", "lose", "loser", "victory", "defeat", "outcome", "result")
-OUTCOME_PHRASES = (("match", "result"), ("game", "outcome"))
+# Words of a key that tell the outcome, and pairs of neighbouring words that do in either order.
+OUTCOME_WORDS = (
+    "win", "wins", "won", "winner", "winners", "lose", "loses", "lost", "loss", "losses", "result", "results", "nexus", "victory", "victories",
+    "defeat", "defeats", "defeated", "surrender", "surrendered", "surrenders", "remake", "remakes", "outcome", "outcomes",
+)
+OUTCOME_PHRASES = (("game", "end"), ("game", "over"))
 
 
 def unit(text: Column) -> Column:
@@ -36,6 +39,25 @@ def check_leakage(rows: DataFrame, key: str, split: str = "split") -> DataFrame:
     return rows.groupBy(key).agg(F.array_sort(F.collect_set(split)).alias("splits")).where(F.size("splits") > 1)
 
 
+def check_splits(rows: DataFrame, hard: list[str], soft: list[str], split: str = "split") -> DataFrame:
+    """(attribute, value, finding, splits, n, largest_share, entropy): everything that a split gets wrong, and its sizes.
+
+    leak: a value of a ``hard`` attribute (person, match, content) is in several splits. concentrated: a value of a ``soft`` one
+    occurs twice or more, in one split only. count: the rows of a split, with its share of all. largest_share and entropy (bits)
+    say how a value's rows lie over the splits. Null values are no values. One pass; counts are combined before the shuffle.
+    """
+    value = lambda c, kind: F.struct(F.lit(c).alias("attribute"), F.col(c).cast("string").alias("value"), F.lit(kind).alias("kind"))
+    each = rows.select(split, F.explode(F.array(*[value(c, "hard") for c in hard], *[value(c, "soft") for c in soft])).alias("x")).select(F.col(split).alias("split"), "x.*").where("value is not null")
+    per = each.groupBy("attribute", "value", "kind", "split").agg(F.count("*").alias("n"))
+    seen = per.groupBy("attribute", "value", "kind").agg(F.array_sort(F.collect_set("split")).alias("splits"), F.sum("n").alias("total"), F.max("n").alias("most"), F.sum(F.col("n") * F.log2("n")).alias("l"))
+    finding = F.when((F.col("kind") == "hard") & (F.size("splits") > 1), "leak").when((F.col("kind") == "soft") & (F.size("splits") == 1) & (F.col("total") > 1), "concentrated")
+    found = seen.withColumn("finding", finding).where("finding is not null").select("attribute", "value", "finding", "splits", F.col("total").alias("n"), (F.col("most") / F.col("total")).alias("largest_share"), (F.log2("total") - F.col("l") / F.col("total")).alias("entropy"))
+    sizes = rows.groupBy(F.col(split).alias("value")).agg(F.count("*").alias("n"))
+    total = sizes.agg(F.sum("n").alias("total"))
+    counts = sizes.crossJoin(F.broadcast(total)).select(F.lit("split").alias("attribute"), "value", F.lit("count").alias("finding"), F.array("value").alias("splits"), "n", (F.col("n") / F.col("total")).alias("largest_share"), F.lit(0.0).alias("entropy"))
+    return found.unionByName(counts)
+
+
 def near_in_time(rows: DataFrame, time: str, order: str, split: str = "split", seconds: int = 300) -> DataFrame:
     """Consecutive rows in time that are at most ``seconds`` apart and in different splits.
 
@@ -109,7 +131,7 @@ def leaked_keys(rows: DataFrame, json_col: str, id_col: str) -> DataFrame:
     """(id, key) of every key at any depth of a JSON text that tells the outcome."""
     keys = rows.select(id_col, F.explode_outer(F.array_distinct(F.regexp_extract_all(json_col, F.lit(r'"([^"]+)"\s*:'), 1))).alias("key")).where("key is not null")
     t = key_tokens(F.col("key"))
-    phrase = F.exists(F.arrays_zip(F.slice(t, 1, 50).alias("x"), F.slice(t, 2, 50).alias("y")), lambda z: F.concat_ws(" ", z["x"], z["y"]).isin(*[" ".join(p) for p in OUTCOME_PHRASES]))
+    phrase = F.exists(F.arrays_zip(F.slice(t, 1, 50).alias("x"), F.slice(t, 2, 50).alias("y")), lambda z: F.concat_ws(" ", z["x"], z["y"]).isin(*[" ".join(p) for a, b in OUTCOME_PHRASES for p in ((a, b), (b, a))]))
     return keys.where(F.arrays_overlap(t, F.array(*[F.lit(w) for w in OUTCOME_WORDS])) | phrase)
 
 
@@ -122,8 +144,9 @@ def leaked_fields(schema: T.StructType, words: tuple[str, ...] = OUTCOME_WORDS)
     def walk(kind: T.DataType, path: str) -> None:
         if isinstance(kind, T.StructType):
             for f in kind.fields:
-                parts = re.sub("([a-z0-9])([A-Z])", r"\1 \2", f.name)
-                if set(re.split("[^a-z0-9]+", parts.lower())) & set(words):
+                parts = re.split("[^a-z0-9]+", re.sub("([a-z0-9])([A-Z])", r"\1 \2", f.name).lower())
+                pairs = {frozenset(p) for p in zip(parts, parts[1:])}
+                if set(parts) & set(words) or pairs & {frozenset(p) for p in OUTCOME_PHRASES}:
                     found.append(f"{path}{f.name}")
                 walk(f.dataType, f"{path}{f.name}.")
         elif isinstance(kind, T.ArrayType):

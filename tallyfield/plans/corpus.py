@@ -95,3 +95,18 @@ def p30_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("select c_custkey, 'p_' || substr(sha256('s' || cast(c_custkey as varchar)), 1, 24) alias from customer")
 def p8_pseudonym(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.table(spark, sf_dir, "customer").select("c_custkey", corpus.pseudonym(F.col("c_custkey"), "s").alias("alias"))
+
+
+_KEYS = ("kills", "nexus_kills", "gameEnd", "end-of game", "game_creation", "over_game", "teamWin", "window_ms", "surrendered", "Remakes", "frame_end", "defeatedBy", "result", "winning_gold", "gameOver", "victories")
+_TELL = ("nexus_kills", "gameEnd", "over_game", "teamWin", "surrendered", "Remakes", "defeatedBy", "result", "gameOver", "victories")
+
+
+@query(f"""with k as (select c_custkey, [{", ".join(f"'{k}'" for k in _KEYS)}] ks from customer), d as (select c_custkey, unnest([ks[c_custkey % 16 + 1], ks[c_custkey * 7 % 16 + 1]]) as key from k)
+select distinct c_custkey, key from d where key in ({", ".join(f"'{k}'" for k in _TELL)})""")
+def p26_leaked_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two keys a document, one inside the other's list."""
+    names = F.array(*[F.lit(k) for k in _KEYS])
+    c = F.col("c_custkey")
+    outer, inner = (F.element_at(names, (x % 16 + 1).cast("int")) for x in (c, c * 7))
+    docs = views.table(spark, sf_dir, "customer").select("c_custkey", F.to_json(F.create_map(outer, F.array(F.create_map(inner, F.lit(1))))).alias("doc"))
+    return corpus.leaked_keys(docs, "doc", "c_custkey")
