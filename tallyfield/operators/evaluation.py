@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import math
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyfield.operators import order_statistics
+
 
 def with_group(df: DataFrame, keys: tuple[str, ...]):
     return df.groupBy(*keys) if keys else df.groupBy()
@@ -36,57 +34,14 @@ def pearson(df: DataFrame, x: str, y: str, *keys: str) -> DataFrame:
     return out.select(*keys, "n", F.when(F.col("n") > 1, F.try_divide(F.col("c"), F.col("sx") * F.col("sy"))).alias("pearson"))
 
 
-def average_rank(value: str, keys: list[str]) -> Column:
-    """1-based mean rank among equals."""
-    return F.rank().over(Window.partitionBy(*keys).orderBy(value)) + (F.count(F.lit(1)).over(Window.partitionBy(*keys, value)) - 1) / 2
-
-
 def spearman(df: DataFrame, x: str, y: str, *keys: str) -> DataFrame:
     """Pearson of the average ranks of the rows with both values."""
-    ranked = complete(df, x, y).withColumns({"__x": average_rank(x, list(keys)), "__y": average_rank(y, list(keys))})
-    return pearson(ranked, "__x", "__y", *keys).withColumnRenamed("pearson", "spearman")
+    return order_statistics.rank_correlation(complete(df, x, y), x, y, *keys)
 
 
-def kendall_tau_b(df: DataFrame, x: str, y: str, *keys: str, order: str = "id") -> DataFrame:
-    """Tie-corrected concordance of the rows with both values; null when one side is all ties. Groups go whole into one task.
-
-    Discordant pairs are the exchanges of a merge sort by y of the rows in order of (x, y), so n log n and not all pairs.
-    """
-
-    def tau(pdf: pd.DataFrame) -> pd.DataFrame:
-        a, b = pdf[x].to_numpy(dtype=float), pdf[y].to_numpy(dtype=float)
-        at = np.lexsort((b, a))
-        a, b = a[at], b[at]
-        pairs = lambda n: float((n.astype(float) * (n - 1) / 2).sum())
-        ties_x, ties_y = pairs(np.unique(a, return_counts=True)[1]), pairs(np.unique(b, return_counts=True)[1])
-        ties = pairs(np.unique(np.stack([a, b], axis=1), axis=0, return_counts=True)[1])
-        n = len(a) * (len(a) - 1) / 2
-        s = n - ties_x - ties_y + ties - 2 * inversions(b)
-        free = (n - ties_x) * (n - ties_y)
-        out = pdf.iloc[:1][[*keys]].copy()
-        out["tau_b"] = s / math.sqrt(free) if free > 0 else None
-        return out
-
-    schema = df.select(*keys).schema.add("tau_b", "double")
-    return with_group(complete(df, x, y).select(*keys, x, y), keys).applyInPandas(tau, schema)
-
-
-def inversions(values: np.ndarray) -> int:
-    """Pairs in which an earlier value is larger: runs are merged by width, counted by binary search."""
-    v, total, width = np.unique(values, return_inverse=True)[1], 0, 1
-    if len(v) < 2:
-        return 0
-    span = int(v.max()) + 1
-    while width < len(v):
-        run = np.arange(len(v)) // (2 * width)
-        right = np.arange(len(v)) // width % 2 == 1
-        keys = run * span + v
-        left = keys[~right]  # ascending: runs ascend, and each is sorted
-        ends = np.searchsorted(left, (run[right] + 1) * span)
-        total += int((ends - np.searchsorted(left, keys[right], "right")).sum())
-        v = v[np.argsort(keys, kind="stable")]
-        width *= 2
-    return total
+def kendall_tau_b(df: DataFrame, x: str, y: str, *keys: str) -> DataFrame:
+    """Tie-corrected concordance of the rows with both values; null when one side is all ties."""
+    return order_statistics.kendall(df, x, y, *keys)
 
 
 def brier(pairs: DataFrame, *keys: str) -> DataFrame:
@@ -170,9 +125,7 @@ def cohens_kappa(two: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
 def robust_center(df: DataFrame, value: str, *keys: str) -> DataFrame:
     """Median and 1.4826 x MAD (1.0 without spread) per key."""
-    w = Window.partitionBy(*keys)
-    centred = df.where(F.col(value).isNotNull()).withColumn("__m", F.median(value).over(w))
-    out = centred.groupBy(*keys).agg(F.first("__m").alias("center"), F.median(F.abs(F.col(value) - F.col("__m"))).alias("mad"))
+    out = order_statistics.centers(df, value, *keys)
     return out.select(*keys, "center", F.when(F.col("mad") > 0, F.col("mad") * 1.4826).otherwise(1.0).alias("scale"))
 
 

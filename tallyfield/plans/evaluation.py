@@ -35,7 +35,7 @@ def a23_spearman(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""with {PARTICIPANTS}, p as (select a.game_id, sign(a.gold_earned - b.gold_earned) dx, sign(a.kills - b.kills) dy from participants a join participants b on a.game_id = b.game_id and a.participant_id < b.participant_id)
 select game_id, round(sum(dx * dy) / nullif(sqrt(cast(count(*) filter (dx <> 0) * count(*) filter (dy <> 0) as double)), 0), 9) tau_b from p group by game_id""")
 def a24_kendall_tau_b(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(ev.kendall_tau_b(views.participants(spark, sf_dir), "gold_earned", "kills", "game_id", order="participant_id"), "tau_b")
+    return _rounded(ev.kendall_tau_b(views.participants(spark, sf_dir), "gold_earned", "kills", "game_id"), "tau_b")
 
 
 @query(f"with {PAIRS}, e as (select left_ref item, case choice when 'left' then 1 else -1 end w from pairs where choice <> 'tie' union all select right_ref, case choice when 'left' then -1 else 1 end from pairs where choice <> 'tie') select item, cast(sum(w) as bigint) net_wins from e group by item")

@@ -43,4 +43,6 @@ def test_build_records(spark):
     assert got[0].rune_ids == [1, 2, 3, 4, 5, 6, 7, 8, 9] and got[0].items_fourth == [11] and (got[0].primary_style_id, got[0].sub_style_id) == (1, 8100)
     assert got[1].rune_ids[6:] == list(builds.SHARDS) and got[0].spells == [] and got[7].rune_ids is None
     shape = builds.payload_shapes(spark.createDataFrame(list(enumerate(texts)), "id int, payload string")).first()
-    assert (shape.payloads, shape.unread) == (8, 2) and "primary_rune_ids" in shape["shape"]
+    assert (shape.payloads, shape.unread) == (8, 2)
+    same = builds.payload_shapes(spark.createDataFrame(list(enumerate(texts[:2])), "id int, payload string")).first()
+    assert "primary_rune_ids: ARRAY" in same["shape"] and "stat_mod_ids: ARRAY<BIGINT>" in same["shape"]

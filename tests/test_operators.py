@@ -379,10 +379,12 @@ def test_rank_metrics_leave_incomplete_rows_out(spark):
 def test_inversions():
     import numpy as np
 
+    from tallyfield.operators import order_statistics
+
     r = np.random.default_rng(1)
     for n in (0, 1, 2, 3, 7, 64, 100, 333):
         v = r.integers(0, 20, n)
-        assert evaluation.inversions(v) == sum(v[i] > v[j] for i in range(n) for j in range(i + 1, n))
+        assert order_statistics.weighted_inversions(v, np.ones(n)) == sum(v[i] > v[j] for i in range(n) for j in range(i + 1, n))
 
 
 def test_training_set_counts_are_checked(spark, tmp_path):
