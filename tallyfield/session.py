@@ -25,6 +25,20 @@ def build(app: str = "tallyfield", master: str | None = None, **conf: str) -> Sp
     return builder.getOrCreate()
 
 
+ARROW_BYTES = 8 << 20
+
+
+def bound_batches(spark: SparkSession, most: int = ARROW_BYTES) -> None:
+    """Rows reach Python tasks in batches of at most ``most`` bytes, or what the session already has if that is less.
+
+    The session's usual 64 MB are held twice for every running task, in the executor and in its Python worker.
+    """
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = str(spark.conf.get(name)).removesuffix("b")
+    if not now.isdigit() or not 0 < int(now) <= most:
+        spark.conf.set(name, str(most))
+
+
 def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder that spark.checkpoint.dir names. Only a local session may go without: it gets a temporary one."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
