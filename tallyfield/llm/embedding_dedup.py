@@ -33,6 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallyfield.llm.skew import join_counted
 from tallyfield.operators.components import connected_components
 from tallyfield.session import cut, stored
 
@@ -201,19 +202,32 @@ def _crossed(tail: int, order: int) -> list[int]:
     return out[::-1]
 
 
+def _by_id(keyed: DataFrame, classes: DataFrame) -> DataFrame:
+    """Edges (a, b) between the classes that share an id."""
+    me = F.struct("space", "h")
+    several = keyed.groupBy("vec_id").agg(F.min(me).alias("lo"), F.max(me).alias("hi")).where("lo != hi").select("vec_id")
+    rows = stored(keyed.select("vec_id", "space", "h").join(several.hint("merge"), "vec_id", "left_semi").distinct(), "ids-of-several")
+    of = join_counted(rows, classes.select("space", "h", "size", "rep"), ["space", "h"], "vec_id", "size").select("vec_id", "rep")
+    first = of.groupBy("vec_id").agg(F.min("rep").alias("a"))
+    return of.join(first, "vec_id").where("rep > a").select("a", F.col("rep").alias("b")).distinct()
+
+
 def near_vectors(vectors: DataFrame, threshold: float = 0.93, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label") -> DataFrame:
     """(vec_id, n_links, component_id, kept) for every row.
 
     Vectors of one label and one length with a cosine of at least ``threshold`` are linked. Null, zero, empty and non-finite
     vectors and rows without label are linked with nothing and kept. n_links counts the other vectors linked directly;
     component_id is the smallest id reachable. Rows with a null id have no component and are kept. Rows of one id are
-    counted as that many vectors and share the id's component.
+    counted as that many vectors, and what any of them reaches is reached by the id.
     """
     # vectors are compared inside a space, the label's vectors of one length
     units = stored(_valid(vectors, id_col, vec_col, label_col).withColumn("space", F.concat_ws(":", F.size("u"), "label")).drop("label"), "units")
     keyed = units.withColumn("h", F.xxhash64("u"))
-    classes = keyed.groupBy("space", "h").agg(F.min("vec_id").alias("rep"), F.count("*").alias("size"))
-    reps = stored(keyed.join(classes, ["space", "h"]).where("vec_id = rep").select("vec_id", "space", "u", "size").dropDuplicates(["vec_id", "space"]), "vectors")
+    # a class is a vector of a space; its number, and not an id, names it below, because an id may have several vectors
+    classes = keyed.groupBy("space", "h").agg(F.min("vec_id").alias("least"), F.count("*").alias("size")).withColumn("rep", F.monotonically_increasing_id())
+    classes = stored(classes, "classes")
+    first = join_counted(keyed, classes.drop("rep"), ["space", "h"], "vec_id", "size").where("vec_id = least").dropDuplicates(["space", "h"]).drop("vec_id", "least", "size")
+    reps = stored(first.join(classes, ["space", "h"]).select(F.col("rep").alias("vec_id"), "space", "u", "size"), "vectors")
 
     sizes = reps.groupBy("space").count()
     largest = sizes.agg(F.coalesce(F.max("count"), F.lit(0))).first()[0]
@@ -269,16 +283,13 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.93, id_col: str = "vec
     tasks = blocks.select("vec_id", "space", "u", "size", "level", "tail", "p", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
     met = stored(tasks.groupBy("space", "tail", "i", "j").applyInArrow(_links(threshold, window, plans), "vec_id long, n long, root long"), "vector-links")
 
-    members = keyed.join(classes, ["space", "h"]).select("vec_id", "rep", "size")
     edges = met.where("vec_id > root").select(F.col("root").alias("a"), F.col("vec_id").alias("b")).distinct()
-    comp = cut(connected_components(edges, "a", "b"))
+    comp = cut(connected_components(edges.unionByName(_by_id(keyed, classes)), "a", "b"))
     more = met.groupBy(F.col("vec_id").alias("rep")).agg(F.sum("n").alias("c"))
-    found = (
-        members.join(more, "rep", "left")
-        .join(comp.withColumnRenamed("node", "rep"), "rep", "left")
-        .groupBy("vec_id")
-        .agg(F.max(F.col("size") - 1 + F.coalesce("c", F.lit(0))).alias("n_links"), F.min(F.coalesce("component", "rep")).alias("component_id"))
-    )
+    named = classes.join(comp.withColumnRenamed("node", "rep"), "rep", "left").join(more, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    smallest = named.groupBy("component").agg(F.min("least").alias("component_id"), F.count("*").alias("n"))
+    placed_ = stored(join_counted(named.drop("n"), smallest, ["component"], "rep").select("space", "h", "size", "component_id", (F.col("size") - 1 + F.coalesce("c", F.lit(0))).alias("n_links")), "class-results")
+    found = join_counted(keyed.select("vec_id", "space", "h"), placed_, ["space", "h"], "vec_id", "size").groupBy("vec_id").agg(F.max("n_links").alias("n_links"), F.min("component_id").alias("component_id"))
     out = vectors.select(F.col(id_col).cast("long").alias("vec_id")).join(found, "vec_id", "left")
     component = F.coalesce("component_id", "vec_id")
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"))

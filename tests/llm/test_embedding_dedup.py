@@ -126,3 +126,14 @@ def test_vectors_of_several_lengths(spark):
     df = spark.createDataFrame(rows, "vec_id long, label int, embedding array<double>")
     got = {x.vec_id: (x.n_links, x.component_id) for x in ed.near_vectors(df).collect()}
     assert got == {**{i: (4, 0) for i in range(5)}, 9: (1, 9), 10: (1, 9), 11: (0, 11)}
+
+
+def test_ids_with_several_vectors(spark):
+    """Each vector of an id links by itself, and through the id all of them are one component, in every run."""
+    a, b = [1.0, 0.0, 0.0], [0.0, 1.0, 0.0]
+    near = lambda v: [x + 0.05 for x in v]
+    rows = [(1, 0, a), (1, 0, b), (2, 0, near(a)), (3, 0, near(b)), (4, 0, [0.0, 0.0, 1.0]), (5, 1, a), (4, 1, near(a)), (4, 1, near(a))]
+    df = spark.createDataFrame(rows, "vec_id long, label int, embedding array<double>")
+    for n in (1, 3, 8):
+        got = {(x.vec_id, x.n_links, x.component_id) for x in ed.near_vectors(df.repartition(n)).collect()}
+        assert got == {(1, 1, 1), (2, 1, 1), (3, 1, 1), (4, 2, 4), (5, 2, 4)}
