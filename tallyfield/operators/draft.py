@@ -21,10 +21,6 @@ def band(rate: Column, limits: tuple[float, float], open_low: bool = False) -> C
     return F.when(low & (x <= limits[1]), x)
 
 
-def tier_label(rate: Column) -> Column:
-    return F.when(rate >= 53, "S").when(rate >= 51.5, "A").when(rate >= 50, "B").otherwise("C")
-
-
 def matchups(players: DataFrame, game: str = "game_id") -> DataFrame:
     """Games, wins and win rate per (champion, role, opponent), from the two players of a role in a match.
 

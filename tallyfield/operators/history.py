@@ -77,6 +77,24 @@ def active_runs(runs: DataFrame, key: str = "game_id") -> DataFrame:
     return runs.groupBy(key).agg(F.max_by(F.struct(*runs.columns), order).alias("__r")).select("__r.*")
 
 
+def run_list(runs: DataFrame, active: DataFrame) -> DataFrame:
+    """All runs with ``is_active`` and their place in the list of their game, newest first."""
+    marked = runs.join(active.select("game_id", F.col("run_id").alias("__active")), "game_id", "left").withColumn("is_active", F.col("run_id").eqNullSafe(F.col("__active"))).drop("__active")
+    return marked.withColumn("place", F.row_number().over(Window.partitionBy("game_id").orderBy(F.desc("created_at"), F.desc("run_id"))))
+
+
+def legacy_runs(scores: DataFrame, active: DataFrame) -> DataFrame:
+    """(game_id, run_id, model_version, participants): one immutable run for each game that has legacy scores and no active run.
+
+    The id is the hash of the game, the version and the sorted scores, so the same scores give the same run; games in ``active`` add nothing.
+    """
+    rows = scores.join(active.select("game_id").distinct(), "game_id", "left_anti")
+    one = F.concat_ws(":", "participant_id", "total_score", "match_rank")
+    per = rows.groupBy("game_id").agg(F.min_by("model_version", "participant_id").alias("model_version"), F.count("*").alias("participants"), F.array_sort(F.collect_list(F.struct("participant_id", one.alias("t")))).alias("rows"))
+    run = F.sha2(F.concat_ws("|", "game_id", "model_version", F.array_join(F.transform("rows", lambda x: x["t"]), ",")), 256)
+    return per.select("game_id", run.alias("run_id"), "model_version", "participants")
+
+
 def lookback(rows: DataFrame, k: int = 5, keys: tuple[str, ...] = ("puuid", "role"), time: str = "creation", eligible: Column | None = None, value: str = "total_score") -> DataFrame:
     """Adds ``previous``: the last ``k`` values of eligible rows strictly before the row's time, newest first.
 
