@@ -130,6 +130,21 @@ def missing_evidence(games: DataFrame, payloads: DataFrame, attempts: DataFrame,
     return out.orderBy("n_failures", F.desc("creation"), F.desc("game_id")).limit(limit) if limit else out
 
 
+def fetch_due(games: DataFrame, payloads: DataFrame, attempts: DataFrame, now: Column) -> DataFrame:
+    """(game_id, n_failures, next_at, due) of every game: due without a payload if never tried or its retry time has come."""
+    state = retry_state(attempts).select("game_id", "n_failures", "next_at")
+    there = payloads.select("game_id").distinct().withColumn("__has", F.lit(True))
+    d = games.select("game_id").join(there, "game_id", "left").join(state, "game_id", "left")
+    due = F.col("__has").isNull() & (F.col("next_at").isNull() | (F.col("next_at") <= now))
+    return d.select("game_id", F.coalesce("n_failures", F.lit(0)).alias("n_failures"), "next_at", due.alias("due"))
+
+
+def set_differences(required: DataFrame, present: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, problem): what is required and not there (missing), and there without being required (unknown)."""
+    missing = required.select(*keys).distinct().join(present.select(*keys), keys, "left_anti").withColumn("problem", F.lit("missing"))
+    return missing.unionByName(present.select(*keys).distinct().join(required.select(*keys), keys, "left_anti").withColumn("problem", F.lit("unknown")))
+
+
 def append_new(existing: DataFrame, incoming: DataFrame, keys: list[str]) -> DataFrame:
     """Rows of ``incoming`` whose key (content hash) is not there yet, one for each key."""
     return incoming.dropDuplicates(keys).join(existing.select(*keys), keys, "left_anti")

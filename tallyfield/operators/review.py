@@ -29,6 +29,31 @@ def shadow_summary(compared: DataFrame) -> DataFrame:
     return total.crossJoin(agree).crossJoin(corr).withColumn("coverage", F.try_divide("told", "compared"))
 
 
+STATUSES = ("error", "no_supported_evidence", "missing_feature_set", "evidence_ready_no_artifact", "missing_v1_run", "invalid_v1_run", "scored")
+
+
+def shadow_status(requested: DataFrame, games: DataFrame, routed: DataFrame, feature_sets: DataFrame, first: DataFrame, second: DataFrame, artifacts: bool = True, size: int = 10) -> DataFrame:
+    """(game_id, source, status) for every requested game once, whatever is missing.
+
+    ``routed``: game_id, source (the tier that would be scored); ``feature_sets``: game_id, source; ``first`` and ``second``: scored
+    participants of both models. In this order: the game is unknown (error), no tier fits, its features are missing, there is no
+    model at all, the first model has no run or not ``size`` participants, the second does not match all of them (error), scored.
+    """
+    wanted = requested.select("game_id").where("game_id is not null").distinct()
+    have = lambda df, name: df.select("game_id").distinct().withColumn(name, F.lit(True))
+    d = wanted.join(have(games, "__known"), "game_id", "left").join(routed.select("game_id", "source"), "game_id", "left")
+    d = d.join(feature_sets.select("game_id", "source").distinct().withColumn("__features", F.lit(True)), ["game_id", "source"], "left")
+    one = first.groupBy("game_id").agg(F.count_distinct("participant_id").alias("__one"))
+    both = first.select("game_id", "participant_id").distinct().join(second.select("game_id", "participant_id").distinct(), ["game_id", "participant_id"]).groupBy("game_id").agg(F.count("*").alias("__both"))
+    d = d.join(one, "game_id", "left").join(both, "game_id", "left")
+    status = (
+        F.when(F.col("__known").isNull(), "error").when(F.col("source").isNull(), "no_supported_evidence").when(F.col("__features").isNull(), "missing_feature_set")
+        .when(F.lit(not artifacts), "evidence_ready_no_artifact").when(F.col("__one").isNull(), "missing_v1_run").when(F.col("__one") != size, "invalid_v1_run")
+        .when(F.coalesce("__both", F.lit(0)) != size, "error").otherwise("scored")
+    )
+    return d.select("game_id", F.when(F.col("__known").isNotNull(), F.col("source")).alias("source"), status.alias("status"))
+
+
 def check_expectations(cases: DataFrame, scores: DataFrame, durations: DataFrame) -> DataFrame:
     """(case_id, passed): every part of a case checked against the scores of its game.
 

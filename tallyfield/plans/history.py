@@ -112,3 +112,19 @@ select a.g game_id from a join b using (g) where a = b""")
 def p43_u5_same_members(spark: SparkSession, sf_dir: str) -> DataFrame:
     member = lambda t, k: views.table(spark, sf_dir, t).select(F.floor(F.col(k) / 10).cast("long").alias("game_id"), (F.col(k) % 10).alias("participant_id"))
     return history.same_members(member("orders", "o_orderkey"), member("lineitem", "l_orderkey").distinct())
+
+
+@query(f"""with {RUNS}, {MATCHES}, a as (select game_id, count(*) n, max(created_at) m from runs where tier = 'other' group by game_id), d as (select *, m + to_seconds([300, 900, 3600, 21600, 86400, 604800][least(n, 6)]) next_at from a)
+select x.game_id, coalesce(d.n, 0) n_failures, not exists (select 1 from runs where tier = 'match_v5' and model_version = 1 and runs.game_id = x.game_id) and (next_at is null or next_at <= timestamp '1999-06-01') due from matches x left join d using (game_id)""")
+def j4_fetch_due(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = runs(spark, sf_dir)
+    failures = r.where("tier = 'other'").select("game_id", F.col("created_at").alias("at"))
+    return history.fetch_due(views.matches(spark, sf_dir), r.where("tier = 'match_v5' and model_version = 1"), failures, F.lit("1999-06-01").cast("timestamp_ntz")).select("game_id", "n_failures", "due")
+
+
+@query("""with a as (select distinct l_orderkey // 10 game_id, l_orderkey % 10 + 1 participant_id from lineitem where l_linenumber = 2), b as (select distinct l_orderkey // 10 game_id, l_orderkey % 10 + 1 participant_id from lineitem where l_linenumber = 3 or l_suppkey % 9 = 0)
+select *, 'missing' problem from (select * from a except select * from b) union all select *, 'unknown' from (select * from b except select * from a)""")
+def u4_set_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Participants with a second line are required, those with a third or of some suppliers are there."""
+    line = views.table(spark, sf_dir, "lineitem").select("l_linenumber", "l_suppkey", F.floor(F.col("l_orderkey") / 10).cast("long").alias("game_id"), (F.col("l_orderkey") % 10 + 1).alias("participant_id"))
+    return history.set_differences(line.where("l_linenumber = 2"), line.where("l_linenumber = 3 or l_suppkey % 9 = 0"), ["game_id", "participant_id"])

@@ -99,3 +99,20 @@ def m12_temporal_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Checked in the tests: components stay whole and older than later splits."""
     e = views.player_edges(spark, sf_dir).join(views.matches(spark, sf_dir).select("game_id", "creation"), "game_id")
     return review.temporal_split(e, "game_id", "puuid", "creation")
+
+
+@query(f"""with {PARTICIPANTS}, g as (select distinct game_id from participants), q as (select distinct o_orderkey // 10 + case when o_custkey % 40 = 0 then 500000 else 0 end game_id from orders where o_orderkey % 10 < 3),
+s as (select game_id, case game_id % 4 when 0 then 'match_v5' when 1 then 'lcu_timeline' when 2 then 'aggregate' end source from g), n1 as (select game_id, count(*) n from participants where game_id % 11 <> 4 and not (game_id % 11 = 5 and participant_id = 3) group by 1),
+n2 as (select game_id, count(*) n from participants where game_id % 11 <> 4 and not (game_id % 11 = 5 and participant_id = 3) and not (game_id % 11 = 6 and participant_id = 1) group by 1)
+select q.game_id, s.source, case when g.game_id is null then 'error' when source is null then 'no_supported_evidence' when q.game_id % 7 = 3 then 'missing_feature_set' when n1.n is null then 'missing_v1_run' when n1.n <> 10 then 'invalid_v1_run' when coalesce(n2.n, 0) <> 10 then 'error' else 'scored' end status
+from q left join g using (game_id) left join s on s.game_id = q.game_id left join n1 on n1.game_id = q.game_id left join n2 on n2.game_id = q.game_id""")
+def m22_shadow_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requested games of which some are unknown; what a game lacks follows from its id."""
+    k = F.col("game_id")
+    p = views.participants(spark, sf_dir).select("game_id", "participant_id")
+    o = views.table(spark, sf_dir, "orders").where("o_orderkey % 10 < 3")
+    asked = o.select((F.floor(F.col("o_orderkey") / 10) + F.when(F.col("o_custkey") % 40 == 0, 500_000).otherwise(0)).cast("long").alias("game_id"))
+    games = p.select("game_id").distinct()
+    routed = games.where(k % 4 < 3).select("game_id", F.element_at(F.array(*[F.lit(x) for x in ("match_v5", "lcu_timeline", "aggregate")]), (k % 4 + 1).cast("int")).alias("source"))
+    first = p.where("game_id % 11 != 4 and not (game_id % 11 = 5 and participant_id = 3)")
+    return review.shadow_status(asked, games, routed, routed.where(k % 7 != 3), first, p.where("not (game_id % 11 = 6 and participant_id = 1)"))
