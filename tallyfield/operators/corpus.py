@@ -72,11 +72,18 @@ def near_in_time(rows: DataFrame, time: str, order: str, split: str = "split", s
 
 
 def stratified_sample(rows: DataFrame, strata: list[str], key: str, n: int, seed: int = 0) -> DataFrame:
-    """n rows dealt round robin over the strata, larger strata first in each round; the order in a stratum is seeded."""
+    """n rows dealt round robin over the strata, larger strata first in each round; the order in a stratum is seeded.
+
+    A stratum gives n rows at most, so every task keeps only its n smallest hashes of each before the shuffle.
+    """
     h = F.sha2(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string")), 256)
-    sized = rows.withColumns({"__h": h, "__size": F.count(F.lit(1)).over(Window.partitionBy(*strata))})
-    r = sized.withColumn("round", F.row_number().over(Window.partitionBy(*strata).orderBy("__h", key)))
-    return r.orderBy("round", F.desc("__size"), *strata).limit(n).drop("__h", "__size")
+    first = rows.withColumn("__h", h).withColumn("round", F.row_number().over(Window.partitionBy(*strata).orderBy("__h", key))).where(F.col("round") <= n)
+    sizes = rows.groupBy(*strata).agg(F.count("*").alias("__size")).withColumnsRenamed({s: f"__{s}" for s in strata})
+    same = F.lit(True)
+    for s in strata:
+        same = same & F.col(s).eqNullSafe(F.col(f"__{s}"))
+    r = first.join(sizes, same)
+    return r.orderBy("round", F.desc("__size"), *strata).limit(n).select(*rows.columns, "round")
 
 
 def blind_pairs(pairs: DataFrame, seed: str = "0") -> DataFrame:

@@ -163,7 +163,7 @@ def test_zero_variance_and_bootstrap(spark):
     assert b.draws == 200 and abs(b["mean"] - 1 / 3) < 0.02 and b.low <= b["mean"] <= b.high
 
 
-@pytest.mark.parametrize("name", ["m1_score_composite", "a7_fight_influence", "j5_k1_history_page", "j14_j16_resource_conversion"])
+@pytest.mark.parametrize("name", ["m1_score_composite", "a7_fight_influence", "j5_k1_history_page", "j14_j16_resource_conversion", "a24_kendall_tau_b", "m25_infer_roles", "w13_next_step", "p40_build_records", "m29_p34_partners", "m22_shadow_status", "j7_run_list", "k5_stratified_sample", "p26_leaked_keys", "m31_legacy_backfill"])
 def test_plans_stay_native(spark, name):
     from tallyfield.catalog import QUERIES
     import tallyfield.plans  # noqa: F401
