@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
@@ -52,9 +53,36 @@ def checkpoint_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+_MADE: list[str] = []
+
+
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder."""
-    return f"{checkpoint_root(spark)}/tallyfield/{name}-{uuid.uuid4().hex}"
+    """A new path in the shared folder, which lasts until ``release`` or the end of the program."""
+    path = f"{checkpoint_root(spark)}/tallyfield/{name}-{uuid.uuid4().hex}"
+    if not _MADE:
+        atexit.register(_at_exit)
+    _MADE.append(path)
+    return path
+
+
+def release(spark: SparkSession) -> int:
+    """Removes what this program has put in the shared folder so far, and says how many paths that were.
+
+    For long programs, once the results so far are written: DataFrames that were made before can no longer be read.
+    """
+    made, _MADE[:] = [*_MADE], []
+    for path in made:
+        for p in (path, f"{path}-state"):  # a stream's own state stands beside what it wrote
+            at = spark._jvm.org.apache.hadoop.fs.Path(p)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    return len(made)
+
+
+def _at_exit() -> None:
+    """Without a session there is nobody left to ask; then the folder's owner has to clear it."""
+    spark = SparkSession.getActiveSession()
+    if spark is not None and spark.sparkContext._jsc is not None:
+        release(spark)
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
