@@ -44,6 +44,21 @@ def _join(a: DataFrame, b: DataFrame, keys: list[str], how: str = "inner") -> Da
     return a.join(b, match, how).drop(*[f"__r{i}" for i in range(len(keys))])
 
 
+def following(rows: DataFrame, order: str, value: Column, *keys: str, name: str = "following") -> DataFrame:
+    """Adds ``value`` of the next row of the same key by ``order`` (null after the last), without a task that orders a whole key.
+
+    Rows are laid out by ranges of (key, order); the last of a range takes the first of the key's next range. ``order`` should name a
+    row of its key; rows that share it follow each other in some order.
+    """
+    by = [*[F.col(k).asc_nulls_first() for k in keys], F.col(order).asc_nulls_first()]
+    laid = stored(rows.withColumn("__v", F.struct(value.alias("v"))).repartitionByRange(*by).withColumn("__part", F.spark_partition_id()), "ranges")
+    firsts = laid.groupBy(*keys, "__part").agg(F.min_by("__v", F.struct(F.col(order).isNotNull(), order)).alias("__first"))
+    later = F.lead("__first").over(Window.partitionBy(*keys).orderBy("__part"))  # a row for each range that a key lies in
+    inside = F.lead("__v").over(Window.partitionBy(*keys, "__part").orderBy(F.col(order).asc_nulls_first()))
+    out = _join(laid.withColumn("__in", inside), firsts.withColumn("__next", later).drop("__first"), [*keys, "__part"], "left")
+    return out.select(*rows.columns, F.coalesce("__in", "__next")["v"].alias(name))
+
+
 def medians(rows: DataFrame, value: str, *keys: str) -> DataFrame:
     """(keys, median): the middle value of each key, or the mean of the two."""
     p = positions(rows, value, *keys)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tallyfield.operators.order_statistics import following
 from tallyfield.session import table
 
 ROLES = ("top", "jungle", "mid", "bot", "support")
@@ -97,8 +98,7 @@ def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
 def label_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labelled documents next to each other inside a source: the choice is the better quality, the score the length."""
     d = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id").select("source", "lang", "doc_id", "quality", "toxic", "n_chars")
-    nxt = F.lead(F.struct("doc_id", "quality", "n_chars")).over(Window.partitionBy("source").orderBy("doc_id"))
-    p = d.withColumn("r", nxt).where("r is not null")
+    p = following(d, "doc_id", F.struct("doc_id", "quality", "n_chars"), "source", name="r").where("r is not null")
     choice = F.when(F.col("quality") > F.col("r.quality"), "left").when(F.col("quality") < F.col("r.quality"), "right").otherwise("tie")
     prob = F.col("n_chars") / (F.col("n_chars") + F.col("r.n_chars"))
     return p.select("source", "lang", F.col("doc_id").alias("left_ref"), F.col("r.doc_id").alias("right_ref"), choice.alias("choice"), F.col("n_chars").alias("left_score"), F.col("r.n_chars").alias("right_score"), prob.alias("p"))

@@ -93,3 +93,17 @@ def test_no_task_orders_a_whole_key(spark):
 def test_empty(spark):
     df = spark.createDataFrame([], "k string, x double, y double")
     assert os_.kendall(df, "x", "y", "k").collect() == os_.centers(df, "x", "k").collect() == os_.rank_correlation(df, "x", "y", "k").collect() == []
+
+
+def test_following(spark, many_tasks):
+    from pyspark.sql import functions as F
+
+    r = random.Random(8)
+    rows = [(r.choice("aaab") if i % 50 else None, i, f"v{i}") for i in r.sample(range(5000), 700)]
+    df = spark.createDataFrame(rows, "k string, i int, v string")
+    got = {(x.k, x.i): x.n for x in os_.following(df, "i", F.col("v"), "k", name="n").collect()}
+    by = {}
+    for k, i, v in sorted(rows, key=lambda x: x[1]):
+        by.setdefault(k, []).append((i, v))
+    want = {(k, i): nxt[1] if nxt else None for k, xs in by.items() for (i, _), nxt in zip(xs, [*xs[1:], None])}
+    assert got == want
