@@ -12,14 +12,19 @@ from tallyfield.sources import views
 from tallyfield.sources.view_sql import PAIRS, PARTICIPANTS
 
 
-@query()
+#: Games are even nodes, players odd ones; a node's smallest reachable node by recursion that keeps one row a node.
+COMPONENTS = """edges as (select (o_orderkey // 10) * 2 a, o_custkey * 2 + 1 b from orders), ways as (select a, b from edges union select b, a from edges),
+comp(node, component) using key (node) as (select distinct a, a from ways union select w.b, min(c.component) from comp c join ways w on w.a = c.node join recurring.comp r on r.node = w.b where c.component < r.component group by w.b)"""
+
+
+@query(f"with recursive {COMPONENTS} select node, component from comp")
 def m7_connected_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Checked against union-find in the tests."""
     e = views.player_edges(spark, sf_dir)
     return connected_components(e.select((F.col("game_id") * 2).alias("src"), (F.col("puuid") * 2 + 1).alias("dst")))
 
 
-@query()
+@query(f"""with recursive {COMPONENTS}, u as (select node // 2 game_id, component, cast('0x' || substr(sha256('0:' || component), 1, 13) as bigint) / pow(2, 52) x from comp where node % 2 = 0)
+select game_id, component, case when x < 0.1 then 'test' when x < 0.9 then 'train' else 'validation' end split from u""")
 def m6_assign_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus.assign_splits(views.player_edges(spark, sf_dir), "game_id", "puuid")
 
