@@ -91,18 +91,13 @@ def rank_agreement(rows: DataFrame, group: str, truth: str, score: str, item: st
 def risk_coverage(rows: DataFrame, confidence: str, wrong: str, order: str, points: int = 10) -> DataFrame:
     """Error among the most confident rows at evenly spaced, distinct counts.
 
-    Rows are ranked by a distributed sort: counts of confidence buckets give each bucket's first rank, so no task holds
-    all rows.
+    Rows are numbered over ranges of (confidence, order), so no task holds all rows, nor all of one confidence. Rows without
+    a confidence are left out.
     """
-    bucketed = rows.withColumn("__b", F.floor(F.col(confidence) * 1000))
-    per = bucketed.groupBy("__b").agg(F.count("*").alias("__c"))
-    before = per.select("__b", F.coalesce(F.sum("__c").over(Window.orderBy(F.desc("__b")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__first"), F.sum("__c").over(Window.partitionBy(F.lit(1))).alias("n"))
-    bad = F.col(wrong).cast("int")
-    own = Window.partitionBy("__b").orderBy(F.desc(confidence), order)
-    sums = bucketed.groupBy("__b").agg(F.sum(bad).alias("__w")).select("__b", F.coalesce(F.sum("__w").over(Window.orderBy(F.desc("__b")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__wrong"))
-    ranked = bucketed.join(F.broadcast(before), "__b").join(F.broadcast(sums), "__b").withColumns({"k": F.row_number().over(own) + F.col("__first"), "w": F.sum(bad).over(own.rowsBetween(Window.unboundedPreceding, 0)) + F.col("__wrong")})
-    targets = F.array_distinct(F.transform(F.sequence(F.lit(1), F.lit(points)), lambda i: F.greatest(F.lit(1), F.floor(F.col("n") * i / points)).cast("long")))
-    return ranked.where(F.array_contains(targets, F.col("k").cast("long"))).select(F.col("k").alias("covered"), F.col("w").alias("wrong"), (F.col("w") / F.col("k")).alias("risk"))
+    known = rows.where(F.col(confidence).isNotNull())
+    ranked = order_statistics.numbered(known, F.desc(confidence), F.asc(order), running={"w": F.col(wrong).cast("int")})
+    targets = F.array_distinct(F.transform(F.sequence(F.lit(1), F.lit(points)), lambda i: F.greatest(F.lit(1), F.floor(F.col("total") * i / points)).cast("long")))
+    return ranked.where(F.array_contains(targets, F.col("number").cast("long"))).select(F.col("number").alias("covered"), F.col("w").alias("wrong"), (F.col("w") / F.col("number")).alias("risk"))
 
 
 def reviewer_agreement(labels: DataFrame, item: str = "pair_id", rater: str = "reviewer_id", choice: str = "choice") -> DataFrame:

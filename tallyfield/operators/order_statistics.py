@@ -59,6 +59,23 @@ def following(rows: DataFrame, order: str, value: Column, *keys: str, name: str
     return out.select(*rows.columns, F.coalesce("__in", "__next")["v"].alias(name))
 
 
+def numbered(rows: DataFrame, *order: Column, running: dict[str, Column] | None = None) -> DataFrame:
+    """Adds ``number`` (from 1) and ``total``, and sums up to and with each row, in one order over all rows; no task orders them all.
+
+    The order should tell rows apart; rows that share their place are numbered in some order.
+    """
+    sums = running or {}
+    laid = stored(rows.withColumns({f"__{name}": x for name, x in sums.items()}).repartitionByRange(*order).withColumn("__part", F.spark_partition_id()), "ranges")
+    per = laid.groupBy("__part").agg(F.count("*").alias("__rows"), *[F.sum(f"__{name}").alias(f"__all_{name}") for name in sums])
+    earlier = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    before = lambda c: F.coalesce(F.sum(c).over(earlier), F.lit(0))
+    offsets = per.select("__part", before("__rows").alias("__first"), F.sum("__rows").over(Window.partitionBy(F.lit(1))).alias("total"), *[before(f"__all_{name}").alias(f"__before_{name}") for name in sums])
+    own = Window.partitionBy("__part").orderBy(*order)
+    upto = own.rowsBetween(Window.unboundedPreceding, 0)
+    out = laid.join(F.broadcast(offsets), "__part")  # a row for each range
+    return out.select(*rows.columns, (F.row_number().over(own) + F.col("__first")).alias("number"), "total", *[(F.coalesce(F.sum(f"__{name}").over(upto), F.lit(0)) + F.col(f"__before_{name}")).alias(name) for name in sums])
+
+
 def medians(rows: DataFrame, value: str, *keys: str) -> DataFrame:
     """(keys, median): the middle value of each key, or the mean of the two."""
     p = positions(rows, value, *keys)

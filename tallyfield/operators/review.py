@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyfield.operators.evaluation import pearson
 from tallyfield.operators.components import connected_components
+from tallyfield.operators.order_statistics import numbered
 
 # Order in which good events are shown.
 PICK_ORDER = ("objective_secure", "structure_secure", "champion_kill", "objective_assist", "structure_assist", "champion_kill_assist")
@@ -109,22 +110,17 @@ def coaching_patterns(rows: DataFrame, rules: list[tuple[str, str, Column]], pla
 def temporal_split(edges: DataFrame, game: str, player: str, time: str, shares: tuple = (("train", 0.8), ("validation", 0.1), ("test", 0.1))) -> DataFrame:
     """(game, component, split): whole components ordered by their newest game, the oldest share first.
 
-    Components are numbered inside months of that time with the months' counts before them, not in one sorted task.
+    Components are numbered over ranges of (newest game, component), not in one sorted task.
     """
     nodes = edges.select((F.col(game) * 2).alias("src"), (F.col(player) * 2 + 1).alias("dst"))
     comp = connected_components(nodes).where("node % 2 = 0").select((F.col("node") / 2).cast("long").alias(game), "component")
     games = comp.join(edges.select(game, time).distinct(), game)
-    newest = games.groupBy("component").agg(F.max(time).alias("newest")).withColumn("month", F.date_trunc("month", "newest"))
-    per = newest.groupBy("month").agg(F.count("*").alias("c"))
-    w = Window.orderBy("month")
-    offsets = per.select("month", F.coalesce(F.sum("c").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"), F.sum("c").over(Window.partitionBy(F.lit(1))).alias("n"))
-    number = F.row_number().over(Window.partitionBy("month").orderBy("newest", "component")) + F.col("before") - 1
-    at, total, out = number / F.col("n"), 0.0, None
+    newest = numbered(games.groupBy("component").agg(F.max(time).alias("newest")).where("newest is not null"), F.asc("newest"), F.asc("component"))
+    at, total, out = (F.col("number") - 1) / F.col("total"), 0.0, None
     for name, share in shares:
         total += share
         out = F.when(at < total - 1e-9, name) if out is None else out.when(at < total - 1e-9, name)
-    split = newest.join(F.broadcast(offsets), "month").select("component", out.otherwise(shares[-1][0]).alias("split"))
-    return comp.join(split, "component").select(game, "component", "split")
+    return comp.join(newest.select("component", out.otherwise(shares[-1][0]).alias("split")), "component").select(game, "component", "split")
 
 
 def lane_comparison(snapshots: DataFrame) -> DataFrame:

@@ -107,3 +107,15 @@ def test_following(spark, many_tasks):
         by.setdefault(k, []).append((i, v))
     want = {(k, i): nxt[1] if nxt else None for k, xs in by.items() for (i, _), nxt in zip(xs, [*xs[1:], None])}
     assert got == want
+
+
+def test_numbered(spark, many_tasks):
+    from pyspark.sql import functions as F
+
+    r = random.Random(11)
+    rows = [(r.choice([0.5, 0.5, r.random()]), i, r.random() < 0.3) for i in range(900)]
+    got = os_.numbered(spark.createDataFrame(rows, "c double, i int, bad boolean"), F.desc("c"), F.asc("i"), running={"w": F.col("bad").cast("int")}).orderBy("number").collect()
+    want = sorted(rows, key=lambda x: (-x[0], x[1]))
+    assert [(x.c, x.i, x.bad) for x in got] == want and [x.number for x in got] == list(range(1, 901)) and {x.total for x in got} == {900}
+    assert [x.w for x in got] == list(np.cumsum([x[2] for x in want]))
+    assert os_.numbered(spark.createDataFrame([], "c double"), F.asc("c")).collect() == []
