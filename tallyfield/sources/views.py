@@ -59,7 +59,7 @@ def timeline_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A day is a game of 36 minutes; actor and target are two of ten participants."""
     e = table(spark, sf_dir, "events").withColumn("k", F.get_json_object("props", "$.k").cast("long"))
     day = F.date_diff(F.to_date("ts"), F.lit("2024-01-01")).cast("int")
-    clock = F.hour("ts").cast("long") * 3600000 + F.minute("ts") * 60000 + F.floor(F.expr("extract(second from ts)").cast("double") * 1000).cast("long")
+    clock = F.hour("ts").cast("long") * 3600000 + F.minute("ts") * 60000 + F.floor(F.expr("extract(second from ts)") * 1000).cast("long")
     kind = F.create_map(*[F.lit(x) for p in KINDS.items() for x in p])
     actor, target = (F.col("user_id") % 10 + 1).cast("int"), (F.col("k") % 10 + 1).cast("int")
     helper = ((F.col("k") + F.col("user_id")) % 10 + 1).cast("int")
