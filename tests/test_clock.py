@@ -22,3 +22,7 @@ def whole_milliseconds(tmp_path_factory):
 
 def test_signed_evidence_on_whole_milliseconds(spark, whole_milliseconds):
     assert compare(spark, QUERIES["u2_signed_evidence"], SQL["u2_signed_evidence"], whole_milliseconds) > 0
+
+
+def test_documents_of_events_on_whole_milliseconds(spark, whole_milliseconds):
+    assert compare(spark, QUERIES["s2_p14_timeline_events"], SQL["s2_p14_timeline_events"], whole_milliseconds) > 0
