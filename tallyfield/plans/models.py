@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyfield.catalog import query
 from tallyfield.operators import comparison, models, shapes
-from tallyfield.session import scratch
+from tallyfield.session import scratch, stored
 from tallyfield.sources import views
 from tallyfield.sources.view_sql import MATCHES, PARTICIPANTS
 
@@ -26,13 +26,16 @@ def m5_w4_score_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("game_id", "participant_id", F.round("score", 6).alias("score"), "model_rank", F.round("rank_confidence", 6).alias("rank_confidence"))
 
 
-def _training(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, dict[str, int]]:
-    p = views.participants(spark, sf_dir).withColumn("item_ref", F.concat_ws(":", "game_id", "participant_id"))
+def _training(spark: SparkSession, sf_dir: str, participants: DataFrame | None = None) -> tuple[DataFrame, DataFrame, dict[str, int]]:
+    """Items, labelled pairs and directions. A fit reads both many times, so they are written once."""
     names = {"kills": 1, "assists": 1, "deaths": -1}
-    left, right = p.where("participant_id <= 5"), p.where("participant_id > 5")
-    pairs = left.select("game_id", "participant_id", F.col("item_ref").alias("left_ref"), F.col("damage_to_champions").alias("a")).join(right.select("game_id", (F.col("participant_id") - 5).alias("participant_id"), F.col("item_ref").alias("right_ref"), F.col("damage_to_champions").alias("b")), ["game_id", "participant_id"])
-    labelled = pairs.select("game_id", "left_ref", "right_ref", F.when(F.col("a") > F.col("b"), "left").when(F.col("a") < F.col("b"), "right").otherwise("tie").alias("choice"))
-    return p, labelled, names
+    p = views.participants(spark, sf_dir) if participants is None else participants
+    p = stored(p.select("game_id", "participant_id", "role", "damage_to_champions", *names).withColumn("item_ref", F.concat_ws(":", "game_id", "participant_id")), "items")
+    side = lambda at, value: p.where(at).select("game_id", ((F.col("participant_id") - 1) % 5 + 1).alias("place"), F.col("damage_to_champions").alias(value))
+    ends = side("participant_id <= 5", "a").join(side("participant_id > 5", "b"), ["game_id", "place"])
+    ref = lambda place: F.concat_ws(":", "game_id", place)
+    labelled = ends.select("game_id", ref(F.col("place")).alias("left_ref"), ref(F.col("place") + 5).alias("right_ref"), F.when(F.col("a") > F.col("b"), "left").when(F.col("a") < F.col("b"), "right").otherwise("tie").alias("choice"))
+    return p, stored(labelled, "labelled"), names
 
 
 @query()
@@ -102,26 +105,34 @@ newest as (select game_id, source, max((created_at, version)) v from sets group
 records as (select s.game_id, s.participant_id, s.source, s.version, s.kills, s.deaths, s.assists, s.role, {_SPLIT.replace("game_id", "s.game_id")} split, s.game_id || ':' || s.participant_id base_ref, s.game_id || ':' || s.participant_id || ':' || s.source item_ref from sets s join newest n on n.game_id = s.game_id and n.source = s.source and n.v = (s.created_at, s.version) join matches m on m.game_id = s.game_id and m.queue < 5)"""
 
 
-def feature_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+_RATED = "source = 'aggregate' or duration >= 900"
+
+
+def _sources() -> Column:
+    return F.explode(F.array(F.lit("match_v5"), F.lit("aggregate"))).alias("source")
+
+
+def feature_sets(participants: DataFrame, matches: DataFrame) -> DataFrame:
     """Two versions of two sources of the participants' counts; short games have only the weaker source."""
-    p = views.participants(spark, sf_dir).join(views.matches(spark, sf_dir).select("game_id", "duration", "queue"), "game_id")
-    rows = p.withColumn("source", F.explode(F.array(F.lit("match_v5"), F.lit("aggregate")))).withColumn("version", F.explode(F.array(F.lit(1), F.lit(2))))
-    return rows.where("source = 'aggregate' or duration >= 900").withColumn("created_at", F.date_add(F.lit("2024-01-01").cast("date"), (F.col("game_id") * F.col("version") % 5).cast("int")))
+    p = participants.repartition("game_id").join(matches.select("game_id", "duration", "queue"), "game_id")  # before rows are multiplied
+    rows = p.select("*", _sources()).where(_RATED).withColumn("version", F.explode(F.array(F.lit(1), F.lit(2))))
+    return rows.withColumn("created_at", F.date_add(F.lit("2024-01-01").cast("date"), (F.col("game_id") * F.col("version") % 5).cast("int")))
 
 
-def _set(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    sets = feature_sets(spark, sf_dir)
-    manifest = sets.where("queue < 5").select("game_id", "source").distinct()
-    records = comparison.training_records(manifest, sets, manifest.select("game_id", split_of("game_id").alias("split")).distinct())
-    labels = _training(spark, sf_dir)[1].drop("game_id")
-    return records, comparison.training_pairs(labels, records)
+def _records(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Records and labels, from participants that are written once."""
+    p, m = stored(views.participants(spark, sf_dir), "participants"), views.matches(spark, sf_dir)
+    manifest = m.where("queue < 5").select("game_id", "duration", _sources()).where(_RATED).select("game_id", "source")
+    records = comparison.training_records(manifest, feature_sets(p, m), m.select("game_id", split_of("game_id").alias("split")))
+    return records, _training(spark, sf_dir, p)[1].drop("game_id")
 
 
 @query(f"with {_VERSIONS} select game_id, participant_id, source, version, split, base_ref, item_ref from records")
 def m13_s4_training_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Written as a training set, read again with its counts checked."""
     path = scratch(spark, "training-set")
-    comparison.write_training_set(*_set(spark, sf_dir), path)
+    records, labels = _records(spark, sf_dir)
+    comparison.write_training_set(records, lambda written: comparison.training_pairs(labels, written), path)
     return comparison.read_training_set(spark, path)[0].select("game_id", "participant_id", "source", "version", "split", "base_ref", "item_ref")
 
 
@@ -130,13 +141,16 @@ pairs as (select a.game_id || ':' || a.participant_id left_ref, b.game_id || ':'
 t as (select base_ref, count(*) filter (source = 'match_v5') m, count(*) filter (source = 'aggregate') a from records group by 1)
 select p.left_ref, p.right_ref, p.choice, coalesce(x.m, 0) + coalesce(y.m, 0) = 2 match_v5, coalesce(x.a, 0) + coalesce(y.a, 0) = 2 "aggregate" from pairs p left join t x on x.base_ref = p.left_ref left join t y on y.base_ref = p.right_ref""")
 def j20_tiers_side_by_side(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return comparison.side_by_side(_training(spark, sf_dir)[1].drop("game_id"), _set(spark, sf_dir)[0], ["match_v5", "aggregate"])
+    records, labels = _records(spark, sf_dir)
+    return comparison.side_by_side(labels, records, ["match_v5", "aggregate"])
 
 
 @query()
 def m33_train_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The third tier has no records, so its model is neutral."""
-    records, pairs = _set(spark, sf_dir)
+    records, labels = _records(spark, sf_dir)
+    records = stored(records.select("base_ref", "source", "role", "split", "kills", "assists", "deaths"), "records")
+    pairs = stored(comparison.training_pairs(labels, records), "pairs")
     wanted = {"kills": 1, "assists": 1, "deaths": -1}
     return comparison.train_tiers(records, pairs.where("split = 'train'").drop("split"), {"match_v5": wanted, "aggregate": {"kills": 1, "deaths": -1}, "live_client": {"kills": 1}})
 
