@@ -1,3 +1,4 @@
+from tallyfield.operators import comparison
 from tallyfield.plans import models
 
 SF = "/root/testdata/sf0.001"
@@ -12,3 +13,18 @@ def test_fits_read_what_was_written_once(spark):
     names = [x for path in read(p, pairs) for x in path]
     assert not {"lineitem.parquet", "orders.parquet"} & set(names)
     assert p.count() == 1500 and pairs.count() == 750
+
+
+def test_features_that_lie_by_game_are_not_exchanged_again(spark):
+    features = spark.createDataFrame([(1, "a", 1, 1, 1, 5), (1, "a", 2, 1, 1, 6), (1, "b", 1, 1, 1, 7), (2, "a", 1, 1, 1, 8)], "game_id long, source string, version int, created_at int, participant_id int, kills int").repartition("game_id")
+    manifest = spark.createDataFrame([(1, "a"), (1, "a"), (2, "a"), (2, "b")], "game_id long, source string")
+    splits = spark.createDataFrame([(1, "train")], "game_id long, split string")
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = comparison.training_records(manifest, features, splits)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert [(r["item_ref"], r["kills"], r["split"]) for r in found.collect()] == [("1:1:a", 6, "train")]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert plan.count("Exchange hashpartitioning") <= 3  # one each of features, manifest and splits
