@@ -108,10 +108,22 @@ def panel_consensus(tiers: DataFrame, reviewers: int = 2, share: float = 0.66, m
     if both rounds give the same one. Kept are pairs with at least ``reviewers`` stable reviewers, a majority share of
     ``share`` and a mean tier gap of at most ``max_gap``.
     """
-    a = tiers.select("match", "round", "reviewer", F.col("item").alias("a"), F.col("tier").alias("ta"), F.col("confidence").alias("ca"))
-    b = tiers.select("match", "round", "reviewer", F.col("item").alias("b"), F.col("tier").alias("tb"), F.col("confidence").alias("cb"))
-    pref = a.join(b, ["match", "round", "reviewer"]).where("a < b").withColumns({"p": F.signum(F.col("tb") - F.col("ta")), "gap": F.abs(F.col("tb") - F.col("ta")), "c": F.least("ca", "cb")})
-    stable = pref.groupBy("match", "a", "b", "reviewer").agg(F.min("p").alias("lo"), F.max("p").alias("hi"), F.count_distinct("round").alias("rounds"), F.avg("gap").alias("gap"), F.min("c").alias("c")).where("rounds = 2 and lo = hi and lo != 0")
+    laid = tiers.where("match is not null and round is not null and reviewer is not null and item is not null").repartition("match")  # the only exchange
+    item = laid.groupBy("match", "reviewer", "item").agg(F.collect_list(F.struct("round", "tier", "confidence")).alias("given"))
+    of = item.groupBy("match", "reviewer").agg(F.collect_list(F.struct("item", "given")).alias("items"))
+    first = of.select("match", "items", F.explode("items").alias("x"))
+    pairs = first.select("match", "x", F.explode(F.filter("items", lambda y: F.col("x.item") < y["item"])).alias("y"))
+
+    def compared(x: Column, y: Column) -> Column:
+        apart = y["tier"] - x["tier"]
+        return F.struct(x["round"].alias("round"), F.signum(apart).alias("p"), F.abs(apart).cast("double").alias("gap"), F.least(x["confidence"], y["confidence"]).alias("c"))
+
+    prefs = F.flatten(F.transform("x.given", lambda x: F.transform(F.filter("y.given", lambda y: x["round"] == y["round"]), lambda y: compared(x, y))))
+    rated = pairs.select("match", F.col("x.item").alias("a"), F.col("y.item").alias("b"), prefs.alias("prefs"))
+    gaps = F.filter("prefs.gap", lambda g: g.isNotNull())
+    mean = F.try_divide(F.aggregate(gaps, F.lit(0.0), lambda s, g: s + g), F.size(gaps))
+    agreed = rated.where(F.size(F.array_distinct("prefs.round")) == 2).withColumns({"lo": F.array_min("prefs.p"), "hi": F.array_max("prefs.p")}).where("lo = hi and lo != 0")
+    stable = agreed.select("match", "a", "b", "lo", mean.alias("gap"), F.array_min("prefs.c").alias("c"))
     votes = stable.groupBy("match", "a", "b").agg(F.count("*").alias("n"), F.count_if(F.col("lo") > 0).alias("for_a"), F.avg("gap").alias("gap"), F.min("c").alias("confidence"))
     top = F.greatest(F.col("for_a"), F.col("n") - F.col("for_a"))
     kept = votes.where((F.col("n") >= reviewers) & (top >= share * F.col("n")) & (F.col("gap") <= max_gap) & (F.col("for_a") * 2 != F.col("n")))
