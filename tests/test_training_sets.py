@@ -28,3 +28,9 @@ def test_features_that_lie_by_game_are_not_exchanged_again(spark):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
     assert plan.count("Exchange hashpartitioning") <= 3  # one each of features, manifest and splits
+
+
+def test_families_read_what_was_written_once(spark):
+    p, pairs, _ = models._split_training(spark, SF)
+    assert not {"lineitem.parquet", "orders.parquet"} & {x for path in read(p, pairs) for x in path}
+    assert pairs.groupBy("split").count().count() == 3
