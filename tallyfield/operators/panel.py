@@ -8,6 +8,8 @@ a map from paths to whole numbers; a lane opponent is shown as that packet's sub
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,17 +37,18 @@ def named(**fields: Column) -> Column:
 
 def features_text(features: Column) -> Column:
     """Sorted path=value pairs: the same for every order of the map; null values are left empty."""
-    return F.array_join(F.transform(F.array_sort(F.map_entries(features)), lambda e: F.concat_ws("=", e["key"], F.coalesce(e["value"].cast("string"), F.lit("")))), ",")
+    return F.array_join(F.transform(F.sort_array(F.map_entries(features)), lambda e: F.concat_ws("=", e["key"], F.coalesce(e["value"].cast("string"), F.lit("")))), ",")
 
 
-def fingerprint(p: Column) -> Column:
-    """Hash of the evidence that a participant shows, the same in every round."""
-    return _hash(F.coalesce(p["champion"], F.lit("")), F.coalesce(p["role"], F.lit("")), F.when(p["opponent"].isNotNull(), "subject").otherwise(""), features_text(p["features"]))
+def fingerprint(p: Column, text: Column | None = None) -> Column:
+    """Hash of the evidence that a participant shows, the same in every round; ``text`` is its features' text where it is known."""
+    return _hash(F.coalesce(p["champion"], F.lit("")), F.coalesce(p["role"], F.lit("")), F.when(p["opponent"].isNotNull(), "subject").otherwise(""), features_text(p["features"]) if text is None else text)
 
 
-def packet_id(packet: Column) -> Column:
-    """The id of a packet is the hash of what it shows, in the order shown."""
-    shown = F.transform(packet["participants"], lambda p: F.concat_ws("|", p["subject_id"], p["team"], p["champion"], p["role"], F.coalesce(p["opponent"], F.lit("")), features_text(p["features"])))
+def packet_id(packet: Column, texts: Column | None = None) -> Column:
+    """The id of a packet is the hash of what it shows, in the order shown; ``texts`` are its participants' features where known."""
+    text = lambda p, i: features_text(p["features"]) if texts is None else F.get(texts, i)
+    shown = F.transform(packet["participants"], lambda p, i: F.concat_ws("|", p["subject_id"], p["team"], p["champion"], p["role"], F.coalesce(p["opponent"], F.lit("")), text(p, i)))
     head = F.concat_ws("|", *[packet[c].cast("string") for c in ("schema_version", "rubric_hash", "evidence_source", "duration")])
     return F.substring(F.sha2(F.concat_ws("\n", head, F.array_join(shown, "\n")), 256), 1, 24)
 
@@ -59,11 +62,12 @@ def newest(feature_sets: DataFrame, source: str, order: list[str], requested: Da
     return latest(own.join(wanted, "game_id", "left_semi"), ["game_id"], order), wanted.join(own.select("game_id"), "game_id", "left_anti")
 
 
-def packets(rows: DataFrame, seed: str, rubric_hash: str, rounds: tuple[str, ...] = ROUNDS, source: str = "lcu_timeline") -> tuple[DataFrame, DataFrame, DataFrame]:
+def packets(rows: DataFrame, seed: str, rubric_hash: str, rounds: tuple[str, ...] = ROUNDS, source: str = "lcu_timeline", keep: Callable[[DataFrame], DataFrame] = lambda made: made) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(public packets, private map, rejected games with a reason).
 
     ``rows``: game_id, participant_id, team_id, champion, role, opponent_id, features, duration. A game needs ten different
     participants in two teams and an opponent, where there is one, among them. One row a game and round, built inside the row: one shuffle.
+    Packets and map are columns of the same rows; ``keep`` may store these, so that they are built once for both.
     """
     one = F.struct("participant_id", "team_id", "champion", "role", "opponent_id", "features")
     games = rows.groupBy("game_id").agg(F.array_sort(F.collect_list(F.struct("participant_id", "team_id"))).alias("who"), F.collect_list(one).alias("ps"), F.max("duration").alias("duration"))
@@ -77,19 +81,22 @@ def packets(rows: DataFrame, seed: str, rubric_hash: str, rounds: tuple[str, ...
         return F.substring(_hash(F.lit(seed), F.col("round"), F.col("game_id"), pid), 1, 12)
 
     turned = F.substring(_hash(F.lit(seed), F.col("round"), F.col("game_id"), F.lit("teams")), 1, 1) < "8"
-    team = lambda t: F.when((t == F.col("low_team")) == turned, "A").otherwise("B")
-    shown = lambda p: named(subject_id=subject(p["participant_id"]), team=team(p["team_id"]), champion=p["champion"].cast("string"), role=p["role"], opponent=F.when(p["opponent_id"].isNotNull(), subject(p["opponent_id"])), features=p["features"])
-    place = lambda p: named(o=_hash(F.lit(seed), F.lit("order"), subject(p["participant_id"])), pid=p["participant_id"], s=shown(p))
-    placed = F.array_sort(F.transform("ps", place), lambda x, y: F.when(x["o"] < y["o"], -1).when(x["o"] > y["o"], 1).otherwise(0))
-    made = good.withColumn("placed", placed).withColumns({
-        "participants": F.transform("placed", lambda x: x["s"]), "schema_version": F.lit(SCHEMA_VERSION), "rubric_hash": F.lit(rubric_hash), "evidence_source": F.lit(source), "duration": F.col("duration").cast("bigint"),
+    named_ = good.withColumns({"turned": turned, "names": F.map_from_entries(F.transform("ps", lambda p: F.struct(p["participant_id"], subject(p["participant_id"]))))})
+    called = lambda pid: F.element_at("names", pid)
+    team = lambda t: F.when((t == F.col("low_team")) == F.col("turned"), "A").otherwise("B")
+    shown = lambda p: named(subject_id=called(p["participant_id"]), team=team(p["team_id"]), champion=p["champion"].cast("string"), role=p["role"], opponent=F.when(p["opponent_id"].isNotNull(), called(p["opponent_id"])), features=p["features"])
+    order = F.sort_array(F.transform("ps", lambda p, i: F.struct(_hash(F.lit(seed), F.lit("order"), called(p["participant_id"])).alias("o"), i.alias("i"))))
+    placed = F.transform(order, lambda o: F.get("ps", o["i"]))
+    made = named_.withColumn("placed", placed).withColumns({
+        "texts": F.transform("placed", lambda p: features_text(p["features"])),
+        "participants": F.transform("placed", shown), "schema_version": F.lit(SCHEMA_VERSION), "rubric_hash": F.lit(rubric_hash), "evidence_source": F.lit(source), "duration": F.col("duration").cast("bigint"),
     })
     body = ["schema_version", "rubric_hash", "evidence_source", "duration", "participants"]
-    made = made.withColumn("packet_id", packet_id(F.struct(*body)))
-    ref = lambda x: F.concat_ws(":", F.col("game_id"), x["pid"])
-    subjects = F.transform("placed", lambda x: named(subject_id=x["s"]["subject_id"], base_ref=ref(x), binding=_hash(ref(x), fingerprint(x["s"]))))
+    made = made.withColumn("packet_id", packet_id(F.struct(*body), F.col("texts")))
+    who = F.transform(F.arrays_zip(F.transform("placed", lambda p: F.concat_ws(":", F.col("game_id"), p["participant_id"])).alias("ref"), F.col("participants").alias("p"), F.col("texts").alias("text")), lambda x: named(subject_id=x["p"]["subject_id"], base_ref=x["ref"], binding=_hash(x["ref"], fingerprint(x["p"], x["text"]))))
+    made = keep(made.select("round", "packet_id", "game_id", *body, who.alias("subjects")))
     public = made.select("round", "packet_id", *body)
-    private = made.select("round", "packet_id", "game_id", "rubric_hash", subjects.alias("subjects"))
+    private = made.select("round", "packet_id", "game_id", "rubric_hash", "subjects")
     return public, private, judged.where("reason is not null").select("game_id", "reason")
 
 

@@ -30,6 +30,11 @@ def shown(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.where("not (game_id % 17 = 3 and participant_id = 4)")
 
 
+def _packets(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Packets and private map, built and written once."""
+    return panel.packets(shown(spark, sf_dir), SEED, RUBRIC, keep=lambda made: stored(made, "packets"))[:2]
+
+
 _H = "substr(sha256('{0}|' || r || '|' || game_id || '|' || {1}), 1, {2})"
 _TEXT = "'fight_influence.deaths=' || deaths || ',fight_influence.kills=' || kills || ',structure_pressure=' || damage_to_turrets || ',vision_influence.wards_placed=' || wards_placed"
 PACKETS_SQL = f"""{PARTICIPANTS}, {MATCHES}, whole as (select p.*, m.duration, case when role <> 'jungle' then case when participant_id <= 5 then participant_id + 5 else participant_id - 5 end end opp, {_TEXT} ft
@@ -68,7 +73,7 @@ def m11_rejected_games(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _bundle(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Packets that were tampered with, by game: 0 evidence of round b, 1 a private map lost, 2 a packet lost, 3 two persons of round b exchanged,
     4 another rubric, 5 a subject renamed, 6 rounds exchanged in the map, 7 a packet twice in the map's round."""
-    public, private, _ = (stored(x, "packets") for x in panel.packets(shown(spark, sf_dir), SEED, RUBRIC))
+    public, private = _packets(spark, sf_dir)
     k = F.col("game_id") % 23
     games = private.select("packet_id", "game_id")
     changed = F.transform("participants", lambda p, i: F.when((k == 0) & (F.col("round") == "b") & (i == 0), p.withField("features", F.map_zip_with(p["features"], p["features"], lambda key, a, b: F.when(key == "structure_pressure", a + 1).otherwise(a)))).when((k == 5) & (i == 0), p.withField("subject_id", F.lit("unknown"))).otherwise(p))
@@ -123,6 +128,6 @@ _REASONS = {1: "overall_confidence", 2: "ranking", 3: "assessments", 4: "confide
 select packet_id, case k {" ".join(f"when {k} then '{r}'" for k, r in _REASONS.items())} end reason from g where k in ({", ".join(map(str, _REASONS))})
 union all select 'nowhere', 'unknown_packet' from g where k = 12 union all select 'nowhere', 'duplicate' from g where k = 12 group by k having count(*) > 1 union all select null, 'bad_line' from g where k = 16""")
 def p39_s6_judgment_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
-    public, private, _ = (stored(x, "packets") for x in panel.packets(shown(spark, sf_dir), SEED, RUBRIC))
+    public, private = _packets(spark, sf_dir)
     rows, bad = panel.read_lines(spark, judgments_path(spark, public, private.select("packet_id", "game_id")), panel.JUDGMENT)
     return panel.judgment_problems(rows, public.where("round = 'a'")).unionByName(bad.select(F.lit(None).cast("string").alias("packet_id"), F.lit("bad_line").alias("reason")))
