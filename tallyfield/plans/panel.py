@@ -59,10 +59,12 @@ def s10_newest_feature_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""with {PACKETS_SQL} select r as round, packet_id, cast(place as integer) place, subject_id, team, cast(champion as varchar) champion, role, opponent, game_id || ':' || participant_id base_ref, binding from full_packets""")
 def m11_s10_packets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Packets and private map side by side, a row for each subject."""
-    public, private, _ = panel.packets(shown(spark, sf_dir), SEED, RUBRIC)
-    seen = public.select("round", "packet_id", F.posexplode("participants").alias("place", "p")).select("round", "packet_id", (F.col("place") + 1).alias("place"), "p.subject_id", "p.team", "p.champion", "p.role", "p.opponent")
-    who = private.select("packet_id", F.explode("subjects").alias("s")).select("packet_id", "s.*")
-    return seen.join(who, ["packet_id", "subject_id"])
+    public, private = _packets(spark, sf_dir)
+    both = public.select("round", "packet_id", "participants").join(private.select("packet_id", "subjects"), "packet_id")
+    seen = both.select("round", "packet_id", "subjects", F.posexplode("participants").alias("place", "p"))
+    own = F.explode(F.filter("subjects", lambda s: s["subject_id"] == F.col("p.subject_id")))
+    rows = seen.select("packet_id", "p.subject_id", "round", (F.col("place") + 1).alias("place"), "p.team", "p.champion", "p.role", "p.opponent", own.alias("s"))
+    return rows.select("*", "s.base_ref", "s.binding").drop("s")
 
 
 @query(f"with {PARTICIPANTS} select game_id, 'participants' reason from participants where not (game_id % 17 = 3 and participant_id = 4) group by 1 having count(*) <> 10")
