@@ -8,7 +8,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyfield.session import scratch
@@ -71,12 +71,35 @@ def changed_only(snapshots: DataFrame, key: str = "session_id", digest: str = "h
 
 def changed_only_batch(snapshots: DataFrame, key: str = "session_id", digest: str = "hash", time: str = "ts") -> DataFrame:
     """The same over a table."""
-    from pyspark.sql import Window
-
     before = F.lag(digest).over(Window.partitionBy(key).orderBy(time))
     return snapshots.withColumn("__b", before).where(~F.col(digest).eqNullSafe(F.col("__b"))).drop("__b")
 
 
+def run_changed(snapshots: DataFrame, name: str, key: str = "session_id", digest: str = "hash", time: str = "ts") -> DataFrame:
+    """The same over what a source has now, trigger by trigger with DataFrame functions only, in the shared folder.
+
+    The last hash of every session is a table of two folders in turn: a trigger reads the one of the trigger before and writes the
+    other, so a trigger that is repeated reads the same and replaces what it wrote. No session is forgotten.
+    """
+    spark, path = snapshots.sparkSession, scratch(snapshots.sparkSession, name)
+    last = lambda number: f"{path}-state/last/{number % 2}"
+    empty = spark.range(0).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in snapshots.schema])
+    empty.write.parquet(f"{path}/batch=-1")
+    empty.select(key, digest).write.parquet(last(-1))
+
+    def step(batch: DataFrame, number: int) -> None:
+        known = batch.sparkSession.read.schema(empty.select(key, digest).schema).parquet(last(number - 1)).withColumn("__new", F.lit(False))
+        both = batch.withColumn("__new", F.lit(True)).unionByName(known, allowMissingColumns=True)
+        before = F.lag(digest).over(Window.partitionBy(key).orderBy("__new", time, digest))
+        changed = both.withColumn("__b", before).where(F.col("__new") & ~F.col(digest).eqNullSafe(F.col("__b")))
+        changed.select(*snapshots.columns).write.mode("overwrite").parquet(f"{path}/batch={number}")
+        newest = both.groupBy(key).agg(F.max(F.struct("__new", time, digest)).alias("l"))
+        newest.select(key, f"l.{digest}").write.mode("overwrite").parquet(last(number))
+
+    snapshots.writeStream.foreachBatch(step).option("checkpointLocation", f"{path}-state/query").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(snapshots.schema).parquet(path).drop("batch")
+
+
 def reconcile(sessions_: DataFrame, games: DataFrame) -> DataFrame:
     """Sessions with the status of their game id against the known one: null or equal is reconciled, else a mismatch."""
     j = sessions_.join(games.select("session_id", F.col("game_id").alias("known")), "session_id", "left")

@@ -1,6 +1,12 @@
+import shutil
+
+import duckdb
 from pyspark.sql import functions as F
 
+import tallyfield.plans  # noqa: F401
+from tallyfield.catalog import QUERIES, SQL
 from tallyfield.streaming import live
+from tests.oracle import TABLES, compare
 
 EVENTS = "session_id int, event_id int, ts timestamp, kind string"
 
@@ -28,6 +34,25 @@ def test_unchanged_snapshots_are_dropped_as_in_batch(spark, tmp_path):
     assert sorted(r.event_id for r in got) == sorted(r.event_id for r in want) == [0, 2, 4, 6]
 
 
+def test_changed_snapshots_by_triggers_equal_batch(spark, tmp_path):
+    rows = [(1 + i % 2, i, f"2024-01-01 00:00:{i:02d}", k) for i, k in enumerate(["a", None, "a", None, "b", "c", None, "c", None, "a", "b", "a", "b"])]
+    rows += [(None, 50, "2024-01-01 00:00:50", "a"), (3, 51, "2024-01-01 00:00:51", None), (3, 52, "2024-01-01 00:00:52", "a")]
+    stream = landed(spark, tmp_path, [rows[:3], rows[3:4], rows[4:11], rows[11:]])
+    got = live.run_changed(stream, "t4", digest="kind")
+    want = live.changed_only_batch(spark.createDataFrame(rows, EVENTS.replace("timestamp", "string")), digest="kind").collect()
+    assert got.columns == stream.columns and sorted(r.event_id for r in got.collect()) == sorted(r.event_id for r in want)
+    assert live.run_changed(spark.readStream.schema(EVENTS).json(str(tmp_path / "in")).where("false"), "none", digest="kind").count() == 0
+
+
+def test_snapshots_without_a_hash_equal_sql(spark, tmp_path):
+    for t in TABLES:
+        shutil.copyfile(f"/root/testdata/sf0.001/{t}.parquet", tmp_path / f"{t}.parquet")
+    (tmp_path / "events.parquet").unlink()
+    rows = "select * replace (case when event_id % 3 = 0 then null else value end as value, user_id % 5 as user_id) from '/root/testdata/sf0.001/events.parquet'"
+    duckdb.connect().execute(f"copy ({rows}) to '{tmp_path}/events.parquet'")
+    assert compare(spark, QUERIES["t4_changed_snapshots"], SQL["t4_changed_snapshots"], tmp_path) > 0
+
+
 def test_windows_progress_and_sessions_on_a_table(spark):
     rows = [(1, i, f"2024-01-01 00:{i:02d}:01", "Kill") for i in (0, 1, 2, 30)] + [(2, 9, "2024-01-01 00:00:01", "GameEnd")]
     df = spark.createDataFrame(rows, EVENTS.replace("timestamp", "string")).withColumn("ts", F.col("ts").cast("timestamp"))
