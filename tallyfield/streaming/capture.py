@@ -10,9 +10,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from contextlib import contextmanager
+from operator import itemgetter
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
@@ -43,16 +43,13 @@ class CaptureMachine(StatefulProcessor):
         self.handle = handle
         self.state = handle.getValueState("capture", _STATE)
 
-    def _frame(self, rows: list[tuple]) -> pd.DataFrame:
-        return pd.DataFrame(rows, columns=[x.strip().split(" ")[0] for x in LIFECYCLE.split(",")])
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        frames = [x for x in rows if len(x)]
-        if key[0] is None or not frames:
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        polls = sorted((tuple(r[c] for c in _FIELDS) for r in rows if r["t"] is not None), key=itemgetter(0))  # a session's polls of one trigger
+        if key[0] is None or not polls:
             return
-        polls = pd.concat(frames)[_FIELDS].dropna(subset=["t"]).sort_values("t", kind="stable")  # a session's polls of one trigger
-        now, out = list(self.state.get()) if self.state.exists() else None, []
-        for t, reachable, stored, events, snapshot, stop in polls.itertuples(index=False):
+        before, out = self.state.get(), []
+        now = list(before) if before else None
+        for t, reachable, stored, events, snapshot, stop in polls:
             if now and t - now[1] > self.silence * 1_000_000:
                 out.append(self._ended(key, now, "partial_process_restart"))
                 now = None
@@ -66,23 +63,27 @@ class CaptureMachine(StatefulProcessor):
             if stop or now[6] >= self.max_misses:
                 out.append(self._ended(key, now, ending(*now[3:7], self.max_misses)))
                 now = None
-        for timer in self.handle.listTimers():
-            self.handle.deleteTimer(timer)
+        if before:  # a state has the timer of its last poll and no other
+            self.handle.deleteTimer(self._due(before))
         if now:
             self.state.update(tuple(now))
-            self.handle.registerTimer(now[1] // 1000 + self.silence * 1000 + 1)
-        else:
+            self.handle.registerTimer(self._due(now))
+        elif before:
+            self.state.clear()
+        yield from out
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        before = self.state.get()
+        if before:
             self.state.clear()
-        yield self._frame(out)
+            yield self._ended(key, before, "partial_process_restart")
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        out = [self._ended(key, list(self.state.get()), "partial_process_restart")] if self.state.exists() else []
-        self.state.clear()
-        yield self._frame(out)
+    def _due(self, now: list | tuple) -> int:
+        return now[1] // 1000 + self.silence * 1000 + 1
 
     @staticmethod
-    def _ended(key, now: list, status: str) -> tuple:
-        return (key[0], now[0], now[1], status, now[2], now[3], now[4], now[5])
+    def _ended(key, now: list | tuple, status: str) -> Row:
+        return Row(session_id=key[0], started=now[0], ended=now[1], status=status, polls=now[2], events=now[3], snapshots=now[4], store_errors=now[5])
 
     def close(self) -> None:
         pass
@@ -97,7 +98,7 @@ def lifecycle(polls: DataFrame, max_misses: int = MAX_MISSES, silence: int = SIL
     """
     quiet = {"reachable": True, "stored": True, "events": 0, "snapshot": False, "stop": False}
     plain = polls.withWatermark("ts", lateness).select(F.col("session_id").cast("long").alias("session_id"), "ts", F.unix_micros("ts").alias("t"), *[F.coalesce(F.col(c), F.lit(x)).alias(c) for c, x in quiet.items()])
-    return plain.groupBy("session_id").transformWithStateInPandas(CaptureMachine(max_misses, silence), LIFECYCLE, "append", "EventTime")
+    return plain.groupBy("session_id").transformWithState(CaptureMachine(max_misses, silence), LIFECYCLE, "append", "EventTime")
 
 
 @contextmanager

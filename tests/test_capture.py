@@ -79,3 +79,50 @@ def test_random_polls_in_many_pieces(spark, tmp_path):
     polls = [(r.randint(1, 12), t, r.random() < 0.6, r.random() < 0.8, r.choice([0, 0, 1]), r.random() < 0.2, r.random() < 0.05) for t in r.sample(range(100_000), 600)]
     got, _ = run(spark, tmp_path, polls, 3, 3, 2500)
     assert got == plain(polls, 3, 2500) and len({x[3] for x in got}) == 5
+
+
+class Handle:
+    """A handle and its one state, which counts what it is asked."""
+
+    def __init__(self):
+        self.value, self.timers, self.asked = None, set(), 0
+
+    def getValueState(self, name, schema):
+        return self
+
+    def __getattribute__(self, name):
+        if name in ("get", "exists", "update", "clear", "listTimers", "registerTimer", "deleteTimer"):
+            self.asked += 1
+        return object.__getattribute__(self, name)
+
+    def exists(self):
+        return self.value is not None
+
+    def get(self):
+        return self.value
+
+    def update(self, value):
+        self.value = value
+
+    def clear(self):
+        self.value = None
+
+    def listTimers(self):
+        return iter(sorted(self.timers))
+
+    def registerTimer(self, at):
+        self.timers.add(at)
+
+    def deleteTimer(self, at):
+        self.timers.remove(at)
+
+
+def test_a_trigger_asks_the_store_four_times_at_most():
+    handle, machine = Handle(), capture.CaptureMachine(3, 600)
+    machine.init(handle)
+    poll = lambda second, stop=False: dict(t=second * SECOND, reachable=True, stored=True, events=1, snapshot=False, stop=stop)
+    for polls, out, timers, most in (([poll(2), poll(1)], 0, {602_001}, 3), ([poll(700)], 1, {1_300_001}, 4), ([poll(800, True)], 1, set(), 3)):
+        before = handle.asked
+        assert len([*machine.handleInputRows((1,), iter(polls), None)]) == out
+        assert handle.timers == timers and handle.asked - before <= most
+    assert handle.value is None
