@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tallyfield.operators.components import connected_components
 from tallyfield.operators.corpus import unit
 from tallyfield.operators.models import LOCAL, logistic_sums, pair_differences
+from tallyfield.session import stored
 
 SHRINKAGE = 0.15
 BINS = 256
@@ -212,7 +213,7 @@ def fit_boosted_stumps(pairs: DataFrame, records: DataFrame, directions: dict[st
     features = list(directions)
     cuts = {f: thresholds(records, f) for f in features}
     bins = records.select("item_ref", *[bin_column(f, cuts[f]).alias(f) for f in features])
-    stops = stop_groups(pairs, records, group) if group else None
+    stops = stored(stop_groups(pairs, records, group), "stops") if group else None  # read twice
     used = bins if stops is None else bins.join(stops.where("not stop"), "item_ref", "left_semi")
     counts: dict[str, dict[int, int]] = {f: {} for f in features}
     for r in used.select(F.explode(F.array(*[F.struct(F.lit(f).alias("f"), F.col(f).alias("b")) for f in features])).alias("x")).where("x.b is not null").groupBy("x.f", "x.b").count().collect():

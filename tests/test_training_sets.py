@@ -1,4 +1,4 @@
-from tallyfield.operators import comparison
+from tallyfield.operators import comparison, shapes
 from tallyfield.plans import models
 
 SF = "/root/testdata/sf0.001"
@@ -34,3 +34,11 @@ def test_families_read_what_was_written_once(spark):
     p, pairs, _ = models._split_training(spark, SF)
     assert not {"lineitem.parquet", "orders.parquet"} & {x for path in read(p, pairs) for x in path}
     assert pairs.groupBy("split").count().count() == 3
+
+
+def test_stumps_read_the_games_set_aside_from_what_was_written_once(spark, monkeypatch):
+    p, pairs, names = models._training(spark, SF)
+    seen, binned = [], shapes._binned_pairs
+    monkeypatch.setattr(shapes, "_binned_pairs", lambda *a: seen.append(a[-1]) or binned(*a))
+    assert shapes.fit_boosted_stumps(pairs, p, names, rounds=1, group="game_id") is not None
+    assert seen[0].inputFiles() and all("/stops-" in f for f in seen[0].inputFiles())
