@@ -30,9 +30,15 @@ def shown(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.where("not (game_id % 17 = 3 and participant_id = 4)")
 
 
+def _made(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Packets, private map and the rows of both with their game, built and written once."""
+    kept = []
+    public, private, _ = panel.packets(shown(spark, sf_dir), SEED, RUBRIC, keep=lambda made: kept.append(stored(made, "packets")) or kept[0])
+    return public, private, kept[0]
+
+
 def _packets(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Packets and private map, built and written once."""
-    return panel.packets(shown(spark, sf_dir), SEED, RUBRIC, keep=lambda made: stored(made, "packets"))[:2]
+    return _made(spark, sf_dir)[:2]
 
 
 _H = "substr(sha256('{0}|' || r || '|' || game_id || '|' || {1}), 1, {2})"
@@ -75,11 +81,10 @@ def m11_rejected_games(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _bundle(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Packets that were tampered with, by game: 0 evidence of round b, 1 a private map lost, 2 a packet lost, 3 two persons of round b exchanged,
     4 another rubric, 5 a subject renamed, 6 rounds exchanged in the map, 7 a packet twice in the map's round."""
-    public, private = _packets(spark, sf_dir)
+    public, private, made = _made(spark, sf_dir)
     k = F.col("game_id") % 23
-    games = private.select("packet_id", "game_id")
     changed = F.transform("participants", lambda p, i: F.when((k == 0) & (F.col("round") == "b") & (i == 0), p.withField("features", F.map_zip_with(p["features"], p["features"], lambda key, a, b: F.when(key == "structure_pressure", a + 1).otherwise(a)))).when((k == 5) & (i == 0), p.withField("subject_id", F.lit("unknown"))).otherwise(p))
-    shown_ = public.join(games, "packet_id").where(~((k == 2) & (F.col("round") == "a"))).withColumn("participants", changed).drop("game_id")
+    shown_ = made.where(~((k == 2) & (F.col("round") == "a"))).withColumn("participants", changed).select(public.columns)
     swapped = F.transform("subjects", lambda s, i: F.when((k == 3) & (F.col("round") == "b") & (i < 2), s.withField("base_ref", F.col("subjects")[1 - i]["base_ref"])).otherwise(s))
     moved = F.when((k == 6) | ((k == 7) & (F.col("round") == "b")), F.when(F.col("round") == "a", "b").otherwise("a")).otherwise(F.col("round"))
     maps = private.where(~((k == 1) & (F.col("round") == "b"))).withColumns({"subjects": swapped, "round": moved, "rubric_hash": F.when(k == 4, "r0").otherwise(F.col("rubric_hash"))})

@@ -5,3 +5,8 @@ def test_packets_and_their_map_are_built_once(spark):
     public, private = plans._packets(spark, "/root/testdata/sf0.001")
     assert public.inputFiles() and sorted(public.inputFiles()) == sorted(private.inputFiles())
     assert not [f for f in public.inputFiles() if f.endswith(("lineitem.parquet", "orders.parquet"))]
+
+
+def test_tampered_packets_are_made_without_a_join(spark):
+    shown = plans._bundle(spark, "/root/testdata/sf0.001")[0]
+    assert "Join" not in shown._jdf.queryExecution().executedPlan().toString() and shown.count() > 0
