@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tallyfield.operators.components import connected_components
 from tallyfield.operators.corpus import unit
-from tallyfield.operators.models import LOCAL, logistic_sums, pair_differences
+from tallyfield.operators.models import LOCAL, at_ends, end_differences, end_items, logistic_sums, pair_ends, whole_pairs
 from tallyfield.session import stored
 
 SHRINKAGE = 0.15
@@ -61,17 +61,17 @@ def hats(x: Column, at: list[float]) -> list[Column]:
     return out
 
 
-def fit_pairwise_gam(pairs: DataFrame, records: DataFrame, directions: dict[str, int], most_knots: int = 5, l2: float = 0.01, rate: float = 0.5, iterations: int = 500, tolerance: float = 1e-7) -> dict[str, list[tuple[float, float]]]:
+def fit_pairwise_gam(pairs: DataFrame, records: DataFrame, directions: dict[str, int], most_knots: int = 5, l2: float = 0.01, rate: float = 0.5, iterations: int = 500, tolerance: float = 1e-7, ended: DataFrame | None = None) -> dict[str, list[tuple[float, float]]]:
     """(x, y) knots per feature of a sum of monotone piecewise linear curves; gradient steps as for the linear model.
 
-    The hat weights of every item are columns computed once; a step is one aggregate, and its projection pools at most
-    ``most_knots`` numbers for each feature.
+    The hat weights of both ends of a pair are columns computed once; a step is one aggregate, and its projection pools at most
+    ``most_knots`` numbers for each feature. ``ended`` are the pairs with their ends, where these are joined already.
     """
     at = knots(records, list(directions), most_knots)
     names = {f: [f"__{f}_{i}" for i in range(len(at[f]))] for f in directions}
-    basis = records.select("item_ref", *[w.alias(n) for f in directions for n, w in zip(names[f], hats(F.col(f).cast("double"), at[f]))])
+    basis = {n: w for f in directions for n, w in zip(names[f], hats(F.col(f).cast("double"), at[f]))}
     flat = [n for f in directions for n in names[f]]
-    diffs = pair_differences(pairs, basis, flat).persist()
+    diffs = end_differences(pair_ends(pairs, records, list(directions)) if ended is None else ended, basis).persist()
     y, before = dict.fromkeys(flat, 0.0), None
     try:
         n = diffs.count()
@@ -138,15 +138,30 @@ def best_stump(histogram: dict[str, dict[int, tuple[float, float]]], cuts: dict[
     return found
 
 
+def linked_groups(ended: DataFrame, group: str) -> DataFrame:
+    """(g, component): the games that a pair connects with another game, and the smallest game that each is connected with."""
+    across = ended.select(F.col("left")[group].alias("left_g"), F.col("right")[group].alias("right_g")).where("left_g != right_g").distinct()
+    return connected_components(across, "left_g", "right_g").withColumnRenamed("node", "g")
+
+
+def _keyed(rows: DataFrame, game: Column, linked: DataFrame) -> DataFrame:
+    """Adds ``__k``: the game or, where pairs connect it with others, the smallest of these."""
+    smallest = linked.select(F.col("g").alias("__g"), F.col("component").alias("__c"))
+    return rows.withColumn("__g", game).join(smallest, "__g", "left").withColumn("__k", F.coalesce("__c", "__g")).drop("__g", "__c")
+
+
+def _stop(share: float = 0.2, seed: str = "0") -> Column:
+    return unit(F.concat_ws(":", F.lit(seed), F.col("__k").cast("string"))) < share
+
+
+def _few(keyed: DataFrame, at_least: int = 4) -> bool:
+    return keyed.select("__k").distinct().limit(at_least).count() < at_least
+
+
 def stop_groups(pairs: DataFrame, records: DataFrame, group: str, share: float = 0.2, at_least: int = 4, seed: str = "0") -> DataFrame:
     """(item_ref, stop): items whose games are set aside. Games that a pair connects are set aside together, by hash."""
-    games = records.select("item_ref", F.col(group).alias("g"))
-    side = lambda name: games.select(F.col("item_ref").alias(f"{name}_ref"), F.col("g").alias(f"{name}_g"))
-    across = pairs.join(side("left"), "left_ref").join(side("right"), "right_ref").where("left_g != right_g").select("left_g", "right_g").distinct()
-    comp = connected_components(across, "left_g", "right_g").withColumnRenamed("node", "g")
-    keyed = games.join(comp, "g", "left").select("item_ref", F.coalesce("component", "g").alias("k"))
-    few = keyed.select("k").distinct().limit(at_least).count() < at_least
-    return keyed.select("item_ref", (F.lit(not few) & (unit(F.concat_ws(":", F.lit(seed), F.col("k").cast("string"))) < share)).alias("stop"))
+    keyed = _keyed(records.select("item_ref", F.col(group).alias("of")), F.col("of"), linked_groups(pair_ends(pairs, records, [group]), group))
+    return keyed.select("item_ref", (F.lit(not _few(keyed, at_least)) & _stop(share, seed)).alias("stop"))
 
 
 class _Rounds:
@@ -193,32 +208,38 @@ class _Rounds:
         return losses, pull
 
 
-def _binned_pairs(pairs: DataFrame, bins: DataFrame, features: list[str], tie_weight: float, stops: DataFrame | None) -> DataFrame:
-    for side in ("left", "right"):
-        pairs = pairs.join(bins.select(F.col("item_ref").alias(f"{side}_ref"), *[F.col(f).alias(f"{side}_{f}") for f in features]), f"{side}_ref")
+def _binned_pairs(ended: DataFrame, bins: dict[str, Column], tie_weight: float, group: str | None, stops: DataFrame | None) -> DataFrame:
+    pairs = at_ends(whole_pairs(ended), bins)
     if stops is not None:  # both ends are in one group
-        pairs = pairs.join(stops.withColumnRenamed("item_ref", "left_ref"), "left_ref")
+        pairs = _keyed(pairs, F.col("left")[group], stops)
     target = F.when(F.col("choice") == "left", 1.0).when(F.col("choice") == "right", 0.0).when(F.col("choice") == "tie", 0.5)
     weight = F.when(F.col("choice") == "tie", tie_weight).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("confidence"))) if "confidence" in pairs.columns else 1.0)
-    return pairs.withColumns({"target": target, "weight": weight, "stop": F.col("stop") if stops is not None else F.lit(False)}).where("target is not null")
+    return pairs.withColumns({"target": target, "weight": weight, "stop": _stop() if stops is not None else F.lit(False)}).where("target is not null")
 
 
-def fit_boosted_stumps(pairs: DataFrame, records: DataFrame, directions: dict[str, int], rounds: int = 100, min_leaf: int = 3, min_gain: float = 1e-9, tolerance: float = 1e-7, tie_weight: float = 0.5, group: str | None = None, patience: int = 5) -> list[Stump]:
+def fit_boosted_stumps(pairs: DataFrame, records: DataFrame, directions: dict[str, int], rounds: int = 100, min_leaf: int = 3, min_gain: float = 1e-9, tolerance: float = 1e-7, tie_weight: float = 0.5, group: str | None = None, patience: int = 5, ended: DataFrame | None = None) -> list[Stump]:
     """Monotone stumps added one by one to the negative pairwise gradient of every item.
 
     A score depends on an item's bins alone, so the fit needs only how many pairs there are of each two sets of bins; these
     are counted once. A round sums them per (feature, bin). With ``group``, the items' game, a fifth of the connected games is
     set aside; the fit ends after ``patience`` rounds in which their loss does not fall, and goes back to where it was lowest.
+    ``ended`` are the pairs with features and game of their ends, where these are joined already.
     """
     features = list(directions)
+    if ended is None:
+        ended = pair_ends(pairs, records, list(dict.fromkeys([*features, *([group] if group else [])])))
+        ended = stored(ended, "ended") if group else ended  # read twice
     cuts = {f: thresholds(records, f) for f in features}
-    bins = records.select("item_ref", *[bin_column(f, cuts[f]).alias(f) for f in features])
-    stops = stored(stop_groups(pairs, records, group), "stops") if group else None  # read twice
-    used = bins if stops is None else bins.join(stops.where("not stop"), "item_ref", "left_semi")
+    bins = {f: bin_column(f, cuts[f]) for f in features}
+    stops, used = None, records
+    if group:
+        stops = stored(linked_groups(ended, group), "stops")  # small where pairs lie inside games, and then it is broadcast
+        keyed = _keyed(records, F.col(group), stops)
+        stops, used = (None, records) if _few(keyed) else (stops, keyed.where(~_stop()))
     counts: dict[str, dict[int, int]] = {f: {} for f in features}
-    for r in used.select(F.explode(F.array(*[F.struct(F.lit(f).alias("f"), F.col(f).alias("b")) for f in features])).alias("x")).where("x.b is not null").groupBy("x.f", "x.b").count().collect():
+    for r in used.select(F.explode(F.array(*[F.struct(F.lit(f).alias("f"), c.alias("b")) for f, c in bins.items()])).alias("x")).where("x.b is not null").groupBy("x.f", "x.b").count().collect():
         counts[r["f"]][r["b"]] = r["count"]  # a row for each feature and bin
-    sums = _Rounds(_binned_pairs(pairs, bins, features, tie_weight, stops), features)
+    sums = _Rounds(_binned_pairs(ended, bins, tie_weight, group, stops), features)
     curves = {f: [0.0] * (len(cuts[f]) + 1) for f in features}
     stumps: list[Stump] = []
     before, lowest, kept = None, None, 0
@@ -299,23 +320,23 @@ def best_split(histogram: dict[str, dict[int, tuple[float, float, float]]], whol
     return found
 
 
-def fit_monotone_tree(pairs: DataFrame, records: DataFrame, directions: dict[str, int], max_depth: int = 3, min_leaf: int = 4, min_gain: float = 1e-9, tie_weight: float = 0.5) -> Node:
+def fit_monotone_tree(pairs: DataFrame, records: DataFrame, directions: dict[str, int], max_depth: int = 3, min_leaf: int = 4, min_gain: float = 1e-9, tie_weight: float = 0.5, drawn: DataFrame | None = None) -> Node:
     """A tree on every item's pairwise gradient at score 0; children's values stay inside intervals that keep it monotone.
 
     A level is one job: items are grouped by (node, feature, bin) to (items, sum, squares). Only these histograms, at most
-    ``BINS`` rows for each feature and node, reach the driver.
+    ``BINS`` rows for each feature and node, reach the driver. Records count the items, and the items that pairs name (``drawn``, where
+    ``end_items`` has made them already) add the sums, so the two are not joined; equal rows are added up once.
     """
     features = list(directions)
     cuts = {f: thresholds(records, f) for f in features}
-    target = F.when(F.col("choice") == "left", 0.5).when(F.col("choice") == "right", -0.5).when(F.col("choice") == "tie", 0.0)
-    weight = F.when(F.col("choice") == "tie", tie_weight).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("confidence"))) if "confidence" in pairs.columns else 1.0)
-    known = records.select("item_ref")
-    usable = pairs.withColumn("t", target * weight).where("t is not null").join(known.withColumnRenamed("item_ref", "left_ref"), "left_ref", "left_semi").join(known.withColumnRenamed("item_ref", "right_ref"), "right_ref", "left_semi")
-    ends = F.array(F.struct(F.col("left_ref").alias("item_ref"), F.col("t")), F.struct(F.col("right_ref").alias("item_ref"), (-F.col("t")).alias("t")))
-    pull = usable.select(F.explode(ends).alias("e")).groupBy("e.item_ref").agg(F.sum("e.t").alias("t"))
-    if pull.limit(1).count() == 0:
+    if drawn is None:
+        drawn = stored(end_items(pair_ends(pairs, records, features), features, tie_weight), "items")
+    drawn = drawn.where("t is not null")
+    if drawn.limit(1).count() == 0:
         return Node(0.0)
-    items = records.join(pull, "item_ref", "left").select(*[bin_column(f, cuts[f]).alias(f) for f in features], F.coalesce("t", F.lit(0.0)).alias("t")).persist()
+    binned = [bin_column(f, cuts[f]).alias(f) for f in features]
+    both = records.select(*binned, F.lit(0.0).alias("t"), F.lit(1).alias("__n"), F.lit(0).alias("__m")).unionByName(drawn.select(*binned, "t", F.lit(0).alias("__n"), F.lit(1).alias("__m")))
+    items = both.groupBy(*features, "t").agg(F.sum("__n").alias("__n"), F.sum("__m").alias("__m")).persist()
     # places of open nodes: bits of the way down, and how to get there
     open_: dict[int, tuple[tuple[float, float], Column]] = {1: ((-math.inf, math.inf), F.lit(True))}
     made: dict[int, tuple] = {}
@@ -325,7 +346,8 @@ def fit_monotone_tree(pairs: DataFrame, records: DataFrame, directions: dict[str
                 break
             place = F.coalesce(*[F.when(where, F.lit(k)) for k, (_, where) in open_.items()])
             each = F.array(F.struct(F.lit("").alias("f"), F.lit(0).alias("b")), *[F.struct(F.lit(f).alias("f"), F.col(f).alias("b")) for f in features])
-            rows = items.select(place.alias("k"), "t", F.explode(each).alias("x")).where("k is not null and x.b is not null").groupBy("k", "x.f", "x.b").agg(F.count("*"), F.sum("t"), F.sum(F.col("t") * F.col("t"))).collect()
+            t = F.col("t") * F.col("__m")
+            rows = items.select(place.alias("k"), F.col("__n").alias("n"), t.alias("s"), (t * F.col("t")).alias("q"), F.explode(each).alias("x")).where("k is not null and x.b is not null").groupBy("k", "x.f", "x.b").agg(F.sum("n"), F.sum("s"), F.sum("q")).collect()
             by: dict[int, dict[str, dict[int, tuple]]] = {}
             for k, f, b, *sums in rows:
                 by.setdefault(k, {}).setdefault(f, {})[b] = tuple(sums)
