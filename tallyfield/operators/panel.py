@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from tallyfield.operators.corpus import violations
 from tallyfield.operators.history import latest
+from tallyfield.session import stored
 
 SCHEMA_VERSION = 1
 ROUNDS = ("a", "b")
@@ -70,30 +71,32 @@ def packets(rows: DataFrame, seed: str, rubric_hash: str, rounds: tuple[str, ...
     Packets and map are columns of the same rows; ``keep`` may store these, so that they are built once for both.
     """
     one = F.struct("participant_id", "team_id", "champion", "role", "opponent_id", "features")
-    games = rows.groupBy("game_id").agg(F.array_sort(F.collect_list(F.struct("participant_id", "team_id"))).alias("who"), F.collect_list(one).alias("ps"), F.max("duration").alias("duration"))
-    ids, teams = F.transform("who", lambda w: w["participant_id"]), F.array_sort(F.array_distinct(F.transform("who", lambda w: w["team_id"])))
+    games = rows.groupBy("game_id").agg(F.collect_list(one).alias("ps"), F.max("duration").alias("duration"))
+    ids, teams = F.transform("ps", lambda p: p["participant_id"]), F.array_distinct(F.transform("ps", lambda p: p["team_id"]))
     known = F.forall("ps", lambda p: p["opponent_id"].isNull() | F.array_contains(ids, p["opponent_id"]))
-    reason = F.when((F.size("ps") != 10) | (F.size(F.array_distinct(ids)) != 10), "participants").when((F.size(teams) != 2) | F.exists("who", lambda w: w["team_id"].isNull()), "teams").when(~known, "opponent")
+    reason = F.when((F.size("ps") != 10) | (F.size(F.array_distinct(ids)) != 10), "participants").when((F.size(teams) != 2) | F.exists("ps", lambda p: p["team_id"].isNull()), "teams").when(~known, "opponent")
     judged = games.withColumns({"reason": reason, "low_team": F.array_min(teams)})
-    good = judged.where("reason is null").withColumn("round", F.explode(F.array(*[F.lit(r) for r in rounds])))
+    # what every round shows alike is made once a game: the features' text, and the binding over it
+    told = F.transform("ps", lambda p: named(participant_id=p["participant_id"], team_id=p["team_id"], champion=p["champion"].cast("string"), role=p["role"], opponent=p["opponent_id"], features=p["features"], text=features_text(p["features"]), ref=F.concat_ws(":", F.col("game_id"), p["participant_id"])))
+    bound = F.transform("told", lambda p: named(p=p, binding=_hash(p["ref"], fingerprint(p, p["text"]))))
+    good = judged.where("reason is null").withColumn("told", told).withColumn("ps", bound).drop("told").withColumn("round", F.explode(F.array(*[F.lit(r) for r in rounds])))
 
     def subject(pid: Column) -> Column:
         return F.substring(_hash(F.lit(seed), F.col("round"), F.col("game_id"), pid), 1, 12)
 
     turned = F.substring(_hash(F.lit(seed), F.col("round"), F.col("game_id"), F.lit("teams")), 1, 1) < "8"
-    named_ = good.withColumns({"turned": turned, "names": F.map_from_entries(F.transform("ps", lambda p: F.struct(p["participant_id"], subject(p["participant_id"]))))})
+    named_ = good.withColumns({"turned": turned, "names": F.map_from_entries(F.transform("ps", lambda x: F.struct(x["p"]["participant_id"], subject(x["p"]["participant_id"]))))})
     called = lambda pid: F.element_at("names", pid)
     team = lambda t: F.when((t == F.col("low_team")) == F.col("turned"), "A").otherwise("B")
-    shown = lambda p: named(subject_id=called(p["participant_id"]), team=team(p["team_id"]), champion=p["champion"].cast("string"), role=p["role"], opponent=F.when(p["opponent_id"].isNotNull(), called(p["opponent_id"])), features=p["features"])
-    order = F.sort_array(F.transform("ps", lambda p, i: F.struct(_hash(F.lit(seed), F.lit("order"), called(p["participant_id"])).alias("o"), i.alias("i"))))
+    shown = lambda p: named(subject_id=called(p["participant_id"]), team=team(p["team_id"]), champion=p["champion"], role=p["role"], opponent=F.when(p["opponent"].isNotNull(), called(p["opponent"])), features=p["features"])
+    order = F.sort_array(F.transform("ps", lambda x, i: F.struct(_hash(F.lit(seed), F.lit("order"), called(x["p"]["participant_id"])).alias("o"), i.alias("i"))))
     placed = F.transform(order, lambda o: F.get("ps", o["i"]))
     made = named_.withColumn("placed", placed).withColumns({
-        "texts": F.transform("placed", lambda p: features_text(p["features"])),
-        "participants": F.transform("placed", shown), "schema_version": F.lit(SCHEMA_VERSION), "rubric_hash": F.lit(rubric_hash), "evidence_source": F.lit(source), "duration": F.col("duration").cast("bigint"),
+        "participants": F.transform("placed", lambda x: shown(x["p"])), "schema_version": F.lit(SCHEMA_VERSION), "rubric_hash": F.lit(rubric_hash), "evidence_source": F.lit(source), "duration": F.col("duration").cast("bigint"),
     })
     body = ["schema_version", "rubric_hash", "evidence_source", "duration", "participants"]
-    made = made.withColumn("packet_id", packet_id(F.struct(*body), F.col("texts")))
-    who = F.transform(F.arrays_zip(F.transform("placed", lambda p: F.concat_ws(":", F.col("game_id"), p["participant_id"])).alias("ref"), F.col("participants").alias("p"), F.col("texts").alias("text")), lambda x: named(subject_id=x["p"]["subject_id"], base_ref=x["ref"], binding=_hash(x["ref"], fingerprint(x["p"], x["text"]))))
+    made = made.withColumn("packet_id", packet_id(F.struct(*body), F.col("placed.p.text")))
+    who = F.zip_with("placed", "participants", lambda x, p: named(subject_id=p["subject_id"], base_ref=x["p"]["ref"], binding=x["binding"]))
     made = keep(made.select("round", "packet_id", "game_id", *body, who.alias("subjects")))
     public = made.select("round", "packet_id", *body)
     private = made.select("round", "packet_id", "game_id", "rubric_hash", "subjects")
@@ -124,27 +127,31 @@ def bundle_problems(public: DataFrame, private: DataFrame, rubric_hash: str, rou
     binding (evidence or person exchanged). Of a game: duplicate_game (twice in a round), rounds (not in all), evidence (shown
     differently in two rounds).
     """
-    both = public.alias("p").join(private.alias("m"), "packet_id", "full")
-    mine, theirs = F.transform("p.participants", lambda p: p["subject_id"]), F.transform("m.subjects", lambda s: s["subject_id"])
-    refs = F.array_sort(F.transform("m.subjects", lambda s: s["base_ref"]))
-    want = F.array_sort(F.transform(F.sequence(F.lit(1), F.lit(10)), lambda i: F.concat_ws(":", F.col("m.game_id"), i)))
-    prints = F.map_from_entries(F.transform("p.participants", lambda p: F.struct(p["subject_id"], fingerprint(p))))
-    bound = F.forall("m.subjects", lambda s: s["binding"] == _hash(s["base_ref"], F.element_at("prints", s["subject_id"])))
-    same = F.array_sort(mine) == F.array_sort(theirs)
-    seen = both.withColumns({"has_p": F.col("p.participants").isNotNull(), "has_m": F.col("m.subjects").isNotNull()}).withColumns({"whole": F.col("has_p") & F.col("has_m"), "same": F.coalesce(same, F.lit(False)) & (F.size(F.array_distinct(mine)) == F.size(mine))})
-    seen = seen.withColumn("prints", F.when(F.col("whole") & F.col("same"), prints))
+    # a packet comes to its map with the prints of its participants alone, sorted by subject like the map's entries
+    prints = F.sort_array(F.transform("participants", lambda p: named(subject_id=p["subject_id"], print=fingerprint(p))))
+    entries = F.sort_array(F.transform("subjects", lambda s: named(subject_id=s["subject_id"], base_ref=s["base_ref"], binding=s["binding"])))
+    mine = public.select("packet_id", F.col("round").alias("shown_round"), prints.alias("prints"))
+    both = mine.join(private.select("packet_id", "round", "game_id", "rubric_hash", entries.alias("entries")), "packet_id", "full")
+    ids = F.transform("prints", lambda p: p["subject_id"])
+    want = F.sort_array(F.transform(F.sequence(F.lit(1), F.lit(10)), lambda i: F.concat_ws(":", F.col("game_id"), i)))
+    refs = F.sort_array(F.transform("entries", lambda s: s["base_ref"]))
+    same = F.coalesce(ids == F.transform("entries", lambda s: s["subject_id"]), F.lit(False)) & (F.size(F.array_distinct(ids)) == F.size(ids))
+    seen = both.withColumns({"has_p": F.col("prints").isNotNull(), "has_m": F.col("entries").isNotNull(), "same": same}).withColumn("whole", F.col("has_p") & F.col("has_m"))
+    side = F.zip_with("prints", "entries", lambda p, s: named(shown=F.concat_ws("=", s["base_ref"], p["print"]), bound=s["binding"] == _hash(s["base_ref"], p["print"])))
+    seen = seen.withColumn("sides", F.when(F.col("whole") & F.col("same"), side))
     reasons = F.array_compact(F.array(
         F.when(~F.col("has_m"), F.lit("no_private")), F.when(~F.col("has_p"), F.lit("no_public")),
-        F.when(F.col("whole") & ~F.col("p.round").eqNullSafe(F.col("m.round")), F.lit("round")),
-        F.when(F.col("whole") & ~F.col("m.rubric_hash").eqNullSafe(F.lit(rubric_hash)), F.lit("rubric")),
+        F.when(F.col("whole") & ~F.col("shown_round").eqNullSafe(F.col("round")), F.lit("round")),
+        F.when(F.col("whole") & ~F.col("rubric_hash").eqNullSafe(F.lit(rubric_hash)), F.lit("rubric")),
         F.when(F.col("whole") & ~F.col("same"), F.lit("subjects")),
         F.when(F.col("whole") & ~refs.eqNullSafe(want), F.lit("references")),
-        F.when(F.col("whole") & F.col("same") & ~F.coalesce(bound, F.lit(False)), F.lit("binding")),
+        F.when(F.col("whole") & F.col("same") & ~F.coalesce(F.forall("sides", lambda s: s["bound"]), F.lit(False)), F.lit("binding")),
     ))
-    of_packet = seen.select("packet_id", F.col("m.game_id").alias("game_id"), F.explode(reasons).alias("reason"))
-    shown = F.array_sort(F.transform("m.subjects", lambda s: F.concat_ws("=", s["base_ref"], F.element_at("prints", s["subject_id"]))))
-    games = seen.where("whole").groupBy("m.game_id").agg(F.count("*").alias("n"), F.collect_set("m.round").alias("rounds"), F.collect_set(F.when(F.col("prints").isNotNull(), F.array_join(shown, ","))).alias("views"))
-    faults = F.array_compact(F.array(F.when(F.col("n") > F.size("rounds"), F.lit("duplicate_game")), F.when(F.size("rounds") != len(rounds), F.lit("rounds")), F.when(F.size("views") > 1, F.lit("evidence"))))
+    view = F.when(F.col("sides").isNotNull(), F.sha2(F.array_join(F.sort_array(F.transform("sides", lambda s: s["shown"])), ","), 256))
+    found = stored(seen.select("packet_id", "game_id", "round", "whole", reasons.alias("reasons"), view.alias("view")), "bundle")  # read for packets and for games
+    of_packet = found.select("packet_id", "game_id", F.explode("reasons").alias("reason"))
+    games = found.where("whole").groupBy("game_id").agg(F.count("*").alias("n"), F.collect_set("round").alias("rounds"), F.min("view").alias("low"), F.max("view").alias("high"))
+    faults = F.array_compact(F.array(F.when(F.col("n") > F.size("rounds"), F.lit("duplicate_game")), F.when(F.size("rounds") != len(rounds), F.lit("rounds")), F.when(F.col("low") != F.col("high"), F.lit("evidence"))))
     return of_packet.unionByName(games.select(F.lit(None).cast("string").alias("packet_id"), "game_id", F.explode(faults).alias("reason")))
 
 
