@@ -38,7 +38,7 @@ def named(**fields: Column) -> Column:
 
 def features_text(features: Column) -> Column:
     """Sorted path=value pairs: the same for every order of the map; null values are left empty."""
-    return F.array_join(F.transform(F.sort_array(F.map_entries(features)), lambda e: F.concat_ws("=", e["key"], F.coalesce(e["value"].cast("string"), F.lit("")))), ",")
+    return F.array_join(F.transform(F.sort_array(F.map_entries(features)), lambda e: F.concat(e["key"], F.lit("="), F.coalesce(e["value"].cast("string"), F.lit("")))), ",")
 
 
 def fingerprint(p: Column, text: Column | None = None) -> Column:
