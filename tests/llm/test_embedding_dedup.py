@@ -137,3 +137,56 @@ def test_ids_with_several_vectors(spark):
     for n in (1, 3, 8):
         got = {(x.vec_id, x.n_links, x.component_id) for x in ed.near_vectors(df.repartition(n)).collect()}
         assert got == {(1, 1, 1), (2, 1, 1), (3, 1, 1), (4, 2, 4), (5, 2, 4)}
+
+
+def moved(spark, after=-1):
+    """The last stage so far, and the bytes that the stages beyond ``after`` shuffled, spilled and wrote."""
+    sc, jvm = spark.sparkContext._jsc.sc(), spark._jvm
+    sc.listenerBus().waitUntilEmpty()
+    stages = sc.statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+    stages = [stages.apply(k) for k in range(stages.size())]
+    return max((x.stageId() for x in stages), default=-1), sum(x.shuffleWriteBytes() + x.diskBytesSpilled() + x.outputBytes() for x in stages if x.stageId() > after)
+
+
+def test_what_is_moved_follows_the_input(spark):
+    """Vectors are sent and written a few times at most, whatever the number of tails that they lie in."""
+    n, dim = 6000, 64
+    u = np.random.default_rng(11).standard_normal((n, dim)).astype(np.float32)
+    df = spark.createDataFrame([(i, i % 2, v.tolist()) for i, v in enumerate(u)], "vec_id long, label int, embedding array<float>")
+    last, _ = moved(spark)
+    assert ed.near_vectors(df).where("kept").count() == n
+    assert 2 * n * dim * 4 < moved(spark, last)[1] < 6 * n * dim * 4
+
+
+@pytest.mark.parametrize("block", [1 << 17, 200])
+def test_near_copies_in_one_and_several_blocks(spark, monkeypatch, block):
+    """Tight groups with exact copies, wider ones around them, and what lies between a group and the rest."""
+    monkeypatch.setattr(ed, "BLOCK", block)
+    r = np.random.default_rng(12)
+    one = r.standard_normal((4, 64))
+    v = one[r.integers(0, 4, 1200)] + r.standard_normal((1200, 64)) * r.choice([0.02, 0.1, 0.2, 0.28], (1200, 1))
+    v = np.concatenate([v, v[:150], r.standard_normal((300, 64))]).astype(np.float32)
+    label = np.arange(len(v)) // 5 % 2
+    u = v.astype(float) / np.linalg.norm(v.astype(float), axis=1)[:, None]
+    want = brute([(i, int(x), y.tolist()) for i, (x, y) in enumerate(zip(label, v))])
+    assert (links_of(label, u) == [want[i][0] for i in range(len(v))]).all() and sum(n for n, _ in want.values()) > 100_000
+    df = spark.createDataFrame([(i, int(x), y.tolist()) for i, (x, y) in enumerate(zip(label, v))], "vec_id long, label int, embedding array<float>")
+    assert {x.vec_id: (x.n_links, x.component_id) for x in ed.near_vectors(df).collect()} == want
+
+
+@pytest.mark.parametrize("order", [1, 2, 3])
+def test_tails_of_several_slabs(monkeypatch, order):
+    """Pairs are linked once, wherever their collisions are."""
+    monkeypatch.setattr(ed, "SLAB", 16)
+    r = np.random.default_rng(13)
+    u = np.concatenate([r.standard_normal(64) + r.standard_normal((300, 64)) * 0.27, r.standard_normal((300, 64))])
+    u = u[r.permutation(600)] / 8
+    u /= np.linalg.norm(u, axis=1)[:, None]
+    window = ed.WIDTH * math.sqrt(2 * 0.07)
+    planned = (order, 1.0, ed.needed(2 * ed.meeting(1.0, 0.93, window), order))
+    near = u @ u.T >= 0.93
+    np.fill_diagonal(near, False)
+    for own in (None, 250):
+        if own:
+            near[:own, :own] = near[own:, own:] = False
+        assert (ed._compare(u, np.ones(600, dtype=np.int64), own, planned, 0.93, window).links == near.sum(axis=1)).all()
