@@ -228,16 +228,16 @@ def _by_tails(found: _Found, u: np.ndarray, rows: np.ndarray, own: int | None, p
     """Links pairs of ``rows``; those with one end below ``own`` and one from it on, if that is given."""
     order, cut_at, m = planned
     directions, counted = _directions(m, u.shape[1], 1), _directions(COUNTED, u.shape[1], 99)
-    single, across, need = directions.astype(np.float32), np.ascontiguousarray(directions.T), demanded()
-    flat = u.astype(np.float32)
+    single, need = directions.astype(np.float32), demanded()
+    flat, across = u.astype(np.float32), np.ascontiguousarray(single.T)
     roughly = np.float32(threshold - u.shape[1] * 2.0**-22)  # single precision errs by less
     bits = np.zeros((len(u), (2 * m + 7) // 8), dtype=np.uint8)  # tails that a vector lies in
 
     def tails(begin: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """(tail, rows in it, how far out) of ``SLAB`` directions, rows from the nearest on."""
         held, n = [], min(SLAB, m - begin)
-        for k in range(0, len(rows), 8192):
-            p = (flat[rows[k : k + 8192]] @ single[:, begin : begin + n]).ravel()
+        for k in range(0, len(rows), 1024):  # few enough to stay in the processor's cache
+            p = (flat[rows[k : k + 1024]] @ single[:, begin : begin + n]).ravel()
             at = np.flatnonzero(np.abs(p) >= cut_at)
             row, axis = np.divmod(at, n)
             row, tail = rows[k + row], 2 * (begin + axis) + (p[at] > 0)
@@ -251,7 +251,7 @@ def _by_tails(found: _Found, u: np.ndarray, rows: np.ndarray, own: int | None, p
 
     def collide(a: np.ndarray, b: np.ndarray, t: np.ndarray) -> np.ndarray:
         """Whether pairs that share a tail are in each other's window there."""
-        return np.abs(np.einsum("ij,ij->i", u[a] - u[b], across[t >> 1])) <= window
+        return np.abs(np.einsum("ij,ij->i", flat[a] - flat[b], across[t >> 1])) <= window
 
     def enough(a: np.ndarray, b: np.ndarray, t: int) -> np.ndarray:
         """Whether pairs have the last collision that is demanded in this tail, so that each is linked in one."""
@@ -363,6 +363,7 @@ def _by_id(keyed: DataFrame, classes: DataFrame) -> DataFrame:
     """Edges (a, b) between the classes that share an id."""
     me = F.xxhash64("space", "h")
     several = keyed.groupBy("vec_id").agg(F.min(me).alias("lo"), F.max(me).alias("hi")).where("lo != hi").select("vec_id")
+    several = stored(several, "several")
     rows = stored(keyed.join(several.hint("merge"), "vec_id", "left_semi").distinct(), "ids-of-several")
     of = join_counted(rows, classes.select("space", "h", "size", "rep"), ["space", "h"], "vec_id", "size").select("vec_id", "rep")
     first = of.groupBy("vec_id").agg(F.min("rep").alias("a"))
@@ -418,11 +419,14 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.93, id_col: str = "vec
     met = stored(dealt.mapInArrow(_met(path, threshold, window, plans), "vec_id long, n long, root long"), "vector-links")
 
     edges = met.where("vec_id > root").select(F.col("root").alias("a"), F.col("vec_id").alias("b")).distinct()
-    comp = cut(connected_components(edges.unionByName(_by_id(keyed, classes)), "a", "b"))
+    comp = cut(connected_components(edges.unionByName(_by_id(keyed, classes)), "a", "b")).withColumnRenamed("node", "rep")
     more = met.groupBy(F.col("vec_id").alias("rep")).agg(F.sum("n").alias("c"))
-    named = classes.join(comp.withColumnRenamed("node", "rep"), "rep", "left").join(more, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    smallest = named.groupBy("component").agg(F.min("least").alias("component_id"), F.count("*").alias("n"))
-    placed = stored(join_counted(named.drop("n"), smallest, ["component"], "rep").select("space", "h", "size", "component_id", (F.col("size") - 1 + F.coalesce("c", F.lit(0))).alias("n_links")), "class-results")
+    # whatever has links is in comp
+    linked = stored(classes.select("rep", "least").join(comp.join(more, "rep", "left"), "rep"), "linked-classes")
+    smallest = linked.groupBy("component").agg(F.min("least").alias("component_id"), F.count("*").alias("n"))
+    joined = join_counted(linked, smallest, ["component"], "rep").select("rep", "component_id", "c")
+    results = classes.join(joined, "rep", "left").select("space", "h", "size", F.coalesce("component_id", "least").alias("component_id"), (F.col("size") - 1 + F.coalesce("c", F.lit(0))).alias("n_links"))
+    placed = stored(results, "class-results")
     found = join_counted(keyed, placed, ["space", "h"], "vec_id", "size").groupBy("vec_id").agg(F.max("n_links").alias("n_links"), F.min("component_id").alias("component_id"))
     out = vectors.select(F.col(id_col).cast("long").alias("vec_id")).join(found, "vec_id", "left")
     component = F.coalesce("component_id", "vec_id")
