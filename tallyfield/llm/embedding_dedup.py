@@ -185,9 +185,10 @@ def _knots(u: np.ndarray, threshold: float) -> list[tuple[np.ndarray, np.ndarray
     bucket = np.packbits(u @ _directions(16, u.shape[1], 7) >= 0, axis=1).view(np.uint16).ravel()
     filled = np.bincount(bucket, minlength=1 << 16)
     most = np.argsort(-filled, kind="stable")[:CENTRES]
+    most = most[filled[most] >= max(KNOT // 4, 8 * len(u) >> 16)]
     order = np.argsort(bucket, kind="stable")  # of 16 bits, so by digits
     ends = np.cumsum(filled)
-    centres = np.array([u[order[ends[k] - filled[k] : ends[k]]].sum(axis=0) for k in most if filled[k] >= KNOT // 4]).reshape(-1, u.shape[1])
+    centres = np.array([u[order[ends[k] - filled[k] : ends[k]]].sum(axis=0) for k in most]).reshape(-1, u.shape[1])
     centres = centres[np.abs(centres).max(axis=1, initial=0) > SLACK]
     centres /= np.linalg.norm(centres, axis=1)[:, None]
     least = math.cos(math.acos(threshold) / 2 - SLACK)
